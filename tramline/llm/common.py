@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +16,23 @@ from pyspark.sql.pandas.types import from_arrow_type
 HOLD_OUT_FOLDS = 5
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the executors' Python, where it isn't on their path: Spark serves the archive from the driver."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in paths or getattr(context, "_tramline_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="tramline-")) / "tramline.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "tramline").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    context._tramline_shipped = True
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -27,8 +47,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
-        import tempfile
-
         found = tempfile.mkdtemp(prefix="tramline-")
         spark.sparkContext.setCheckpointDir(found)
     return found

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import common, decontam, line_crf, quality_rules, toxicity
+from tramline.llm import common, decontam, line_crf, near_dup, pieces, pii, quality_rules, toxicity, trie_counts
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,23 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(found)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_spans(common.read_table(spark, sf_dir, "documents"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.find_groups(common.read_table(spark, sf_dir, "documents"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text."""
+    return pieces.encode(common.read_table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_counts.count_tokens(common.read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op7_quality_rules, op8_quality_classifier, op9_decontamination]
+    own = [op1_toxicity, op2_pii, op3_near_duplicates, op5_sentencepiece, op10_token_counts, op7_quality_rules, op8_quality_classifier, op9_decontamination]
     return {f.__name__: f for f in own}
