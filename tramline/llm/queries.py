@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import common, decontam, line_crf, near_dup, pieces, pii, quality_rules, toxicity, trie_counts
+from tramline.llm import common, decontam, licenses, line_crf, near_dup, pieces, pii, quality_rules, toxicity, trie_counts
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.find_groups(common.read_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(common.read_table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text."""
     return pieces.encode(common.read_table(spark, sf_dir, "documents"))
@@ -44,5 +48,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_pii, op3_near_duplicates, op5_sentencepiece, op10_token_counts, op7_quality_rules, op8_quality_classifier, op9_decontamination]
+    own = [op1_toxicity, op2_pii, op3_near_duplicates, op4_licenses, op5_sentencepiece, op10_token_counts, op7_quality_rules, op8_quality_classifier, op9_decontamination]
     return {f.__name__: f for f in own}

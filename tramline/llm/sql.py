@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from tramline.llm import licenses
+
 ORACLE: dict[str, str] = {
     "op9_decontamination": r"""
 WITH d AS (
@@ -39,3 +41,4 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, c AS component_id,
 FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) LEFT JOIN n USING (doc_id)
 """,
 }
+ORACLE["op4_licenses"] = licenses.oracle_sql()
