@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tramline.llm import common, decontam, licenses, line_crf, near_dup, pieces, pii, quality_rules, toxicity, trie_counts
+from tramline.llm import common, decontam, html_wrapper, licenses, line_crf, near_dup, pieces, pii, quality_rules, toxicity, trie_counts
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +43,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(common.read_table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(common.read_table(spark, sf_dir, "pages"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_counts.count_tokens(common.read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_pii, op3_near_duplicates, op4_licenses, op5_sentencepiece, op10_token_counts, op7_quality_rules, op8_quality_classifier, op9_decontamination]
+    own = [op1_toxicity, op2_pii, op3_near_duplicates, op4_licenses, op5_sentencepiece, op6_html, op10_token_counts, op7_quality_rules, op8_quality_classifier, op9_decontamination]
     return {f.__name__: f for f in own}
