@@ -12,7 +12,7 @@ from tramline.plans.fixtures import Views, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with queries; each registers its own when it's imported.
-MODULES = ("timetable",)
+MODULES = ("timetable", "routing")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None, extra: str = "", raw: bool = False)
 
     def register(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
         _queries[name] = lambda spark, sf_dir: f(Views(spark, sf_dir))
-        if sql is not None:
+        if sql:
             _sql[name] = sql if raw else with_views(sql, extra)
         return f
 
