@@ -12,7 +12,7 @@ from tramline.plans.fixtures import Views, with_views
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules with queries; each registers its own when it's imported.
-MODULES = ("timetable", "routing", "live")
+MODULES = ("timetable", "routing", "live", "policies")
 
 _queries: dict[str, Query] = {}
 _sql: dict[str, str] = {}
