@@ -8,6 +8,7 @@ No piece crosses a word (spaces before it belong to it) or a line end, so words
 
 1. Documents are packed into chunks of at most `chunk_bytes` of text; a chunk's compressed texts are
    shuffled by its number. Each chunk's distinct words go, by the hash of the word, into buckets.
+   A chunk's list for a bucket is one row.
 2. In a bucket, distinct words are exploded into their substrings of at most the longest piece's length
    and equi-joined to the piece table; the edges are grouped by word, and `aggregate` folds Viterbi.
 3. A bucket's encodings go back to the chunks that asked for them, and every chunk puts its texts' ids
@@ -43,7 +44,7 @@ WORD = re.compile(r" *[^ \n\t]+| +|[\n\t]")
 #: The broadcast piece table has this many rows at most.
 MAX_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 
 Piece = tuple[str, float, int]
 
@@ -135,10 +136,16 @@ def _path(edges: Column, word: Column, byte: int) -> Column:
 
 # ---- chunks ----------------------------------------------------------------------------------------
 
+#: Words that a list of words can't hold, as they part it: they are pieces by themselves.
+PARTS = ("\n", "\t")
+CODEC = pa.Codec("zstd", 9)
+#: Hash aggregation of the edges by word falls back to sorting beyond so many words a task (Spark: 128).
+WORDS_IN_MEMORY = 200_000
+
 
 def _pack(batch: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=CODEC)) as out:
         out.write_table(batch)
     return sink.getvalue().to_pybytes()
 
@@ -147,6 +154,17 @@ def _unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Integers, zstd-compressed behind their number."""
+    raw = np.ascontiguousarray(values, dtype=np.int32)
+    return len(raw).to_bytes(8, "little") + CODEC.compress(raw.tobytes(), asbytes=True)
+
+
+def _expand(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    return np.frombuffer(CODEC.decompress(blob[8:], 4 * n, asbytes=True), dtype=np.int32) if n else np.zeros(0, dtype=np.int32)
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     part, k = TaskContext.get().partitionId(), 0
     held: list[pa.RecordBatch] = []
@@ -173,79 +191,121 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordB
         yield packed()
 
 
-def bucket_of(word: str, buckets: int) -> int:
-    return zlib.crc32(word.encode()) % buckets
+def split_units(text: str) -> tuple[list[str], bool]:
+    """What a text is looked up by. Without spaces at an end or side by side that is what stands between spaces, each of some words (True); else its words."""
+    text = text.replace(SPACE, " ")
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return WORD.findall(" " + text), False
+    return text.split(" "), True
+
+
+def _distinct(texts: list[str | None]) -> tuple[set[str], set[str]]:
+    """Distinct units between spaces, and distinct words of all texts."""
+    units: set[str] = set()
+    words: set[str] = set()
+    for x in texts:
+        if x:
+            found, plain = split_units(x)
+            (units if plain else words).update(found)
+    words.update([" " + u for u in units if not _parted(u)])
+    for u in filter(_parted, units):
+        words.update(WORD.findall(" " + u))
+    return units, words
+
+
+def _parted(unit: str) -> bool:
+    """Whether a unit between spaces is more than one word."""
+    return "\n" in unit or "\t" in unit
 
 
 def by_bucket(words: Iterable[str], buckets: int) -> dict[int, list[str]]:
-    """Distinct words by bucket, sorted: the same lists whenever they're made of the same texts."""
+    """Words by bucket, sorted: the same lists whenever they're made of the same texts. PARTS are left out."""
     out: dict[int, list[str]] = {}
     for w in words:
-        out.setdefault(bucket_of(w, buckets), []).append(w)
+        if w not in PARTS:
+            out.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
     for at in out.values():
         at.sort()
     return out
 
 
-def _distinct_words(table: pa.Table) -> set[str]:
-    found: set[str] = set()
-    for x in table.column(1).to_pylist():
-        if x:
-            found.update(words_of(x))
-    return found
-
-
 def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of a chunk: the chunk's number and its words, one a line."""
     for batch in batches:
-        for chunk, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            lists = by_bucket(_distinct_words(_unpack(blob)), buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(lists), pa.int32()), pa.array([chunk] * len(lists), pa.int64()), pa.array(list(lists.values()), pa.list_(pa.string()))],
-                names=["bucket", "chunk", "words"],
-            )
+        for chunk, blob in zip(batch.column(0), batch.column(1), strict=True):
+            lists = by_bucket(_distinct(_unpack(blob.as_py()).column(1).to_pylist())[1], buckets)
+            parts = ["\n".join([str(chunk.as_py()), *x]) for x in lists.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(lists), pa.int32()), pa.array(parts, pa.string())], names=["bucket", "part"])
 
 
-ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
 
 
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Of one bucket: every chunk's words turned into their ids."""
-    ids = dict(zip(known.column("word").to_pylist(), known.column("ids").to_pylist(), strict=True))
+    known = known.combine_chunks()
+    place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
+    lists = known.column("ids").combine_chunks()
+    flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    begin = np.cumsum(size) - size
     rows = []
-    for row in asked.select(["chunk", "bucket", "words"]).to_pylist():
-        own = [ids[w] for w in row["words"]]
-        rows.append({"chunk": row["chunk"], "bucket": row["bucket"], "ids": [i for x in own for i in x], "counts": [len(x) for x in own]})
+    for bucket, part in zip(asked.column("bucket").to_pylist(), asked.column("part").to_pylist(), strict=True):
+        chunk, *words = part.split("\n")
+        at = np.fromiter(map(place.__getitem__, words), dtype=np.int64)
+        rows.append({"chunk": int(chunk), "bucket": bucket, "ids": _squeeze(gathered(flat, begin, size, at)), "counts": _squeeze(size[at])})
     return pa.Table.from_pylist(rows, schema=ANSWER)
 
 
-def _encoded(blobs: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
+def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The lists at the given places, one after another."""
+    n = size[at].astype(np.int64)
+    return flat[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def _encoded(blobs: pa.Table, answers: pa.Table, buckets: int, parts: dict[str, list[int]]) -> pa.Table:
     """Of one chunk: doc_id and ids of its rows."""
     table = _unpack(blobs.column("blob")[0].as_py())
     texts = table.column(1).to_pylist()
-    place: dict[str, int] = {}
-    flat, counts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
-    lists = by_bucket(_distinct_words(table), buckets)
-    for bucket, ids, n in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "counts")), strict=True):
-        for w in lists[bucket]:
-            place[w] = len(place)
-        flat.append(np.array(ids, dtype=np.int32))
-        counts.append(np.array(n, dtype=np.int64))
-    flat_ids, size = np.concatenate(flat), np.concatenate(counts)
+    units, words = _distinct(texts)
+    lists = by_bucket(words, buckets)
+    place = {w: i for i, w in enumerate(parts)}
+    flat = [np.array([i for ids in parts.values() for i in ids], dtype=np.int32)]
+    sizes = [np.array([len(ids) for ids in parts.values()], dtype=np.int64)]
+    for bucket, ids, counts in zip(*(answers.column(c).to_pylist() for c in ("bucket", "ids", "counts")), strict=True):
+        place.update(zip(lists[bucket], range(len(place), len(place) + len(lists[bucket])), strict=True))
+        flat.append(_expand(ids))
+        sizes.append(_expand(counts).astype(np.int64))
+    flat, size = np.concatenate(flat), np.concatenate(sizes)
+    begin = np.cumsum(size) - size
+
+    # Units between spaces: mostly one word, then they share its ids; others get lists of their own.
+    unit_place: dict[str, int] = {}
+    more, more_size, k = [flat], [], len(size)
+    for u in units:
+        if not _parted(u):
+            unit_place[u] = place[" " + u]
+        else:
+            found = WORD.findall(" " + u)
+            own = gathered(flat, begin, size, np.array([place[w] for w in found], dtype=np.int64))
+            unit_place[u] = k
+            more.append(own)
+            more_size.append(len(own))
+            k += 1
+    flat, size = np.concatenate(more), np.concatenate([size, np.array(more_size, dtype=np.int64)])
     begin = np.cumsum(size) - size
+
     out: list[np.ndarray] = []
     lengths = np.zeros(len(texts), dtype=np.int64)
     for i, x in enumerate(texts):
         if x:
-            at = np.fromiter(map(place.__getitem__, words_of(x)), dtype=np.int64)
-            n = size[at]
-            total = int(n.sum())
-            out.append(flat_ids[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(total)])
-            lengths[i] = total
+            found, plain = split_units(x)
+            at = np.fromiter(map((unit_place if plain else place).__getitem__, found), dtype=np.int64)
+            out.append(gathered(flat, begin, size, at))
+            lengths[i] = len(out[-1])
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
     values = pa.array(np.concatenate(out) if out else np.zeros(0, dtype=np.int32))
     null = pa.array(np.array([x is None for x in texts], dtype=bool))
-    ids_column = pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)
-    return pa.table({"doc_id": table.column(0), "ids": ids_column})
+    return pa.table({"doc_id": table.column(0), "ids": pa.ListArray.from_arrays(pa.array(offsets), values, mask=null)})
 
 
 def encode(
@@ -255,20 +315,25 @@ def encode(
     spark = documents.sparkSession
     pieces, byte = load_pieces(model)
     n = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own = {p: [i] for p, _, i in pieces if p in PARTS}
+    parts = {p: own.get(p, [byte + b for b in p.encode()]) for p in PARTS}
+    # Edges are grouped by word in memory: a bucket's words are few, and sorting all edges would spill.
+    spark.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(WORDS_IN_MEMORY))
     id_type = documents.schema["doc_id"].dataType.simpleString()
     blobs = documents.select("doc_id", "text").mapInArrow(lambda b: _chunks(b, chunk_bytes), "chunk long, blob binary").repartition("chunk")
-    asked = blobs.mapInArrow(lambda b: _asked(b, n), "bucket int, chunk long, words array<string>").repartition("bucket")
-    words = asked.select("bucket", F.explode("words").alias("word")).distinct()
+    # What is asked is one text a row, and no filter comes before, so that both of its readers take all of it and Spark makes and shuffles it once.
+    asked = blobs.mapInArrow(lambda b: _asked(b, n), "bucket int, part string").repartition("bucket")
+    words = asked.select("bucket", F.explode_outer(F.slice(F.split("part", "\n", -1), 2, 2**31 - 1)).alias("word")).distinct()
     known = lattice(words, pieces, byte, ("bucket",)).select(F.col("bucket").alias("of"), "word", "ids")
     answers = (
         asked.groupBy("bucket")
         .cogroup(known.groupBy("of"))
-        .applyInArrow(lambda a, b: _answer(a, b), "chunk long, bucket int, ids array<int>, counts array<int>")
+        .applyInArrow(lambda a, b: _answer(a, b), "chunk long, bucket int, ids binary, counts binary")
     )
     return (
         blobs.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(lambda a, b: _encoded(a, b, n), f"doc_id {id_type}, ids array<int>")
+        .applyInArrow(lambda a, b: _encoded(a, b, n, parts), f"doc_id {id_type}, ids array<int>")
     )
 
 
