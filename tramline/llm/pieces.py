@@ -236,6 +236,8 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             lists = by_bucket(_distinct(_unpack(blob.as_py()).column(1).to_pylist())[1], buckets)
             parts = ["\n".join([str(chunk.as_py()), *x]) for x in lists.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(lists), pa.int32()), pa.array(parts, pa.string())], names=["bucket", "part"])
+            del lists, parts
+            pa.default_memory_pool().release_unused()
 
 
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
