@@ -59,7 +59,7 @@ def _(v):
 
 
 @query(
-    "op1_feed_state",
+    "ops1_feed_state",
     """SELECT event_id, CASE WHEN event_type = 'error' THEN 'error' WHEN event_id % 11 = 0 THEN 'unknown' WHEN abs(43200 - sec) > 180 THEN 'stale' ELSE 'fresh' END AS state FROM fx_calls""",
 )
 def _(v):
@@ -148,7 +148,7 @@ def _(v):
 
 
 @query(
-    "op4_stop_board",
+    "ops4_stop_board",
     """SELECT route_id, direction_id, trip_id, expected FROM (SELECT *, row_number() OVER (PARTITION BY route_id, direction_id ORDER BY expected, trip_id, day) AS rank FROM (SELECT route_id, direction_id, trip_id, day, departure + coalesce(CASE WHEN stop_sequence % 2 = 0 THEN 120 END, 0) + day * 86400 AS expected
   FROM fx_connections, (VALUES (-1), (0), (1)) v(day) WHERE from_stop_id = 7) WHERE expected >= 43200) WHERE rank = 1 ORDER BY expected, trip_id LIMIT 100""",
 )
@@ -172,7 +172,7 @@ def _(v):
 
 
 @query(
-    "op9_coverage",
+    "ops9_coverage",
     """SELECT route_id AS scope, count(*) AS records, count(u.trip_id) AS matched, CASE WHEN count(u.trip_id) = count(*) THEN 'full' ELSE 'partial' END AS status FROM fx_trips t LEFT JOIN (SELECT DISTINCT trip_id FROM fx_trip_updates) u USING (trip_id) GROUP BY route_id UNION ALL SELECT 'R20', 0, 0, 'none'""",
 )
 def _(v):
@@ -203,7 +203,7 @@ def _(v):
 
 
 @query(
-    "op14_added_trips",
+    "ops14_added_trips",
     """SELECT trip_id, count(DISTINCT r) AS routes, count(*) AS reports, count(DISTINCT r) <> 1 AS ambiguous FROM (SELECT CASE WHEN stop_id % 2 = 0 THEN 'x' || CAST(event_id % 50 AS VARCHAR) ELSE trip_id END AS trip_id, CAST(sec % 2 AS VARCHAR) AS r FROM fx_trip_updates) WHERE trip_id NOT IN (SELECT trip_id FROM fx_trips) GROUP BY trip_id""",
 )
 def _(v):
@@ -223,20 +223,20 @@ def _(v):
 
 
 @query(
-    "op7_trip_progress",
+    "ops7_trip_progress",
     """SELECT trip_id, stop_sequence, CASE WHEN a IS NULL OR stop_sequence < a THEN 'passed' WHEN stop_sequence = a THEN 'next' ELSE 'ahead' END AS progress FROM (SELECT *, min(CASE WHEN departure > 43200 THEN stop_sequence END) OVER (PARTITION BY trip_id) AS a FROM fx_stop_times)""",
 )
 def _(v):
     return operations.trip_progress(v.stop_times, NOW)
 
 
-@query("op16_route_browser", "SELECT route_id, route_type FROM fx_routes WHERE route_id LIKE '%1%' AND route_type IS NOT NULL ORDER BY route_id")
+@query("ops16_route_browser", "SELECT route_id, route_type FROM fx_routes WHERE route_id LIKE '%1%' AND route_type IS NOT NULL ORDER BY route_id")
 def _(v):
     return v.routes.where("route_id LIKE '%1%' AND route_type IS NOT NULL").orderBy("route_id")
 
 
 @query(
-    "op12_address_search",
+    "ops12_address_search",
     """SELECT query_id, address_id, CAST(score AS BIGINT) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, length(text), address_id) AS rank FROM (SELECT query_id, address_id, text, sum(p) AS score FROM (
   SELECT q.query_id, a.address_id, a.text, q.key, max(CASE WHEN a.word = q.key THEN 2 ELSE 1 END) AS p FROM (VALUES (1, 'customer'), (1, '000000012'), (2, 'cust'), (2, '0000')) q(query_id, key)
   JOIN (SELECT c_custkey AS address_id, replace(lower(c_name), '#', ' ') AS text, unnest(string_split(replace(lower(c_name), '#', ' '), ' ')) AS word FROM customer) a ON starts_with(a.word, q.key) GROUP BY ALL) GROUP BY ALL)) WHERE rank <= 6""",
@@ -247,7 +247,7 @@ def _(v):
     return operations.address_search(addresses, asked)
 
 
-@query("op13_near_words", """SELECT asked, word FROM (SELECT a.w AS asked, b.w AS word, row_number() OVER (PARTITION BY a.w ORDER BY b.w) AS k FROM (SELECT DISTINCT lower(n_name) AS w FROM nation UNION SELECT 'francs' UNION SELECT 'kenia') b JOIN (VALUES ('france'), ('kenya'), ('perus'), ('chin')) a(w) ON levenshtein(a.w, b.w) = 1) WHERE k <= 3""")
+@query("ops13_near_words", """SELECT asked, word FROM (SELECT a.w AS asked, b.w AS word, row_number() OVER (PARTITION BY a.w ORDER BY b.w) AS k FROM (SELECT DISTINCT lower(n_name) AS w FROM nation UNION SELECT 'francs' UNION SELECT 'kenia') b JOIN (VALUES ('france'), ('kenya'), ('perus'), ('chin')) a(w) ON levenshtein(a.w, b.w) = 1) WHERE k <= 3""")
 def _(v):
     more = v.spark.createDataFrame([("francs",), ("kenia",)], "word string")
     words = v.table("nation").select(F.lower("n_name").alias("word")).unionByName(more).distinct()

@@ -73,14 +73,14 @@ def _(v):
     return policies.close_stops(v.connections, closures).select("trip_id", "stop_sequence", "can_board", "can_alight")
 
 
-@query("op2_delay_events", "SELECT trip_id, sec AS time, delay, CASE WHEN delay >= 900 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT trip_id, sec, delay * 10 AS delay FROM fx_trip_updates) WHERE sec > 41400 AND sec <= 43200 AND delay >= 300")
+@query("ops2_delay_events", "SELECT trip_id, sec AS time, delay, CASE WHEN delay >= 900 THEN 'critical' ELSE 'warning' END AS severity FROM (SELECT trip_id, sec, delay * 10 AS delay FROM fx_trip_updates) WHERE sec > 41400 AND sec <= 43200 AND delay >= 300")
 def _(v):
     calls = v.trip_updates.select("trip_id", F.col("sec").alias("time"), (F.col("delay") * 10).alias("delay"))
     return policies.delay_events(calls, NOW).select("trip_id", "time", "delay", "severity")
 
 
 @query(
-    "op6_vehicle_detail",
+    "ops6_vehicle_detail",
     """SELECT trip_id, max(CASE WHEN stop_sequence = 1 THEN stop_id * 10 END) AS delay_here, arg_min(stop_id, stop_sequence) FILTER (stop_sequence > 1) AS next_stop, arg_min(departure, stop_sequence) FILTER (stop_sequence > 1) AS next_departure FROM fx_stop_times GROUP BY trip_id""",
 )
 def _(v):
@@ -93,7 +93,7 @@ def _(v):
     return policies.preserved_trips(v.connections, -1, 50000).select("trip_id", "stop_sequence", "departure")
 
 
-@query("op18_journey_groups", "SELECT count(*) AS journeys, min(d) AS first_departure FROM (SELECT trip_id, string_agg(route_id || ':' || CAST(from_stop_id AS VARCHAR) || ':' || CAST(to_stop_id AS VARCHAR), ';' ORDER BY stop_sequence) AS p, min(departure) AS d FROM fx_connections GROUP BY trip_id) GROUP BY p")
+@query("ops18_journey_groups", "SELECT count(*) AS journeys, min(d) AS first_departure FROM (SELECT trip_id, string_agg(route_id || ':' || CAST(from_stop_id AS VARCHAR) || ':' || CAST(to_stop_id AS VARCHAR), ';' ORDER BY stop_sequence) AS p, min(departure) AS d FROM fx_connections GROUP BY trip_id) GROUP BY p")
 def _(v):
     legs = v.connections.select(F.col("trip_id").alias("journey_id"), F.col("stop_sequence").alias("leg"), "route_id", "from_stop_id", "to_stop_id", "departure")
     return policies.journey_groups(legs).select("journeys", "first_departure")

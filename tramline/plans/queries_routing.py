@@ -290,7 +290,7 @@ def _(v):
     return found.where("y1 = y").select("x", "y", F.col("x1").alias("top")).distinct()
 
 
-@query("op17_point_sample", "SELECT p.stop_id, s.seconds FROM (SELECT stop_id, CAST(greatest(0, least(4, floor((lon + 77.055) / (-77.055::DOUBLE + 0.1::DOUBLE - -77.055::DOUBLE) * 5))) AS INTEGER) AS x, CAST(greatest(0, least(4, floor(((38.895::DOUBLE + 0.1::DOUBLE) - lat) / (38.895::DOUBLE + 0.1::DOUBLE - 38.895::DOUBLE) * 5))) AS INTEGER) AS y FROM fx_stops WHERE stop_id % 4 = 1) p LEFT JOIN surface s USING (x, y)", SURFACE)
+@query("ops17_point_sample", "SELECT p.stop_id, s.seconds FROM (SELECT stop_id, CAST(greatest(0, least(4, floor((lon + 77.055) / (-77.055::DOUBLE + 0.1::DOUBLE - -77.055::DOUBLE) * 5))) AS INTEGER) AS x, CAST(greatest(0, least(4, floor(((38.895::DOUBLE + 0.1::DOUBLE) - lat) / (38.895::DOUBLE + 0.1::DOUBLE - 38.895::DOUBLE) * 5))) AS INTEGER) AS y FROM fx_stops WHERE stop_id % 4 = 1) p LEFT JOIN surface s USING (x, y)", SURFACE)
 def _(v):
     return analysis.sample_at(_surface(v), v.stops.where("stop_id % 4 = 1"), "seconds", BOUNDS_EXACT, SIDE, SIDE).select("stop_id", "seconds")
 
