@@ -5,10 +5,15 @@ ten bits. Registers are banded: documents with an equal band are candidates. Of
 Jaccard similarity is estimated from the share of equal registers, corrected for registers that are
 equal by chance; pairs that may reach the threshold are confirmed on their full shingle sets.
 
-Documents with the same set are one node from the start, so copies never meet each other. A bucket's
-members are first compared with its least document only. Members that are connected by then need no
-comparison with each other; just pairs from different components are compared in a second step. So a
-group of copies costs its size, not its square, and no link between different texts is lost but those
+Documents with the same set are one node from the start, so copies never meet each other. Buckets of more
+than `FULL` documents come from passages that many documents share, or from large groups of near copies.
+Their documents are bucketed anew by an exact prefix filter: in an order from rare to frequent shingles two
+documents that are linked share one of their first quarter of shingles. What they share is rare, so a common
+passage brings nobody together, and no pair is dropped.
+
+A bucket's members are first compared with its least document only. Members that are connected by then
+need no comparison with each other; just pairs from different components are compared in a second step. So
+a group of copies costs its size, not its square, and no link between different texts is lost but those
 that banding misses: with 72 bands of 6 registers one in a million at the threshold itself, fewer above.
 Components come from alternating large-star and small-star steps; each step is written to the shared
 folder.
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.llm import common
@@ -37,6 +42,8 @@ BANDS, ROWS = 72, 6
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 PERCENT = 75
+#: Band buckets with more documents than this are split by the prefix filter.
+FULL = 16
 #: Estimates this many standard deviations below the threshold are dropped.
 DEVIATIONS = 5.0
 #: Up to this many ids a join's small side is broadcast; beyond it both sides are shuffled.
@@ -135,6 +142,27 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle hash of a document, with the number of its first quarter: how many rows its prefix has."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            found = [shingle_hashes(words_of(x)) for x in common.texts(part.column(1))]
+            sizes = np.array([len(h) for h in found], dtype=np.int64)
+            own = np.array([int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=8).digest(), "little", signed=True) for h in found], dtype=np.int64)
+            prefix = sizes - (PERCENT * sizes + 99) // 100 + 1
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes))),
+                    pa.array(np.repeat(own, sizes)),
+                    pa.array(np.repeat(sizes, sizes)),
+                    pa.array(np.repeat(prefix, sizes)),
+                    pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64)),
+                ],
+                names=["doc_id", "own", "size", "prefix", "key"],
+            )
+
+
 @common.vector_udf(pa.list_(pa.int64()))
 def _keys(sketch: pa.Array) -> pa.Array:
     flat = np.frombuffer(b"".join(sketch.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
@@ -222,24 +250,29 @@ def find_groups(documents: DataFrame) -> DataFrame:
     nodes = known.join(sets.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi")
 
     bands = nodes.select("doc_id", F.explode(_keys("sketch")).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center <> last")
-    members = common.materialize(bands.join(buckets.select("key", "center"), "key"))
-
-    ids = common.materialize(members.select("doc_id").distinct())
+    found = common.materialize(_members(bands))
+    ids = common.materialize(found.select("doc_id").distinct())
     texts = common.materialize(only(given, ids))
+    hot = common.materialize(found.where(F.col("n") > FULL).select("doc_id").distinct())
+    # Of two documents of full buckets the prefix filter says all; a smaller bucket compares pairs with one that isn't of them.
+    members = _flagged(_flagged(found.where(F.col("n") <= FULL).select("key", "doc_id", "center"), hot, "doc_id", "full"), hot, "center", "center_full")
+    split = _by_prefix(only(texts, hot), id_type).withColumns({"full": F.lit(False), "center_full": F.lit(False)}).drop("n")
+    members = common.materialize(members.unionByName(split, allowMissingColumns=True))
+    ranked = [F.col(c) for c in ("size", "rank", "center_size", "center_rank")]
     sketches = only(known.select("doc_id", "sketch", "n_shingles"), ids)
-    star = members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = members.where("doc_id <> center AND NOT (full AND center_full)").where(_room(*ranked)).select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = _confirm(star, sketches, texts)
     found = components(links)
 
     # Buckets whose members aren't all connected yet: pairs from different components, the bucket's center apart.
     label = F.coalesce("component", "doc_id").alias("label")
-    labelled = members.join(found, "doc_id", "left").select("key", "doc_id", "center", label)
+    labelled = members.join(found, "doc_id", "left").select("key", "doc_id", "center", "full", "size", "rank", label)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rest = common.materialize(labelled.where("doc_id <> center").join(mixed, "key", "left_semi").select("key", "doc_id", "label"))
+    rest = common.materialize(labelled.where("doc_id <> center").join(mixed, "key", "left_semi").select("key", "doc_id", "full", "size", "rank", "label"))
     one, other = rest.alias("one"), rest.alias("other")
+    near = _room(F.col("one.size"), F.col("one.rank"), F.col("other.size"), F.col("other.rank"))
     cross = (
-        one.join(other, (F.col("one.key") == F.col("other.key")) & (F.col("one.doc_id") < F.col("other.doc_id")) & (F.col("one.label") != F.col("other.label")))
+        one.join(other, near & (F.col("one.key") == F.col("other.key")) & (F.col("one.doc_id") < F.col("other.doc_id")) & (F.col("one.label") != F.col("other.label")) & ~(F.col("one.full") & F.col("other.full")))
         .select(F.col("one.doc_id").alias("a"), F.col("other.doc_id").alias("b"))
         .distinct()
     )
@@ -256,6 +289,40 @@ def find_groups(documents: DataFrame) -> DataFrame:
     )
 
 
+def _members(keyed: DataFrame) -> DataFrame:
+    """key, doc_id, the least doc_id of the key and the number of its rows, of keys with more than one document."""
+    extra = [c for c in keyed.columns if c not in ("key", "doc_id")]
+    least = F.min(F.struct("doc_id", *extra)).alias("least")
+    buckets = keyed.groupBy("key").agg(least, F.max("doc_id").alias("last"), F.count("*").alias("n")).where("least.doc_id <> last")
+    return keyed.join(buckets.select("key", "n", F.col("least.doc_id").alias("center"), *[F.col(f"least.{c}").alias(f"center_{c}") for c in extra]), "key")
+
+
+def _room(size: Column, rank: Column, other_size: Column, other_rank: Column) -> Column:
+    """Whether two sets whose first common shingle has these ranks can be linked: by what is left from there on, and by their sizes. Without ranks they can."""
+    left = F.least(size - rank, other_size - other_rank) + 1
+    enough = (100 + PERCENT) * left >= PERCENT * (size + other_size)
+    return F.coalesce(enough & (100 * F.least(size, other_size) >= PERCENT * F.greatest(size, other_size)), F.lit(True))
+
+
+def _flagged(rows: DataFrame, ids: DataFrame, column: str, flag: str) -> DataFrame:
+    """rows with whether their column is among ids, which are broadcast if they're few by count."""
+    side = ids.select(F.col("doc_id").alias(column), F.lit(True).alias(flag))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(side) if few else side, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def _by_prefix(texts: DataFrame, id_type: str) -> DataFrame:
+    """Buckets of the prefix filter: documents by each of their rarest shingles. Any order that all share is exact; one by frequency keeps buckets small."""
+    rows = texts.mapInArrow(_shingled, f"doc_id {id_type}, own long, size long, prefix long, key long").distinct()
+    rows = common.materialize(rows)
+    frequent = rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    # A shingle of one document brings nobody together, but takes its place in the order.
+    ordered = rows.join(frequent, "key", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    w = Window.partitionBy("doc_id", "own").orderBy("df", "key")
+    first = ordered.withColumn("rank", F.row_number().over(w)).where("rank <= prefix AND df > 1")
+    return _members(first.select("key", "doc_id", "size", "rank"))
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """documents without the rows whose near-duplicate group has a lesser doc_id; all columns stay."""
     gone = common.materialize(find_groups(documents).where("NOT kept").select("doc_id").distinct())
