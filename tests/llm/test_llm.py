@@ -324,6 +324,29 @@ def test_repeats_and_optional_parts_are_inferred():
     assert both == ["<ul>", ["+", ["<li>", "#main", "</li>"]], "</ul>", ["?", ["<hr>"]]]
 
 
+def test_marked_names_do_not_hide_articles():
+    main = lambda page: [t for _, t in html_wrapper.stream(page)[1]]
+    for page in (
+        '<div class="layout has-sidebar"><article><p>A</p></article></div>',
+        '<div class="layout sidebar-left"><article><p>A</p></article></div>',
+        '<main class="with-sidebar"><article><p>A</p></article></main>',
+        '<div class="content-sidebar"><main><p>A</p></main></div>',
+        '<article class="post category-social"><p>A</p></article><article class="comment"><p>B</p></article>',
+        '<article><p>A</p></article><div id="comments"><article><p>B</p></article></div>',
+        '<article><p>A</p><article class="related-post"><p>B</p></article></article>',
+        '<body class="x"><div class="no-sidebar"><p>A</p><div class="ad">B</div></div>',
+    ):
+        assert main(page) == ["A"], page
+    assert main('<aside><article class="x">B</article></aside>') == []
+
+
+def test_paragraphs_items_and_cells_end_by_implication():
+    main = lambda page: [t for _, t in html_wrapper.stream(page)[1]]
+    assert main('<article><p class="notice">B<p>A<p>C</article>') == ["A", "C"]
+    assert main('<article><ul><li class="ad">B<ul><li>B</ul><li>A</ul></article>') == ["A"]
+    assert main('<article><table><tr><td class="ad">B<td>A<tr class="ad"><td>B<tr><td>C</table></article>') == ["A", "C"]
+
+
 # ---- 7: rules -------------------------------------------------------------------------------------------
 
 

@@ -8,7 +8,9 @@ slots hold.
 
 A slot is of the main text if it stands in an article (in a page without one: in the main element; without
 that: in the body), outside menus, headers, footers, asides, forms, scripts, styles and elements whose class,
-id or role names a menu, notice, advert or comment section.
+id or role names a menu, notice, advert or comment section. An article's or main element's own parts of names
+don't count, only a whole name does. If what is left is empty, articles or main elements that just such names
+hide are read as well.
 
 Wrappers are inferred by partial folds: every partition folds its pages into one expression for each host,
 equal ones are dropped, then salted groups and then hosts are folded; so a host with a third of all pages is
@@ -50,6 +52,26 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z0-9]+")
 
+#: Parts before a mark that make it a word about the layout.
+LAYOUT = frozenset("has with no without".split())
+#: What ends an open element by implication, and the elements at which the search for it ends.
+PARAGRAPH_ENDS = frozenset(
+    "address article aside blockquote center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split()
+)
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"tr"}, {"table"}),
+    "tbody": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "thead": ({"tbody", "thead", "tfoot"}, {"table"}),
+    "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
+}
+#: Elements in which an open paragraph outside doesn't end.
+PARAGRAPH_SCOPE = frozenset("td th caption table button object html template".split())
+
 MAIN, OTHER = "#main", "#other"
 #: Wrappers up to so many characters in all are broadcast.
 MAX_BROADCAST_CHARS = 32_000_000
@@ -57,9 +79,35 @@ SALTS = 64
 LONGEST_REPEAT = 24
 
 
-def marked(attributes: dict[str, str]) -> bool:
-    """Whether a class, id or role has one of the marks as a part of a name."""
-    return any(part in MARKS for value in attributes.values() for part in NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
+def marked(attributes: dict[str, str], whole: bool = False) -> bool:
+    """Whether a class, id or role has one of the marks as a part of a name (whole: as a name), unless the name is one of the layout: has-sidebar."""
+    for value in attributes.values():
+        for name in value.split():
+            parts = NAME.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if not parts or parts[0] in LAYOUT or whole and len(parts) > 1:
+                continue
+            if not MARKS.isdisjoint(parts):
+                return True
+    return False
+
+
+def _implied(open_: list[tuple], name: str) -> None:
+    """Close what the start of an element ends by implication: a paragraph, a list item, a cell, a row."""
+    if name in IMPLIED:
+        ends, scope = IMPLIED[name]
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] in ends:
+                del open_[k:]
+                break
+            if open_[k][0] in scope:
+                break
+    if name in PARAGRAPH_ENDS:
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] == "p":
+                del open_[k:]
+                break
+            if open_[k][0] in PARAGRAPH_SCOPE:
+                break
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
@@ -85,40 +133,59 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 
 
 def stream(page: str) -> tuple[list[str], list[tuple[int, str]]]:
-    """The page's symbols, and the text of each main slot with its place among the symbols. A slot never crosses a block."""
+    """The page's symbols, and each text that may be main text with its place among the symbols. A slot never crosses a block."""
     given = list(tokens(page))
     names = {name for kind, name, attributes in given if kind == "open"}
     root = "article" if "article" in names else "main" if "main" in names or any(a.get("role") == "main" for k, _, a in given if k == "open") else ""
+    symbols, slots, hidden = _read(given, root, False)
+    return (symbols, slots) if slots or not hidden else _read(given, root, True)[:2]
+
+
+def _read(given: list, root: str, reveal: bool) -> tuple[list[str], list[tuple[int, str]], int]:
+    """Symbols, slots, and the number of roots that only a mark hides; reveal: such roots are read."""
     symbols: list[str] = []
     slots: list[tuple[int, str]] = []
-    open_: list[tuple[str, bool, bool]] = []  # name, inside the root, skipped
+    open_: list[tuple[str, bool, bool, bool]] = []  # name, inside the root, skipped for its element, skipped for a mark
     held: list[str] = []
     held_main = False
+    hidden = 0
 
     def flush() -> None:
         nonlocal held
         text = " ".join(html.unescape("".join(held)).split())
         held = []
-        if text:
-            if held_main:
-                slots.append((len(symbols), text))
-            symbols.append(MAIN if held_main else OTHER)
+        if not text:
+            return
+        if held_main:
+            slots.append((len(symbols), text))
+            symbols.append(MAIN)
+        else:
+            symbols.append(OTHER)
 
     for kind, name, attributes in given:
-        inside, skipped = open_[-1][1:] if open_ else (root == "", False)
-        if kind == "text":
-            main = inside and not skipped
+        if kind == "open":
+            if name in BLOCKS or name in SKIPPED:
+                flush()
+                symbols.append(f"<{name}.{attributes['class']}>" if attributes.get("class") else f"<{name}>")
+                if name in IMPLIED or name in PARAGRAPH_ENDS:
+                    _implied(open_, name)
+            if name not in VOID:
+                inside, skipped, by_mark = open_[-1][1:] if open_ else (root == "", False, False)
+                is_root = root and not inside and (name == root or root == "main" and attributes.get("role") == "main")
+                if is_root:
+                    by_mark = by_mark or root == "article" and marked(attributes, whole=True)
+                    hidden += by_mark and not skipped
+                    by_mark = by_mark and not reveal
+                elif name not in ("html", "body"):
+                    by_mark = by_mark or marked(attributes)
+                open_.append((name, inside or bool(is_root), skipped or name in SKIPPED, by_mark))
+        elif kind == "text":
+            inside, skipped, by_mark = open_[-1][1:] if open_ else (root == "", False, False)
+            main = inside and not skipped and not by_mark
             if main != held_main:
                 flush()
                 held_main = main
             held.append(name)
-        elif kind == "open":
-            if name in BLOCKS or name in SKIPPED:
-                flush()
-            symbols.append(f"<{name}.{attributes['class']}>" if attributes.get("class") else f"<{name}>") if name in BLOCKS or name in SKIPPED else None
-            if name not in VOID:
-                inside = inside or name == root or (root == "main" and attributes.get("role") == "main")
-                open_.append((name, inside, skipped or name in SKIPPED or (name not in ("html", "body", root) or name == "article") and marked(attributes)))
         elif name not in VOID:
             if name in BLOCKS or name in SKIPPED:
                 flush()
@@ -130,7 +197,7 @@ def stream(page: str) -> tuple[list[str], list[tuple[int, str]]]:
         elif name == "br":
             flush()
     flush()
-    return symbols, slots
+    return symbols, slots, hidden
 
 
 # ---- expressions: a list of symbols, ["+", items] for a repeated and ["?", items] for an optional group ----
