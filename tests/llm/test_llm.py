@@ -324,6 +324,16 @@ def test_repeats_and_optional_parts_are_inferred():
     assert both == ["<ul>", ["+", ["<li>", "#main", "</li>"]], "</ul>", ["?", ["<hr>"]]]
 
 
+def test_strings_of_the_template_are_not_main_text(spark):
+    page = lambda i: f"<body><article><div><a>Home</a></div><h1>Title {i}</h1>" + "".join(f"<p>text {i} {k}</p>" for k in range(1 + i % 3)) + "<p>Read our letter.</p></article></body>"
+    rows = [(i, "http://h.example/x", page(i)) for i in range(8)] + [(8, "http://h.example/x", "<body><article><p>Read our letter.</p></article></body>")]
+    rows += [(20 + i, "http://copies.example/x", page(1)) for i in range(5)] + [(30, "http://one.example/x", page(2))]
+    found = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    own = {i: "\n".join([f"Title {i}"] + [f"text {i} {k}" for k in range(1 + i % 3)]) for i in range(8)}
+    whole = {i: f"Home\n{own[i]}\nRead our letter." for i in range(8)}
+    assert found == own | {8: "Read our letter."} | {20 + i: whole[1] for i in range(5)} | {30: whole[2]}
+
+
 def test_marked_names_do_not_hide_articles():
     main = lambda page: [t for _, t in html_wrapper.stream(page)[1]]
     for page in (

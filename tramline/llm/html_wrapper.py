@@ -6,11 +6,14 @@ become repeated groups, stretches that just one side has become optional groups,
 expression that matches all pages is the host's wrapper; a page's main text is what the wrapper's main
 slots hold.
 
-A slot is of the main text if it stands in an article (in a page without one: in the main element; without
+A text may be of the main text if it stands in an article (in a page without one: in the main element; without
 that: in the body), outside menus, headers, footers, asides, forms, scripts, styles and elements whose class,
 id or role names a menu, notice, advert or comment section. An article's or main element's own parts of names
 don't count, only a whole name does. If what is left is empty, articles or main elements that just such names
-hide are read as well.
+hide are read as well. Of the texts that may be, those that four fifths of the host's pages share, and three
+pages at least, are strings of the template: the wrapper holds them as symbols of their own, and they aren't
+given out. Pages with one set of texts count once, so copies don't make a template; a page of which nothing
+would be left keeps its texts.
 
 Wrappers are inferred by partial folds: every partition folds its pages into one expression for each host,
 equal ones are dropped, then salted groups and then hosts are folded; so a host with a third of all pages is
@@ -20,12 +23,13 @@ otherwise.
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a line end in page order; empty blocks are left out. Defined results: null or empty html gives an
 empty text; a null url or one without a host belongs to the empty host; repeated rows get a row each; an
-empty table gives an empty result. A page that its wrapper doesn't match (a repeated group may take what an
-optional one needs) is aligned with the wrapper once more.
+empty table gives an empty result. wrapper_matched is false where a repeated group took what an optional one
+needs; the text doesn't depend on it.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -73,6 +77,10 @@ IMPLIED = {
 PARAGRAPH_SCOPE = frozenset("td th caption table button object html template".split())
 
 MAIN, OTHER = "#main", "#other"
+#: A string of the template: so many pages of the host have it, and this share of them in fifths.
+MIN_PAGES, FIFTHS = 3, 4
+#: Up to so many template strings in all are broadcast.
+MAX_BROADCAST_STRINGS = 1_000_000
 #: Wrappers up to so many characters in all are broadcast.
 MAX_BROADCAST_CHARS = 32_000_000
 SALTS = 64
@@ -91,6 +99,10 @@ def marked(attributes: dict[str, str], whole: bool = False) -> bool:
     return False
 
 
+def string_key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _implied(open_: list[tuple], name: str) -> None:
     """Close what the start of an element ends by implication: a paragraph, a list item, a cell, a row."""
     if name in IMPLIED:
@@ -132,16 +144,19 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield "close", name, {}
 
 
-def stream(page: str) -> tuple[list[str], list[tuple[int, str]]]:
-    """The page's symbols, and each text that may be main text with its place among the symbols. A slot never crosses a block."""
+def stream(page: str, template: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[int, str]]]:
+    """The page's symbols, and each text that may be main text with its place among the symbols. A slot never crosses a block.
+
+    Such a text's symbol is MAIN, or its own if its key is one of the template's.
+    """
     given = list(tokens(page))
     names = {name for kind, name, attributes in given if kind == "open"}
     root = "article" if "article" in names else "main" if "main" in names or any(a.get("role") == "main" for k, _, a in given if k == "open") else ""
-    symbols, slots, hidden = _read(given, root, False)
-    return (symbols, slots) if slots or not hidden else _read(given, root, True)[:2]
+    symbols, slots, hidden = _read(given, root, False, template)
+    return (symbols, slots) if slots or not hidden else _read(given, root, True, template)[:2]
 
 
-def _read(given: list, root: str, reveal: bool) -> tuple[list[str], list[tuple[int, str]], int]:
+def _read(given: list, root: str, reveal: bool, template: frozenset[int]) -> tuple[list[str], list[tuple[int, str]], int]:
     """Symbols, slots, and the number of roots that only a mark hides; reveal: such roots are read."""
     symbols: list[str] = []
     slots: list[tuple[int, str]] = []
@@ -158,7 +173,7 @@ def _read(given: list, root: str, reveal: bool) -> tuple[list[str], list[tuple[i
             return
         if held_main:
             slots.append((len(symbols), text))
-            symbols.append(MAIN)
+            symbols.append(f"={key}" if template and (key := string_key(text)) in template else MAIN)
         else:
             symbols.append(OTHER)
 
@@ -322,10 +337,9 @@ class Wrapper:
         get = self.letters.get
         return self.pattern.fullmatch("".join(get(s, "\n") for s in symbols)) is not None
 
-    def main_slots(self, symbols: list[str]) -> set[int]:
-        """Places of the symbols that fall on main slots of the wrapper, or of the wrapper with this page aligned to it."""
-        letters = self.letters if self.matches(symbols) else Wrapper(align(self.items, collapse(symbols))).letters
-        return {i for i, s in enumerate(symbols) if s == MAIN and s in letters}
+    def template(self) -> frozenset[int]:
+        """Keys of the template's strings that the wrapper holds."""
+        return frozenset(int(s[1:]) for s in self.letters if s[0] == "=")
 
 
 def fold(wrapper: list[Item] | None, items: list[Item]) -> list[Item]:
@@ -337,8 +351,8 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Wrapper] = {}
     seen: set[tuple[str, str]] = set()
     for batch in batches:
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            symbols, _ = stream(page or "")
+        for host, page, strings in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            symbols, _ = stream(page or "", frozenset(strings or ()))
             items = collapse(symbols)
             key = (host, json.dumps(items))
             if key in seen:
@@ -363,9 +377,33 @@ def host_of(url):
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, and the sorted keys of the texts that may be main text, of every page that has some."""
+    for batch in batches:
+        hosts, keys = [], []
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = sorted({string_key(text) for _, text in stream(page or "")[1]})
+            if found:
+                hosts.append(host)
+                keys.append(found)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "keys"])
+
+
+def template_strings(pages: DataFrame) -> DataFrame:
+    """host and strings (keys), of hosts whose pages share some. pages: host, html."""
+    distinct = common.materialize(pages.mapInArrow(_strings, "host string, keys array<long>").distinct())
+    total = distinct.groupBy("host").agg(F.count("*").alias("pages"))
+    shared = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    found = shared.join(total, "host").where(F.col("n") * 5 >= F.col("pages") * FIFTHS)
+    return found.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("strings"))
+
+
 def infer(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of every host."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    strings = common.materialize(template_strings(rows))
+    total = strings.agg(F.coalesce(F.sum(F.size("strings")), F.lit(0))).first()[0]
+    rows = rows.join(F.broadcast(strings) if total <= MAX_BROADCAST_STRINGS else strings, "host", "left").select("host", "html", "strings")
     found = rows.mapInArrow(_partial, "host string, wrapper string").distinct()
     found = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     found = found.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string").distinct()
@@ -380,10 +418,12 @@ def _extracted(page: pa.Array, wrapper: pa.Array) -> pa.Array:
     out, known = [], {}
     for x, w in zip(page.to_pylist(), wrapper.to_pylist(), strict=True):
         if w not in known:
-            known[w] = Wrapper(json.loads(w))
-        symbols, slots = stream(x or "")
-        main = known[w].main_slots(symbols)
-        out.append({"text": "\n".join(text for at, text in slots if at in main), "matched": known[w].matches(symbols)})
+            wrapper = Wrapper(json.loads(w))
+            known[w] = wrapper, wrapper.template()
+        wrapper, template = known[w]
+        symbols, slots = stream(x or "", template)
+        main = [text for at, text in slots if symbols[at] == MAIN] or [text for _, text in slots]
+        out.append({"text": "\n".join(main), "matched": wrapper.matches(symbols)})
     return pa.array(out, FOUND)
 
 
