@@ -248,6 +248,13 @@ def test_spellings_and_copyright_lines_dont_matter(spark):
     assert found == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT")}
 
 
+def test_only_statements_of_copyright_are_dropped(spark):
+    kept = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "Copyright License. Subject to", "(c) You must retain"]
+    gone = ["Copyright (c) 2020 X", "# Copyright 2020 X", "copyright: 2019 x", "(C) 2020 X", "© X", "Copyright The Foo Authors", "Copyright [yyyy] [name]", "All rights reserved."]
+    rows = spark.createDataFrame([(x,) for x in kept + gone], "text string").select("text", licenses.canonical(F.col("text")).alias("c")).collect()
+    assert {r.text for r in rows if r.c} == set(kept)
+
+
 # ---- 5, 10: pieces --------------------------------------------------------------------------------------
 
 

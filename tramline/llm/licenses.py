@@ -1,6 +1,6 @@
 """License scans by canonical digest: native DataFrame expressions from the text to the hash join.
 
-A text is made canonical (lower case; copyright lines dropped; equivalent spellings made one; all but
+A text is made canonical (lines that state a copyright dropped; lower case; equivalent spellings made one; all but
 letters and digits turned into single spaces) and its SHA-256 is joined to the digests of known licences,
 which are made by the same expressions. Whole documents are looked up, and so is every line by itself, as
 corpora hold licence notices as lines of other texts.
@@ -116,8 +116,16 @@ KNOWN = (
 #: Up to this many digests are broadcast.
 MAX_BROADCAST = 100_000
 
-#: A line that starts, after comment signs, with "copyright", "(c)" or the sign, or says that all rights are reserved.
+#: Of the SQL check: a line that starts, after comment signs, with "copyright", "(c)" or the sign, or says that all rights are reserved.
 COPYRIGHT_LINE = r"(?md)^[ \t/*#;>-]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A line that states a copyright: "copyright" with a sign, a year, a placeholder or a holder's name after it; a sign by itself; or all rights reserved.
+STATEMENT = (
+    r"(?md)^[ \t/*#;>-]*(?:(?:©|&copy;)|\([cC]\)[ \t]*(?:(?i:copyright)|©|\d{4})|(?i:all rights reserved)"
+    r"|(?i:copyright)[ \t]*[:,]?[ \t]*(?:\([cC]\)|©|&copy;|\d{4}|[\[<{]|(?i:yyyy|year\b))"
+    r"|Copyright[ \t]+(?:by[ \t]+|the[ \t]+)?(?!(?:Licen[cs]e|Notice|Holder|Owner|Law|Act|Treaty|Office|Interest|Right|Statement|And|Or|In)s?\b)\p{Lu})[^\n]*$"
+)
+#: The statement at the head of the GNU texts, which runs over lines.
+FOUNDATION = r"Copyright\s+\([cC]\)\s+[\d,\s-]{4,60}Free\s+Software\s+Foundation,\s+Inc\.?[^\"]{0,200}?(?=Everyone\s+is\s+permitted)"
 #: What a line needs to be looked up; every known text without a line end has it.
 NOTICE = r"(?i)licen[cs]e|permission|software|SPDX"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -125,8 +133,9 @@ NOT_WORD = r"[^\p{L}\p{N}]+"
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text; null counts as empty."""
-    lower = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_replace(F.regexp_replace(lower, COPYRIGHT_LINE, ""), NOT_WORD, " ")
+    stated = F.regexp_replace(F.coalesce(text, F.lit("")), FOUNDATION, "")
+    lower = F.lower(F.regexp_replace(stated, STATEMENT, ""))
+    words = F.regexp_replace(lower, NOT_WORD, " ")
     padded = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
     for old, new in EQUIVALENT:
         padded = F.replace(padded, F.lit(f" {old} "), F.lit(f" {new} "))
