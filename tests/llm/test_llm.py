@@ -248,6 +248,39 @@ def test_spellings_and_copyright_lines_dont_matter(spark):
     assert found == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT")}
 
 
+def test_whole_texts_are_known_at_any_width(spark):
+    import textwrap
+
+    names = [p.stem for p in licenses.TEXTS.glob("*.txt") if p.name != "spdx_ids.txt"]
+    given = {name: (licenses.TEXTS / f"{name}.txt").read_text() for name in names} | {"MIT": licenses.MIT, "ISC": licenses.ISC, "Zlib": licenses.ZLIB, "WTFPL": licenses.WTFPL}
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-3.0-only", "MPL-2.0", "BSL-1.0", "Unlicense", "CC0-1.0"} <= set(given)
+    rows = []
+    for name, text in given.items():
+        end = licenses.APPENDIX.search(text)
+        text = text[: end.start()] if end else text
+        parts = re.split(r"\n\s*\n", text)
+        rows += [(name, "Copyright 2020 Somebody\n\n" + "\n\n".join(textwrap.fill(" ".join(x.split()), w, break_long_words=False, break_on_hyphens=False) for x in parts)) for w in (40, 60, 72, 79, 100)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    wrong = {r.doc_id for r in found if r.license_id != r.doc_id}
+    assert len(found) == len(rows) and not wrong
+
+
+def test_spdx_expressions_name_each_licence(spark):
+    lines = {
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0+": "GPL-2.0-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only": "LGPL-3.0-only",
+        "# SPDX-License-Identifier: Unlicense": "Unlicense",
+        "/* SPDX-License-Identifier: (MIT OR Apache-2.0) */": "Apache-2.0,MIT",
+        "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "GPL-2.0-only",
+        "Licensed under the BSD 3-Clause License.": "BSD-3-Clause",
+        "SPDX-License-Identifier: No-Such": "",
+    }
+    rows = spark.createDataFrame([(i, f"intro\n{x}\nend") for i, x in enumerate(lines)], "doc_id long, text string")
+    found = {r.doc_id: (r.line_licenses, r.n_license_lines) for r in licenses.scan(rows).collect()}
+    assert found == {i: (x, int(x != "")) for i, x in enumerate(lines.values())}
+
+
 def test_only_statements_of_copyright_are_dropped(spark):
     kept = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright license to reproduce", "Copyright License. Subject to", "(c) You must retain"]
     gone = ["Copyright (c) 2020 X", "# Copyright 2020 X", "copyright: 2019 x", "(C) 2020 X", "© X", "Copyright The Foo Authors", "Copyright [yyyy] [name]", "All rights reserved."]

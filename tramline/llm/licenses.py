@@ -5,8 +5,11 @@ letters and digits turned into single spaces) and its SHA-256 is joined to the d
 which are made by the same expressions. Whole documents are looked up, and so is every line by itself, as
 corpora hold licence notices as lines of other texts.
 
-The known texts are a table of `license_id, text`; `KNOWN` has public short licences and notices. The
-table is broadcast, as its size is checked; a larger one is joined by a shuffle.
+The known texts are a table of `license_id, text`: by default `KNOWN` (short licences and notices), the whole
+texts in `licence_texts` with and without their appendix, notices by name, and a line for each SPDX identifier. A
+line with an SPDX expression counts for each identifier in it; what follows WITH is left out. A text of the GNU
+family by itself counts as the version's "-only". The table is broadcast, as its size is checked; a larger one is
+joined by a shuffle.
 
 Defined results: a null or empty text, or one of copyright lines only, has the digest of the empty text and
 matches nothing; repeated rows get a row each, and a notice that they share counts once for each; an empty table gives an empty result; an empty table of
@@ -15,6 +18,9 @@ licences matches nothing.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +119,75 @@ KNOWN = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("WTFPL", WTFPL),
 )
+#: Whole texts, a file for each identifier, and the list of SPDX identifiers.
+TEXTS = Path(__file__).with_name("licence_texts")
+#: Where the text proper ends; what follows are hints on how to use it.
+APPENDIX = re.compile(r"\n[ \t]*(?:END OF TERMS AND CONDITIONS[ \t]*\n|Exhibit A - |EXHIBIT A -|ADDENDUM: How to use)")
+TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "BSL-1.0": ("Boost Software License 1.0",),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+NAMES = {
+    "0BSD": ("BSD Zero Clause License",),
+    "AGPL-3.0-only": ("GNU Affero General Public License v3.0", "GNU Affero General Public License, version 3", "GNU AGPLv3 license"),
+    "Apache-2.0": ("Apache License 2.0", "Apache License, Version 2.0", "Apache 2.0 License", "Apache-2.0 license"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD-2-Clause license", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "BSD-3-Clause license", "New BSD License"),
+    "BSL-1.0": ("Boost Software License 1.0", "Boost Software License, Version 1.0"),
+    "CC0-1.0": ("CC0 1.0 Universal license", "CC0 license"),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0 license"),
+    "CC-BY-SA-4.0": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0 license"),
+    "CC-BY-NC-4.0": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0 license"),
+    "CC-BY-ND-4.0": ("Creative Commons Attribution-NoDerivatives 4.0 International License", "CC BY-ND 4.0 license"),
+    "CC-BY-NC-SA-4.0": ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC BY-NC-SA 4.0 license"),
+    "CC-BY-NC-ND-4.0": ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC BY-NC-ND 4.0 license"),
+    "EPL-2.0": ("Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "GPL-2.0-only": ("GNU General Public License v2.0", "GNU General Public License, version 2", "GPLv2 license"),
+    "GPL-3.0-only": ("GNU General Public License v3.0", "GNU General Public License, version 3", "GPLv3 license"),
+    "ISC": ("ISC License",),
+    "LGPL-2.1-only": ("GNU Lesser General Public License v2.1", "GNU Lesser General Public License, version 2.1", "LGPLv2.1 license"),
+    "LGPL-3.0-only": ("GNU Lesser General Public License v3.0", "GNU Lesser General Public License, version 3", "LGPLv3 license"),
+    "MIT": ("MIT License",),
+    "MPL-2.0": ("Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License, version 2.0"),
+    "Unlicense": ("Unlicense",),
+    "Zlib": ("zlib License",),
+}
+PHRASES = ("Licensed under the {}.", "Released under the {}.", "Distributed under the {}.", "This project is licensed under the {}.", "This software is licensed under the {}.", "This work is licensed under the {}.")
+#: The notice of the GNU family by name and version.
+GNU = (("GPL", "General", "1", "1.0"), ("GPL", "General", "2", "2.0"), ("GPL", "General", "3", "3.0"), ("LGPL", "Library General", "2", "2.0"), ("LGPL", "Lesser General", "2.1", "2.1"), ("LGPL", "Lesser General", "3", "3.0"), ("AGPL", "Affero General", "3", "3.0"))
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """license_id and text of all that is known by default."""
+    out = list(KNOWN)
+    for path in sorted(TEXTS.glob("*.txt")):
+        if path.name == "spdx_ids.txt":
+            continue
+        name, text = path.stem, path.read_text()
+        end = APPENDIX.search(text)
+        forms = [text] + ([text[: end.start()], text[: end.start()] + "\nEND OF TERMS AND CONDITIONS"] if end else [])
+        if name.startswith("BSD-"):
+            forms += [re.sub(r"(?m)^[123]\. ", "* ", text)]
+        out += [(name, title + form) for form in forms for title in ("", *(f"{x}\n\n" for x in TITLES.get(name, ())))]
+    out += [(i, phrase.format(name)) for i, names in NAMES.items() for name in names for phrase in PHRASES]
+    for short, name, said, version in GNU:
+        full = f"GNU {name} Public License"
+        for choice, tail in (("only", f"version {said} of the License."), ("or-later", f"either version {said} of the License, or (at your option) any later version.")):
+            for thing in ("program", "library"):
+                for colon in (":", ";"):
+                    head = f"This {thing} is free software{colon} you can redistribute it and/or modify it under the terms of the {full} as published by the Free Software Foundation"
+                    body = f"This {thing} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {full} for more details."
+                    last = f"You should have received a copy of the {full} along with this {thing}. If not, see <https://www.gnu.org/licenses/>."
+                    out += [(f"{short}-{version}-{choice}", f"{head}{comma} {tail}\n\n{body}\n\n{last}") for comma in (",", ";")]
+    for i in (TEXTS / "spdx_ids.txt").read_text().split():
+        if not i.endswith("+"):
+            gnu = re.fullmatch(r"(?:A|L)?GPL-[\d.]+|GFDL-[\d.]+", i)
+            out.append((f"{i}-only" if gnu else i, f"SPDX-License-Identifier: {i}"))
+    return sorted(set(out))
+
+
 #: Up to this many digests are broadcast.
 MAX_BROADCAST = 100_000
 
@@ -126,6 +201,11 @@ STATEMENT = (
 )
 #: The statement at the head of the GNU texts, which runs over lines.
 FOUNDATION = r"Copyright\s+\([cC]\)\s+[\d,\s-]{4,60}Free\s+Software\s+Foundation,\s+Inc\.?[^\"]{0,200}?(?=Everyone\s+is\s+permitted)"
+#: A line with an SPDX expression, what stands between its identifiers, and a version with "or later" written as a plus.
+SPDX = r"(?i)SPDX-License-Identifier:"
+OPERATOR = r"(?i)[ \t()]+(?:AND|OR)[ \t()]+"
+EXCEPTION = r"(?i)[ \t]+WITH[ \t]+[A-Za-z0-9.-]+"
+PLUS = r"(?i)\b((?:A|L)?GPL-[\d.]+|GFDL-[\d.]+)\+"
 #: What a line needs to be looked up; every known text without a line end has it.
 NOTICE = r"(?i)licen[cs]e|permission|software|SPDX"
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -146,9 +226,18 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def notices(line: Column) -> Column:
+    """What of a line is looked up: the line, or of an SPDX expression a line for each identifier."""
+    plain = F.regexp_replace(F.regexp_replace(line, EXCEPTION, ""), PLUS, "$1-or-later")
+    bare = F.regexp_replace(plain, r"(?i)^.*?SPDX-License-Identifier:[ \t(]*", "")
+    ends = F.regexp_replace(bare, r"[ \t)]*(?:\*/|-->)?[ \t\r)]*$", "")
+    each = F.transform(F.split(ends, OPERATOR, -1), lambda x: F.concat(F.lit("SPDX-License-Identifier: "), x))
+    return F.when(line.rlike(SPDX), each).otherwise(F.array(line))
+
+
 def known_digests(spark: SparkSession, known: DataFrame | None = None) -> DataFrame:
     """digest and license_id, one row a digest: of licences with one canonical text the least id. Empty texts are left out."""
-    rows = spark.createDataFrame(list(KNOWN), "license_id string, text string") if known is None else known.select("license_id", "text")
+    rows = spark.createDataFrame(known_texts(), "license_id string, text string") if known is None else known.select("license_id", "text")
     return rows.where(canonical(F.col("text")) != "").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license_id").alias("license_id"))
 
 
@@ -165,6 +254,7 @@ def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
         documents.select("doc_id", "text")
         .where(F.col("text").rlike(NOTICE))
         .select("doc_id", digest(F.col("text")).alias("whole"), F.posexplode(lines).alias("at", "line"))
+        .select("doc_id", "whole", "at", F.explode(notices(F.col("line"))).alias("line"))
         .select("doc_id", "whole", "at", digest(F.col("line")).alias("digest"))
         .join(table, "digest")
         .groupBy(F.col("doc_id").alias("of"), "whole")
