@@ -161,3 +161,18 @@ def test_missing_fare_is_not_free(spark):
     legs = spark.createDataFrame([(1, "N", 1, 2), (2, None, 1, 2)], "leg_id int, network string, from_area int, to_area int")
     rules = spark.createDataFrame([(1, "N", 1, None, 1, 100), (2, "N", None, 2, 2, 150)], "rule_id int, network string, from_area int, to_area int, priority int, amount int")
     assert {(r.leg_id, r.amount) for r in scenario.best_fare(legs, rules).collect()} == {(1, 150), (2, None)}
+
+
+def test_paths_of_many_edges_are_found(spark):
+    n = 66
+    edges = spark.createDataFrame([(i, i + 1, 1) for i in range(n)] + [(0, n, 500)], "u int, v int, cost int")
+    seeds = spark.createDataFrame([(0, 0, 0)], "source int, node int, cost long")
+    assert {r.node: r.cost for r in streets.shortest_paths(edges, seeds, 5000).collect()} == {i: i for i in range(n + 1)}
+
+
+def test_walks_of_many_edges_are_found(spark):
+    n = 19
+    rows = [(i, i + 1, 1, 3) for i in range(n)] + [(0, n, 50, 4), (0, n, 60, 5)]
+    found = transfers.station_paths(spark.createDataFrame(rows, "u int, v int, seconds long, metres long")).collect()
+    own = {(i, j, j - i, 3 * (j - i)) for i in range(n) for j in range(i + 1, n + 1)}
+    assert sorted(tuple(r) for r in found) == sorted(own | {(0, n, 50, 4)})

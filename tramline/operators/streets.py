@@ -9,15 +9,17 @@ from tramline.functions import geo
 from tramline.operators.shared import materialize, maybe_broadcast
 
 
-def shortest_paths(edges: DataFrame, seeds: DataFrame, limit: int, rounds: int = 64) -> DataFrame:
-    """G1: least cost of every (source, node) within the limit; each round relaxes the edges of what has improved.
+def shortest_paths(edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """G1: least cost of every (source, node) within the limit; each round relaxes the edges of what has improved, until nothing does.
 
-    edges: u, v, cost. seeds: source, node, cost. A round's frontier is broadcast if it is small by count.
+    edges: u, v, cost (not negative, so that the rounds end). seeds: source, node, cost. A round's frontier is broadcast if it is small by count.
     """
     best = materialize(seeds.select("source", "node", F.col("cost").cast("long").alias("cost")))
     frontier = best
     weights = materialize(edges.groupBy("u", "v").agg(F.min("cost").cast("long").alias("w")))
-    for _ in range(rounds):
+    if weights.where("w < 0").limit(1).count():
+        raise ValueError("an edge's cost is negative")
+    while True:
         ahead = weights.join(maybe_broadcast(frontier.withColumnRenamed("node", "u")), "u")
         found = ahead.groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("cost")).where(F.col("cost") <= limit)
         known = best.withColumnRenamed("cost", "old")
@@ -25,7 +27,6 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, limit: int, rounds: int =
         if not frontier.limit(1).count():
             return best
         best = materialize(best.unionByName(frontier).groupBy("source", "node").agg(F.min("cost").alias("cost")))
-    return best
 
 
 def apply_traffic(edges: DataFrame, updates: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -89,10 +91,15 @@ def specific_rule(candidates: DataFrame) -> DataFrame:
     )
 
 
-def station_paths(edges: DataFrame, most: int = 16) -> DataFrame:
-    """Non-dominated (seconds, metres) walks between platforms, one edge more a round until nothing improves."""
+def station_paths(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Non-dominated (seconds, metres) walks between platforms, one edge more a round until nothing improves.
+
+    Seconds and metres aren't negative, so that the rounds end. most: walks of at most so many edges and one are asked for.
+    """
+    if edges.where("seconds < 0 OR metres < 0").limit(1).count():
+        raise ValueError("an edge's seconds or metres are negative")
     best = materialize(edges.select("u", "v", "seconds", "metres").groupBy("u", "v", "seconds").agg(F.min("metres").alias("metres")))
-    for _ in range(most):
+    for _ in itertools.count() if most is None else range(most):
         onward = best.select("u", F.col("v").alias("mid"), F.col("seconds").alias("s1"), F.col("metres").alias("m1")).join(
             edges.select(F.col("u").alias("mid"), "v", F.col("seconds").alias("s2"), F.col("metres").alias("m2")), "mid"
         )
