@@ -176,6 +176,20 @@ def _(v):
     return transfers.station_paths(edges, most=1).groupBy("u", "v").agg(F.min("seconds").alias("seconds")).where("u <> v")
 
 
+#: Least metres of walks of up to 128 edges, by seven times joining walks with themselves; there are 100 stops.
+WALKS = ", ".join(
+    ["d0 AS MATERIALIZED (SELECT u, v, CAST(min(metres) AS BIGINT) AS s FROM fx_street_edges GROUP BY ALL)"]
+    + [f"d{k} AS MATERIALIZED (SELECT u, v, min(s) AS s FROM (SELECT * FROM d{k - 1} UNION ALL SELECT a.u, b.v, a.s + b.s FROM d{k - 1} a JOIN d{k - 1} b ON a.v = b.u) GROUP BY ALL)" for k in range(1, 8)]
+)
+
+
+@query("r12_station_paths_whole", "SELECT u, v, CAST(s AS BIGINT) AS seconds FROM d7 WHERE u <> v", WALKS)
+def _(v):
+    """All edges, to the fixpoint; r12_station_paths is its first two rounds over the first stops."""
+    edges = v.street_edges.select("u", "v", F.col("metres").cast("long").alias("seconds"), F.col("metres").cast("long").alias("metres"))
+    return transfers.station_paths(edges).groupBy("u", "v").agg(F.min("seconds").alias("seconds")).where("u <> v")
+
+
 # ---- analysis ----------------------------------------------------------------------------------------
 
 TIMES = """times AS (SELECT from_stop_id AS origin_id, to_stop_id AS stop_id, min(arrival - departure) / 60 AS minutes FROM fx_connections GROUP BY ALL)"""
