@@ -1,9 +1,12 @@
 """The training-data operators against brute force, round trips and held-out labels, and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 from pathlib import Path
 
 import duckdb
@@ -173,17 +176,85 @@ def test_base_spans_stay_and_long_runs_cost_little(spark):
     assert pii.base_spans("a" * 400_000 + " " + "1" * 400_000) == []
 
 
-def test_repeated_tokens_share_their_label():
-    """A token like a card that fails its checksum alone is left alone, and taken for one where valid copies resemble it."""
-    rows, counts = [], []
-    for label, n, ok in ((2, 60, 1), (4, 40, 0)):
-        shape = (9, 0, 0, 0, 0, 0, 0, ok)
-        rows += [(*shape, 0, 5, 0, 5, 5, 5, label), (*shape, 0, 5, 0, 5, label, 5, label), (*shape, 0, 5, 0, 5, 5, label, label)]
-        counts += [n, n, n]
-    model = pii.fit_weights(rows, counts)
-    alone = "see 4111111111111112 here"
-    assert pii.find(model, [alone])[0][1] == []
-    assert model.skip.min() >= 0
+def tied_model(tie):
+    """A field for which a number of ten digits without a label is rather no phone number; equal tokens are tied."""
+    lone = pii.nodes_of("3775550271", []).shape[0]
+    unary = {lone: np.array([-9.0, -9.0, -9.0, -1.0, 1.0])}
+    return pii.SkipChain(unary, np.array([-9.0, -9.0, -9.0, -9.0, 2.0]), np.zeros((2, pii.LABELS, pii.LABELS)), np.array([tie, 0.0]))
+
+
+def test_the_tie_alone_adds_a_span():
+    text = "call +3775550271 today, or 3775550271 later; 3775550272 is another"
+    place = text.index(" 3775550271") + 1
+    base = [("phone", text.index("+"), text.index("+") + 11)]
+    assert pii.find(tied_model(0.0), [text])[0] == (base, base)
+    assert pii.find(tied_model(4.0), [text])[0] == (base, [*base, ("phone", place, place + 10)])
+    assert pii.find(tied_model(4.0), [text.replace("+", "")])[0] == ([], [])
+
+
+def test_repeated_tokens_learn_to_share_their_label():
+    """Labelled tokens that repeat are worth a tie, and what the patterns can't tell isn't held against it."""
+    texts = repeating_texts()
+    counts = Counter(row for t in texts for row in pii.pseudo_rows(pii.nodes_of(t, pii.base_spans(t))))
+    model = pii.fit_weights(list(counts), list(counts.values()))
+    assert model.skip[0] > 0.5
+    mixed = "ring +14155550123 or, as before, 14155550123 then"
+    without = pii.SkipChain(model.unary, model.unseen, model.chain, np.zeros(2))
+    found, lone = pii.find(model, [mixed])[0][1], pii.find(without, [mixed])[0][1]
+    place = mixed.index(" 1415") + 1
+    assert lone == [("phone", 5, 17)] and found == [*lone, ("phone", place, place + 11)]
+
+
+def repeating_texts():
+    rng, texts = random.Random(3), []
+    for _ in range(300):
+        phone, order = f"+1{rng.randrange(10**9, 10**10)}", rng.randrange(10**9, 10**10)
+        texts.append(f"ring {phone} or again {phone} now" if rng.random() < 0.5 else f"order {order} and order {order} came")
+    return texts
+
+
+def test_marginals_equal_enumeration():
+    """Exact on a chain and on a tree of ties; near the truth where weak ties close a loop."""
+    rng = np.random.default_rng(1)
+    L = pii.LABELS
+    shapes = [(i,) * pii.SHAPE for i in range(4)]
+
+    def check(same, tie, scale, tolerance):
+        model = pii.SkipChain({s: rng.normal(size=L) * scale for s in shapes}, np.zeros(L), rng.normal(size=(2, L, L)) * scale * (1 if tie < 9 else 0), np.array([min(tie, 1.0), 0.0]))
+        n = len(same)
+        nodes = pii.Nodes([(2 * i, 2 * i + 1) for i in range(n)], shapes[:n], same, [""] * n, [pii.O] * n, [i % 2 == 1 for i in range(n)])
+        total = np.zeros((n, L))
+        hubs = [k for k in set(same) if k and same.count(k) > 1]
+        for y in itertools.product(range(L), repeat=n):
+            w = sum(model.unary[shapes[i]][y[i]] for i in range(n)) + sum(model.chain[int(nodes.near[i])][y[i - 1], y[i]] for i in range(1, n))
+            mass = np.exp(w)
+            for k in hubs:  # the hub is a label of its own, summed out
+                mass *= sum(np.exp(sum(model.skip[0] * (y[i] == h) for i in range(n) if same[i] == k)) for h in range(L))
+            for i in range(n):
+                total[i, y[i]] += mass
+        p = pii.marginals(model, [nodes], rounds=60)
+        assert np.allclose(p, total / total.sum(axis=1, keepdims=True), atol=tolerance)
+
+    check(["", "", "", ""], 0.0, 1.0, 1e-4)
+    check(["x", "", "", ""], 1.0, 1.0, 1e-4)
+    check(["x", "", "x", ""], 0.3, 0.4, 0.01)
+    check(["x", "y", "x", "y"], 0.3, 0.4, 0.01)
+
+
+def test_added_spans_of_the_query_equal_a_plain_version(spark):
+    told = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(repeating_texts())], "doc_id long, text string")
+    mixed = [f"ring +1415555{i:04d} or, as before, 1415555{i:04d} then" for i in range(40)]
+    docs = table(spark, "documents").select("doc_id", "text").union(spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(mixed)], "doc_id long, text string"))
+    model = pii.fit(told)
+    found = {r.doc_id: r for r in pii.find_spans(docs, model).collect()}
+    assert sum(r.n_added for r in found.values()) > 0
+    for r in docs.collect():
+        base = plain_spans(r.text)
+        nodes = pii.nodes_of(r.text, base)
+        p = pii.marginals(model, [nodes])
+        added = pii.added_spans(r.text, base, nodes, p)
+        assert not any(a < e and s < b for _, a, b in added for _, s, e in base)
+        assert found[r.doc_id].spans == pii.written(sorted(base + added, key=lambda s: (s[1], pii.RANK[s[0]], s[2]))) and found[r.doc_id].n_added == len(added)
 
 
 def test_redaction_merges_overlaps():
@@ -248,6 +319,13 @@ def test_spellings_and_copyright_lines_dont_matter(spark):
     assert found == {1: ("MIT", ""), 2: (None, ""), 3: (None, "MIT")}
 
 
+def test_neighbouring_spellings_and_texts_of_a_callers_table(spark):
+    rows = spark.createDataFrame([(1, "Licence licence LICENCE"), (2, "license license license"), (3, "top\nAll the world may share this\nend"), (4, "top")], "doc_id int, text string")
+    found = {r.doc_id: r for r in licenses.scan(rows, spark.createDataFrame([("Own-1", "all the world may SHARE this"), ("Own-2", "top")], "license_id string, text string")).collect()}
+    assert found[1].digest == found[2].digest
+    assert (found[3].n_license_lines, found[3].line_licenses, found[3].license_id) == (2, "Own-1,Own-2", None) and found[4].license_id == "Own-2"
+
+
 def test_whole_texts_are_known_at_any_width(spark):
     import textwrap
 
@@ -324,6 +402,38 @@ def test_lattice_round_trip_and_counts(spark):
         assert r.ids == expected
 
 
+def test_a_long_unbroken_word_and_tables_of_ones_own(spark):
+    """Blocks of the fold, cut points, and pieces that aren't a model file's."""
+    rng = random.Random(2)
+    own = [("a", -1.0, 1), ("b", -1.5, 2), ("ab", -2.0, 3), ("ba", -2.25, 4), ("aba", -3.0, 5), (" a", -1.25, 6), ("c", -9.0, 7), (" ", -3.0, 8)]
+    known, _ = pieces.load_pieces()
+    texts = ["".join(rng.choice("ab") for _ in range(n)) for n in (1, 255, 256, 257, 511, 512, 513, 3000)] + ["aé\nb\t\t c😀 ", "c" * 700, "", None]
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30_000))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+
+    def plain(word, table, byte):
+        score, unknown = {p: (v, i) for p, v, i in table}, min(v for _, v, _ in table) - pieces.UNKNOWN_PENALTY
+        best = [(0.0, 0, 0)]
+        for e in range(1, len(word) + 1):
+            top = None
+            for s in range(max(0, e - 16), e):
+                v, i = score.get(word[s:e], (unknown, -1) if e - s == 1 else (None, None))
+                if v is not None and (top is None or best[s][0] + v > top[0]):
+                    top = (best[s][0] + v, s, i)
+            best.append(top)
+        out, e = [], len(word)
+        while e:
+            _, s, i = best[e]
+            out.append([i] if i >= 0 else [byte + c for c in word[s:e].encode()])
+            e = s
+        return [i for x in reversed(out) for i in x]
+
+    found = {r.doc_id: r.ids for r in pieces.encode(rows, table=(own, 100), chunk_bytes=900).collect()}
+    assert found == {i: None if x is None else plain(" " + x, own, 100) if x else [] for i, x in enumerate(texts)}
+    byte = pieces.load_pieces()[1]
+    assert pieces.encode(spark.createDataFrame([(1, letters)], "doc_id int, text string")).first().ids == plain(" " + letters, known, byte)
+
+
 def test_words_agree_with_the_library_as_a_unigram_model(spark):
     sentencepiece = pytest.importorskip("sentencepiece")
     pb = pytest.importorskip("sentencepiece.sentencepiece_model_pb2")
@@ -397,6 +507,114 @@ def test_paragraphs_items_and_cells_end_by_implication():
     assert main('<article><table><tr><td class="ad">B<td>A<tr class="ad"><td>B<tr><td>C</table></article>') == ["A", "C"]
 
 
+def extracted(spark, rows, wrappers=None):
+    return {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), wrappers).collect()}
+
+
+def test_the_wrapper_decides_what_is_main_text(spark):
+    """What a host's pages show at a slot holds for each of them; by another wrapper the same pages give other texts."""
+    page = lambda i, name, note: f'<body><article><div id="{name}"><p>story {i}</p></div><section id="{note}"><p>word {i}</p></section></article></body>'
+    rows = [(i, "http://h.example/x", page(i, f"s{i}", "comments" if i else "c0")) for i in range(20)] + [(20, "http://h.example/x", page(20, "ad", "comments"))]
+    assert extracted(spark, rows) == {i: f"story {i}" for i in range(21)}
+    plain = spark.createDataFrame([("h.example", '["<body>", "#", "</body>"]')], "host string, wrapper string")
+    own = extracted(spark, rows, plain)
+    assert own[0] == "story 0\nword 0" and own[20] == "" and own[5] == "story 5"
+    turned = '["<body>", "<article>", "<div>", "<p>", "#-", "</p>", "</div>", "<section>", "<p>", "#+", "</p>", "</section>", "</article>", "</body>"]'
+    assert extracted(spark, rows, spark.createDataFrame([("h.example", turned)], "host string, wrapper string")) == {i: f"word {i}" for i in range(21)}
+
+
+def test_slots_of_either_kind_leave_it_to_the_page(spark):
+    page = lambda i: f'<body><article><div id="{"ad" if i % 2 else "s"}"><p>text {i}</p></div><p>end {i}</p></article></body>'
+    assert extracted(spark, [(i, "http://h.example/x", page(i)) for i in range(10)]) == {i: (f"end {i}" if i % 2 else f"text {i}\nend {i}") for i in range(10)}
+
+
+def test_long_streams_are_aligned_at_what_both_have_once(monkeypatch):
+    rng = random.Random(4)
+    for _ in range(60):
+        x = [rng.choice("abcdefgh") + str(rng.randrange(3)) for _ in range(rng.randrange(40))]
+        y = [s for s in x if rng.random() < 0.8]
+        for _ in range(3):
+            y.insert(rng.randrange(len(y) + 1), "new")
+        exact = html_wrapper._common(x, y, 0, len(x), 0, len(y))
+        assert len(exact) == len(lcs(x, y))
+        monkeypatch.setattr(html_wrapper, "MAX_CELLS", 20)
+        near = html_wrapper._common(x, y, 0, len(x), 0, len(y))
+        monkeypatch.undo()
+        for places in (exact, near):
+            assert all(x[i] == y[j] for i, j in places)
+            assert all(a < c and b < d for (a, b), (c, d) in zip(places, places[1:], strict=False))
+    long = [f"<d{i}>" for i in range(50_000)]
+    both = html_wrapper.align(long, ["<x>", *long[:30_000], "<y>", *long[30_001:]])
+    assert len(both) == 50_000 + 2 and both[0] == ["?", ["<x>"]]
+
+
+def lcs(x, y):
+    row = [[]] * (len(y) + 1)
+    for a in x:
+        new = [[]]
+        for j, b in enumerate(y):
+            new.append([*row[j], a] if a == b else max(row[j + 1], new[j], key=len))
+        row = new
+    return row[-1]
+
+
+class PlainText(HTMLParser):
+    """The article's blocks by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.article, self.skipped, self.blocks, self.held = 0, [], [], []
+
+    def end_block(self):
+        text = " ".join("".join(self.held).split())
+        self.blocks += [text] if text else []
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_wrapper.BLOCKS:
+            self.end_block()
+        self.article += tag == "article"
+        if tag in ("nav", "header", "footer", "aside", "form", "script", "style") or dict(attrs).get("class") == "ad":
+            self.skipped.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_wrapper.BLOCKS:
+            self.end_block()
+        self.article -= tag == "article"
+        if self.skipped and self.skipped[-1] == tag:
+            self.skipped.pop()
+
+    def handle_data(self, data):
+        if self.article and not self.skipped:
+            self.held.append(data)
+
+
+def test_the_query_equals_a_plain_parser(spark):
+    found = {r.page_id: r for r in queries.op6_html(spark, str(SMALL)).collect()}
+    given = table(spark, "pages", SMALL).collect()
+    assert len(found) == len(given)
+    for r in given:
+        plain = PlainText()
+        plain.feed(r.html or "")
+        plain.end_block()
+        own = found[r.page_id]
+        assert own.text == "\n".join(plain.blocks) and own.n_chars == len(own.text) and own.url == r.url
+
+
+def test_odd_pages(spark):
+    long = "<article>" + "".join(f"<p>line {i}</p>" for i in range(20_000)) + "</article>"
+    rows = [
+        (1, None, None), (2, "http://a.example/", ""), (3, "http://a.example/", "<article><p>A</p></article>"), (3, "http://a.example/", "<article><p>A</p></article>"), (None, "no url", "<p>x &amp; <b>y</b>&am<b>p;</b>"),
+        (5, "http://a.example/", long), (6, "http://a.example/", "<article><p>unclosed <i>text"), (7, "http://a.example/", "   "), (8, "http://b.example/", "just text"),
+    ]
+    pages = spark.createDataFrame([(*r, "s", "t", "h", 1) for r in rows], "page_id long, url string, html string, text string, strings string, host string, salt int")
+    found = sorted(((r.page_id, r.url, r.text, r.n_chars) for r in html_wrapper.extract(pages).collect()), key=lambda x: (x[0] is None, x[0] or 0))
+    lines = "\n".join(f"line {i}" for i in range(20_000))
+    texts = {1: "", 2: "", 3: "A", None: "x & y&amp;", 5: lines, 6: "unclosed text", 7: "", 8: "just text"}
+    assert found == sorted(((i, u, texts[i], len(texts[i])) for i, u, _ in rows), key=lambda x: (x[0] is None, x[0] or 0))
+    assert html_wrapper.extract(pages.where("false")).count() == 0
+
+
 # ---- 7: rules -------------------------------------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 import pyarrow as pa
@@ -42,11 +45,13 @@ def fold(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none."""
+    """The folder that driver and executors share; a local one only in local mode, where none is named."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tramline-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -80,6 +85,29 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
+def give_back() -> None:
+    """Hand memory that is free back to the system: workers outlive their task, and an executor's share is bounded."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(_libc(), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+@functools.cache
+def _libc():
+    return ctypes.CDLL(None)
+
+
 def vector_udf(kind: pa.DataType):
     """An Arrow UDF that returns `kind`; unlike a type's text, it needs no session when the module is imported."""
-    return lambda f: F.arrow_udf(f, returnType=from_arrow_type(kind))
+
+    def of(f: Callable) -> Callable:
+        @functools.wraps(f)
+        def batch(*columns: pa.Array) -> pa.Array:
+            out = f(*columns)
+            give_back()
+            return out
+
+        return F.arrow_udf(batch, returnType=from_arrow_type(kind))
+
+    return of

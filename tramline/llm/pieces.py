@@ -46,7 +46,7 @@ SPACE = "▁"
 #: The broadcast piece table has this many rows at most.
 MAX_PIECES = 1_000_000
 UNKNOWN_PENALTY = 10.0
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 8_000_000
 
 Piece = tuple[str, float, int]
 
@@ -343,6 +343,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], cuts: Cuts, most: int) -> Iterato
             if not take and held.size and sizes[begin] > most - held.size:
                 yield held.packed(part << 32 | k)
                 k, held = k + 1, _Chunk(cuts)
+                common.give_back()
                 continue
             take = max(take, 1)
             held.add(batch.column(0).slice(begin, take), batch.column(1).slice(begin, take).to_pylist())
@@ -383,6 +384,8 @@ def _asked(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(order)), pa.int32()), words.take(pa.array(order)))
             parts = pc.binary_join_element_wise(pa.scalar(str(chunk.as_py())), pc.binary_join(lists, LINE_END), LINE_END)
             yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), parts], names=["bucket", "part"])
+            del words, at, order, lists, parts
+            common.give_back()
 
 
 ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary())])
@@ -399,6 +402,7 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         found = pc.split_pattern(part, LINE_END).values
         at = pc.index_in(found.slice(1), value_set=words).to_numpy()
         rows.append({"chunk": int(found[0].as_py()), "bucket": bucket, "ids": _squeeze(gathered(flat, begin, size, at)), "counts": _squeeze(size[at])})
+    common.give_back()
     return pa.Table.from_pylist(rows, schema=ANSWER)
 
 
@@ -414,6 +418,7 @@ GATHERED = 500_000
 
 def _encoded(chunk: pa.Table, answers: pa.Table, buckets: int, line_end: list[int]) -> pa.Table:
     """Of one chunk: doc_id and ids of its rows."""
+    common.give_back()
     docs = _unpack(chunk.column("docs")[0].as_py())
     words = _unpack(chunk.column("words")[0].as_py()).column(0).combine_chunks()
     places = _expand(chunk.column("places")[0].as_py())
