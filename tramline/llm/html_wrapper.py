@@ -1,38 +1,42 @@
 """HTML extraction with union-free regular expressions inferred from the pages of a host.
 
-A page becomes a stream of symbols: tags with their classes, and text slots that belong to the main text
-or don't. Streams of one host are aligned with the host's expression one after another: runs that repeat
-become repeated groups, stretches that just one side has become optional groups, texts become slots. The
-expression that matches all pages is the host's wrapper; a page's main text is what the wrapper's main
-slots hold.
-
-A text may be of the main text if it stands in an article (in a page without one: in the main element; without
-that: in the body), outside menus, headers, footers, asides, forms, scripts, styles and elements whose class,
-id or role names a menu, notice, advert or comment section. An article's or main element's own parts of names
-don't count, only a whole name does. If what is left is empty, articles or main elements that just such names
-hide are read as well. Of the texts that may be, those that four fifths of the host's pages share, and three
-pages at least, are strings of the template: the wrapper holds them as symbols of their own, and they aren't
-given out. Pages with one set of texts count once, so copies don't make a template; a page of which nothing
-would be left keeps its texts.
+A page becomes a stream of symbols: tags with their classes, and text slots, which all look alike. Streams of one
+host are aligned with the host's expression one after another: runs that repeat become repeated groups,
+stretches that just one side has become optional groups, texts become slots. The expression that matches all
+pages is the host's wrapper. Every page is then read by it, which gives each text its slot of the expression,
+and what the distinct pages of the host show at a slot decides for all of them:
+
+* A slot holds main text if nine tenths of its texts stand where main text may be, none if at most one tenth do;
+  in between, each text's own place decides, as it does for a page that the wrapper can't be made to match.
+* A string that four fifths of the host's pages have at the slot, and three pages at least, is the template's and
+  not given out. Pages with one set of texts count once, so copies don't make a template; a page of which
+  nothing would be left keeps its texts.
+
+Main text may be in an article (in a page without one: in the main element; without that: in the body), outside
+menus, headers, footers, asides, forms, scripts, styles and elements whose class, id or role names a menu,
+notice, advert or comment section. An article's or main element's own parts of names don't count, only a whole
+name does. If what is left is empty, articles or main elements that just such names hide are read as well.
 
 Wrappers are inferred by partial folds: every partition folds its pages into one expression for each host,
 equal ones are dropped, then salted groups and then hosts are folded; so a host with a third of all pages is
-never gathered in one task. Wrappers are broadcast when their written size is small and joined by a shuffle
-otherwise.
+never gathered in one task. Wrappers are broadcast when their written size is small; else each is joined in
+SALTS copies, so that a host's pages are spread over as many tasks.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and
 joined by a line end in page order; empty blocks are left out. Defined results: null or empty html gives an
 empty text; a null url or one without a host belongs to the empty host; repeated rows get a row each; an
 empty table gives an empty result. wrapper_matched is false where a repeated group took what an optional one
-needs; the text doesn't depend on it.
+needs; such a page is aligned with the wrapper first, and read by its texts' own places if that doesn't help.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -55,6 +59,7 @@ MARKS = frozenset(
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z0-9]+")
+DIGITS = re.compile(r"[0-9]+")
 
 #: Parts before a mark that make it a word about the layout.
 LAYOUT = frozenset("has with no without".split())
@@ -76,15 +81,19 @@ IMPLIED = {
 #: Elements in which an open paragraph outside doesn't end.
 PARAGRAPH_SCOPE = frozenset("td th caption table button object html template".split())
 
-MAIN, OTHER = "#main", "#other"
+TEXT = "#"
+#: What follows TEXT in a wrapper's slot: main text, none, or as each text's own place says; then the keys of the template's strings.
+LABELS = ("+", "-", "?")
 #: A string of the template: so many pages of the host have it, and this share of them in fifths.
 MIN_PAGES, FIFTHS = 3, 4
-#: Up to so many template strings in all are broadcast.
-MAX_BROADCAST_STRINGS = 1_000_000
+#: A slot is main, or isn't, if so many tenths of its texts at least, or the others at most, may be main text.
+TENTHS = 9
 #: Wrappers up to so many characters in all are broadcast.
 MAX_BROADCAST_CHARS = 32_000_000
 SALTS = 64
 LONGEST_REPEAT = 24
+#: Stretches are aligned by an exact longest common subsequence up to so many cells; longer ones are parted at symbols that both have once.
+MAX_CELLS = 1_000_000
 
 
 def marked(attributes: dict[str, str], whole: bool = False) -> bool:
@@ -144,22 +153,28 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
                 yield "close", name, {}
 
 
-def stream(page: str, template: frozenset[int] = frozenset()) -> tuple[list[str], list[tuple[int, str]]]:
-    """The page's symbols, and each text that may be main text with its place among the symbols. A slot never crosses a block.
+Slot = tuple[int, str, bool]
 
-    Such a text's symbol is MAIN, or its own if its key is one of the template's.
-    """
+
+def read(page: str) -> tuple[list[str], list[Slot]]:
+    """The page's symbols; and each text with its place among them and whether it may be main text. A slot never crosses a block."""
     given = list(tokens(page))
     names = {name for kind, name, attributes in given if kind == "open"}
     root = "article" if "article" in names else "main" if "main" in names or any(a.get("role") == "main" for k, _, a in given if k == "open") else ""
-    symbols, slots, hidden = _read(given, root, False, template)
-    return (symbols, slots) if slots or not hidden else _read(given, root, True, template)[:2]
+    symbols, slots, hidden = _read(given, root, False)
+    return (symbols, slots) if not hidden or any(main for *_, main in slots) else _read(given, root, True)[:2]
+
+
+def stream(page: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """The page's symbols, and each text that may be main text with its place among them."""
+    symbols, slots = read(page)
+    return symbols, [(at, text) for at, text, main in slots if main]
 
 
-def _read(given: list, root: str, reveal: bool, template: frozenset[int]) -> tuple[list[str], list[tuple[int, str]], int]:
+def _read(given: list, root: str, reveal: bool) -> tuple[list[str], list[Slot], int]:
     """Symbols, slots, and the number of roots that only a mark hides; reveal: such roots are read."""
     symbols: list[str] = []
-    slots: list[tuple[int, str]] = []
+    slots: list[Slot] = []
     open_: list[tuple[str, bool, bool, bool]] = []  # name, inside the root, skipped for its element, skipped for a mark
     held: list[str] = []
     held_main = False
@@ -167,21 +182,18 @@ def _read(given: list, root: str, reveal: bool, template: frozenset[int]) -> tup
 
     def flush() -> None:
         nonlocal held
-        text = " ".join(html.unescape("".join(held)).split())
+        text = " ".join("".join(held).split())
         held = []
-        if not text:
-            return
-        if held_main:
-            slots.append((len(symbols), text))
-            symbols.append(f"={key}" if template and (key := string_key(text)) in template else MAIN)
-        else:
-            symbols.append(OTHER)
+        if text:
+            slots.append((len(symbols), text, held_main))
+            symbols.append(TEXT)
 
     for kind, name, attributes in given:
         if kind == "open":
             if name in BLOCKS or name in SKIPPED:
                 flush()
-                symbols.append(f"<{name}.{attributes['class']}>" if attributes.get("class") else f"<{name}>")
+                # Numbers in a class differ from page to page.
+                symbols.append(f"<{name}.{DIGITS.sub('', attributes['class'])}>" if attributes.get("class") else f"<{name}>")
                 if name in IMPLIED or name in PARAGRAPH_ENDS:
                     _implied(open_, name)
             if name not in VOID:
@@ -200,7 +212,7 @@ def _read(given: list, root: str, reveal: bool, template: frozenset[int]) -> tup
             if main != held_main:
                 flush()
                 held_main = main
-            held.append(name)
+            held.append(html.unescape(name) if "&" in name else name)
         elif name not in VOID:
             if name in BLOCKS or name in SKIPPED:
                 flush()
@@ -250,26 +262,34 @@ def groups(items: list[Item]) -> list[list]:
 def wrap_single(items: list[Item], repeated: list[list]) -> list[Item]:
     """A stretch that the other side repeats is a repeated group here too, also if it stands here once."""
     for group in sorted(repeated, key=lambda g: -len(g[1])):
-        body, out, i = group[1], [], 0
+        plain, given = unlabelled(group), [unlabelled(x) for x in items]
+        body, out, i, wrapped = plain[1], [], 0, False
         while i < len(items):
-            if items[i : i + len(body)] == body:
-                if not (out and out[-1] == group):
-                    out.append(group)
-                i += len(body)
-            elif items[i] == group and out and out[-1] == group:
+            if given[i : i + len(body)] == body:
+                if not wrapped:
+                    out.append(["+", items[i : i + len(body)]])
+                i, wrapped = i + len(body), True
+            elif given[i] == plain and wrapped:
                 i += 1
             else:
+                wrapped = given[i] == plain
                 out.append(items[i])
                 i += 1
         items = out
     return items
 
 
+def unlabelled(item: Item) -> Item:
+    if isinstance(item, str):
+        return TEXT if item[0] == TEXT and item[1:2] in LABELS else item
+    return [item[0], [unlabelled(x) for x in item[1]]]
+
+
 def core(item: Item) -> str:
     """What two items must share to be aligned: an optional single item stands for its content."""
     while isinstance(item, list) and item[0] == "?" and len(item[1]) == 1:
         item = item[1][0]
-    return json.dumps(item)
+    return TEXT if isinstance(item, str) and item[0] == TEXT else json.dumps(unlabelled(item))
 
 
 def optional(items: list[Item]) -> list[Item]:
@@ -288,80 +308,176 @@ def align(a: list[Item], b: list[Item]) -> list[Item]:
     tail = 0
     while tail < min(len(x), len(y)) - head and x[-1 - tail] == y[-1 - tail]:
         tail += 1
-    n, m = len(x) - head - tail, len(y) - head - tail
+    out: list[Item] = []
+    # An optional item stays optional; of two slots the wrapper's, which may be labelled, stays.
+    pick = lambda i, j: b[j] if isinstance(b[j], list) and b[j][0] == "?" and not (isinstance(a[i], list) and a[i][0] == "?") else a[i]
+    i = j = 0
+    for di, dj in common_places(x, y, head, tail):
+        out += optional(a[i:di]) + optional(b[j:dj])
+        out.append(pick(di, dj))
+        i, j = di + 1, dj + 1
+    return out + optional(a[i:]) + optional(b[j:])
+
+
+def common_places(x: list[str], y: list[str], head: int, tail: int) -> list[tuple[int, int]]:
+    """Places of a common subsequence of x and y, which share their first head and last tail items."""
+    middle = _common(x, y, head, len(x) - tail, head, len(y) - tail)
+    return [(k, k) for k in range(head)] + middle + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+
+
+def _common(x: list[str], y: list[str], i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
+    """A longest one of x[i0:i1] and y[j0:j1]; beyond MAX_CELLS the longest one through symbols that both have just once, and what lies between."""
+    if i0 == i1 or j0 == j1:
+        return []
+    if (i1 - i0) * (j1 - j0) <= MAX_CELLS:
+        return _longest(x, y, i0, i1, j0, j1)
+    in_x, in_y = Counter(x[i0:i1]), Counter(y[j0:j1])
+    place = {s: j for j, s in enumerate(y[j0:j1], j0) if in_y[s] == 1 and in_x[s] == 1}
+    tails: list[int] = []
+    chain: list[tuple[int, int, int]] = []  # of x, of y, the one before
+    last: list[int] = []
+    for i in range(i0, i1):
+        j = place.get(x[i])
+        if j is not None:
+            k = bisect.bisect_left(tails, j)
+            chain.append((i, j, last[k - 1] if k else -1))
+            if k == len(tails):
+                tails.append(j)
+                last.append(len(chain) - 1)
+            else:
+                tails[k], last[k] = j, len(chain) - 1
+    anchors, at = [], last[-1] if last else -1
+    while at >= 0:
+        anchors.append(chain[at][:2])
+        at = chain[at][2]
+    out: list[tuple[int, int]] = []
+    i, j = i0, j0
+    for ai, aj in [*reversed(anchors), (i1, j1)] if anchors else []:
+        out += _common(x, y, i, ai, j, aj)
+        if ai < i1:
+            out.append((ai, aj))
+        i, j = ai + 1, aj + 1
+    return out
+
+
+def _longest(x: list[str], y: list[str], i0: int, i1: int, j0: int, j1: int) -> list[tuple[int, int]]:
+    n, m = i1 - i0, j1 - j0
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
+        own, below, symbol = best[i], best[i + 1], x[i0 + i]
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[head + i] == y[head + j] else max(best[i + 1][j], best[i][j + 1])
-    out: list[Item] = []
-    pick = lambda i, j: a[i] if isinstance(a[i], list) and a[i][0] == "?" else b[j]  # noqa: E731  optional stays optional
-    out += [pick(i, i) for i in range(head)]
-    i = j = 0
-    only_a: list[Item] = []
-    only_b: list[Item] = []
-    while i < n or j < m:
-        if i < n and j < m and x[head + i] == y[head + j]:
-            out += optional(only_a) + optional(only_b)
-            only_a, only_b = [], []
-            out.append(pick(head + i, head + j))
+            own[j] = below[j + 1] + 1 if symbol == y[j0 + j] else max(below[j], own[j + 1])
+    out, i, j = [], 0, 0
+    while i < n and j < m:
+        if x[i0 + i] == y[j0 + j]:
+            out.append((i0 + i, j0 + j))
             i, j = i + 1, j + 1
-        elif j >= m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            only_a.append(a[head + i])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            only_b.append(b[head + j])
             j += 1
-    out += optional(only_a) + optional(only_b)
-    out += [pick(len(a) - k, len(b) - k) for k in range(tail, 0, -1)]
     return out
 
 
 class Wrapper:
-    """An expression as a pattern over one character a symbol. Groups are possessive, so matching takes linear time."""
+    """An expression that reads pages. Groups take as much as they can and give nothing back, so reading takes linear time."""
 
     def __init__(self, items: list[Item]):
         self.items = items
-        self.letters: dict[str, str] = {}
-        self.pattern = re.compile(self._written(items))
+        self.slots: list[str] = []
+        self.tree = self._numbered(items)
+        # What the template's strings of a slot are, by the slot.
+        self.template = [frozenset(map(int, filter(None, x[2:].split(",")))) for x in self.slots]
 
-    def _written(self, items: list[Item]) -> str:
+    def _numbered(self, items: list[Item]) -> tuple:
         out = []
         for x in items:
-            if isinstance(x, str):
-                out.append(self.letters.setdefault(x, chr(0xE000 + len(self.letters))))
+            if not isinstance(x, str):
+                out.append((x[0], self._numbered(x[1])))
+            elif x[0] == TEXT:
+                out.append((TEXT, len(self.slots)))
+                self.slots.append(x)
             else:
-                out.append(f"(?:{self._written(x[1])}){x[0]}+")
-        return "".join(out)
+                out.append(("", x))
+        return tuple(out)
 
-    def matches(self, symbols: list[str]) -> bool:
-        get = self.letters.get
-        return self.pattern.fullmatch("".join(get(s, "\n") for s in symbols)) is not None
+    def places(self, symbols: list[str]) -> list[int] | None:
+        """The slot of every text of the page, or None if the expression doesn't match it."""
+        out: list[int] = []
+        return out if _take(self.tree, symbols, 0, out) == len(symbols) else None
 
-    def template(self) -> frozenset[int]:
-        """Keys of the template's strings that the wrapper holds."""
-        return frozenset(int(s[1:]) for s in self.letters if s[0] == "=")
+    def matches(self, symbols: list[str]) -> bool:
+        return self.places(symbols) is not None
+
+
+def _take(tree: tuple, symbols: list[str], at: int, out: list[int]) -> int:
+    """Where the page goes on behind what the tree takes from at on; -1 if it doesn't match."""
+    for kind, body in tree:
+        if kind == "" or kind == TEXT:
+            if at == len(symbols) or symbols[at] != (body if kind == "" else TEXT):
+                return -1
+            if kind == TEXT:
+                out.append(body)
+            at += 1
+            continue
+        first = True
+        while first or kind == "+":
+            mark = len(out)
+            end = _take(body, symbols, at, out)
+            if end < 0:
+                del out[mark:]
+                if first and kind == "+":
+                    return -1
+                break
+            first = False
+            if end == at:
+                break
+            at = end
+    return at
 
 
 def fold(wrapper: list[Item] | None, items: list[Item]) -> list[Item]:
     return items if wrapper is None or wrapper == items else align(wrapper, items)
 
 
+def read_by(wrapper: Wrapper, symbols: list[str]) -> tuple[Wrapper, list[int] | None]:
+    """The wrapper, aligned with the page first where it doesn't match, and the slots of the page's texts."""
+    found = wrapper.places(symbols)
+    if found is not None:
+        return wrapper, found
+    wider = Wrapper(align(wrapper.items, collapse(symbols)))
+    return wider, wider.places(symbols)
+
+
+def main_text(page: str, wrapper: Wrapper) -> tuple[str, bool]:
+    """The texts at the wrapper's main slots, and whether it matches as it is."""
+    symbols, slots = read(page)
+    used, places = read_by(wrapper, symbols)
+    if places is None:
+        return "\n".join(text for _, text, main in slots if main), False
+    kept, constant = [], []
+    for (_, text, main), k in zip(slots, places, strict=True):
+        label = used.slots[k][1:2]
+        if main if label in ("", "?") else label == "+":
+            (constant if used.template[k] and string_key(text) in used.template[k] else kept).append(text)
+    return "\n".join(kept or constant), used is wrapper
+
+
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One expression for each host of a partition; a stream that was seen or that matches isn't aligned again."""
     held: dict[str, Wrapper] = {}
     seen: set[tuple[str, str]] = set()
     for batch in batches:
-        for host, page, strings in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            symbols, _ = stream(page or "", frozenset(strings or ()))
+        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            symbols, _ = read(page or "")
+            if host in held and held[host].matches(symbols):
+                continue
             items = collapse(symbols)
             key = (host, json.dumps(items))
             if key in seen:
                 continue
             seen.add(key)
-            if host not in held:
-                held[host] = Wrapper(items)
-            elif not held[host].matches(symbols):
-                held[host] = Wrapper(align(held[host].items, items))
+            held[host] = Wrapper(align(held[host].items, items) if host in held else items)
     if held:
         yield pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([json.dumps(w.items) for w in held.values()])], names=["host", "wrapper"])
 
@@ -377,37 +493,80 @@ def host_of(url):
     return F.regexp_extract(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, and the sorted keys of the texts that may be main text, of every page that has some."""
-    for batch in batches:
-        hosts, keys = [], []
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            found = sorted({string_key(text) for _, text in stream(page or "")[1]})
-            if found:
-                hosts.append(host)
-                keys.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "keys"])
+SHOWN = pa.struct([("slot", pa.int32()), ("key", pa.int64()), ("main", pa.bool_())])
 
 
-def template_strings(pages: DataFrame) -> DataFrame:
-    """host and strings (keys), of hosts whose pages share some. pages: host, html."""
-    distinct = common.materialize(pages.mapInArrow(_strings, "host string, keys array<long>").distinct())
+@common.vector_udf(pa.list_(SHOWN))
+def _shown(page: pa.Array, wrapper: pa.Array) -> pa.Array:
+    """What a page shows at the wrapper's slots: each slot and key once, sorted; null for a page that doesn't match."""
+    out, known = [], {}
+    for x, w in zip(page.to_pylist(), wrapper.to_pylist(), strict=True):
+        if w not in known:
+            known[w] = Wrapper(json.loads(w))
+        symbols, slots = read(x or "")
+        places = known[w].places(symbols)
+        found = None if places is None else {(k, string_key(text)): main for (_, text, main), k in zip(slots, places, strict=True)}
+        out.append(None if found is None else [{"slot": k, "key": key, "main": main} for (k, key), main in sorted(found.items())])
+    return pa.array(out, pa.list_(SHOWN))
+
+
+def evidence(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """host and labels of the slots that decide: slot, label, and the keys of the template's strings there."""
+    shown = by_host(pages, wrappers).select("host", _shown("html", "wrapper").alias("shown")).where("shown IS NOT NULL")
+    distinct = common.materialize(shown.distinct())
     total = distinct.groupBy("host").agg(F.count("*").alias("pages"))
-    shared = distinct.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
-    found = shared.join(total, "host").where(F.col("n") * 5 >= F.col("pages") * FIFTHS)
-    return found.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("strings"))
+    rows = distinct.select("host", F.explode("shown").alias("x")).select("host", "x.*")
+    by_key = rows.groupBy("host", "slot", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("main"), 1)).alias("n_main"))
+    by_slot = (
+        by_key.join(total, "host")
+        .groupBy("host", "slot")
+        .agg(
+            F.sum("n").alias("n"),
+            F.sum("n_main").alias("n_main"),
+            F.sort_array(F.collect_list(F.when((F.col("n") >= MIN_PAGES) & (F.col("n") * 5 >= F.col("pages") * FIFTHS), F.col("key")))).alias("keys"),
+        )
+    )
+    main, others = F.col("n_main") * 10 >= F.col("n") * TENTHS, F.col("n_main") * 10 <= F.col("n") * (10 - TENTHS)
+    label = F.when(main, "+").when(others, "-").otherwise("?")
+    return by_slot.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", label.alias("label"), "keys"))).alias("labels"))
+
+
+LABELLED = pa.string()
+
+
+@common.vector_udf(LABELLED)
+def _labelled(wrapper: pa.Array, labels: pa.Array) -> pa.Array:
+    return pa.array([labelled(w, x or []) for w, x in zip(wrapper.to_pylist(), labels.to_pylist(), strict=True)], LABELLED)
+
+
+def labelled(wrapper: str, labels: list[dict]) -> str:
+    """The wrapper with its slots labelled."""
+    of = {x["slot"]: TEXT + x["label"] + ",".join(map(str, x["keys"])) for x in labels}
+    number = iter(range(len(wrapper)))
+
+    def put(items: list[Item]) -> list[Item]:
+        return [[x[0], put(x[1])] if not isinstance(x, str) else of.get(next(number), TEXT) if x[0] == TEXT else x for x in items]
+
+    return json.dumps(put(json.loads(wrapper)))
+
+
+def by_host(rows: DataFrame, wrappers: DataFrame) -> DataFrame:
+    """Rows with their host's wrapper."""
+    total = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
+    if total <= MAX_BROADCAST_CHARS:
+        return rows.join(F.broadcast(wrappers), "host")
+    copies = wrappers.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int")).join(copies, ["host", "salt"]).drop("salt")
 
 
 def infer(pages: DataFrame) -> DataFrame:
-    """host and wrapper (JSON) of every host."""
+    """host and wrapper (JSON) of every host: the expression, its slots labelled."""
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    strings = common.materialize(template_strings(rows))
-    total = strings.agg(F.coalesce(F.sum(F.size("strings")), F.lit(0))).first()[0]
-    rows = rows.join(F.broadcast(strings) if total <= MAX_BROADCAST_STRINGS else strings, "host", "left").select("host", "html", "strings")
     found = rows.mapInArrow(_partial, "host string, wrapper string").distinct()
     found = found.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
     found = found.groupBy("host", "salt").applyInArrow(_merged, "host string, wrapper string").distinct()
-    return found.groupBy("host").applyInArrow(_merged, "host string, wrapper string")
+    expressions = common.materialize(found.groupBy("host").applyInArrow(_merged, "host string, wrapper string"))
+    return expressions.join(evidence(rows, expressions), "host", "left").select("host", _labelled("wrapper", "labels").alias("wrapper"))
 
 
 FOUND = pa.struct([("text", pa.string()), ("matched", pa.bool_())])
@@ -418,20 +577,15 @@ def _extracted(page: pa.Array, wrapper: pa.Array) -> pa.Array:
     out, known = [], {}
     for x, w in zip(page.to_pylist(), wrapper.to_pylist(), strict=True):
         if w not in known:
-            wrapper = Wrapper(json.loads(w))
-            known[w] = wrapper, wrapper.template()
-        wrapper, template = known[w]
-        symbols, slots = stream(x or "", template)
-        main = [text for at, text in slots if symbols[at] == MAIN] or [text for _, text in slots]
-        out.append({"text": "\n".join(main), "matched": wrapper.matches(symbols)})
+            known[w] = Wrapper(json.loads(w))
+        text, matched = main_text(x or "", known[w])
+        out.append({"text": text, "matched": matched})
     return pa.array(out, FOUND)
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
     """page_id, url, text, n_chars, and whether the host's wrapper matches, of every row of pages."""
     wrappers = common.materialize(infer(pages)) if wrappers is None else wrappers
-    total = wrappers.agg(F.coalesce(F.sum(F.length("wrapper")), F.lit(0))).first()[0]
     own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    rows = own.join(F.broadcast(wrappers) if total <= MAX_BROADCAST_CHARS else wrappers, "host")
-    found = rows.select("page_id", "url", _extracted("html", "wrapper").alias("f"))
+    found = by_host(own, wrappers).select("page_id", "url", _extracted("html", "wrapper").alias("f"))
     return found.select("page_id", "url", F.col("f.text").alias("text"), F.length("f.text").cast("long").alias("n_chars"), F.col("f.matched").alias("wrapper_matched"))
