@@ -3,13 +3,17 @@
 Base detectors find e-mail addresses, IP addresses, card and phone numbers by pattern and checksum; what
 they find always stays. The field labels the tokens around them: a token's potential comes from its
 shape, chain potentials tie neighbours, and skip potentials tie distant tokens of a document that repeat
-or resemble each other (the same characters; the same length, shape and first digits). Tokens of one
-such group share a hub variable, so a group of n tokens has n skip edges, not n * n. Loopy message
-passing gives the marginals; tokens labelled with a kind outside the base spans become further spans.
+or resemble each other (the same characters, or the same digits without a point, seven at least where a
+token has no letters; the same length, shape and first digits). Tokens of one such group share a hub
+variable, so a group of n tokens has n skip edges, not n * n. Loopy message passing gives the marginals;
+tokens labelled with a kind outside the base spans become further spans: a number that stands elsewhere in
+the document as a phone number's part is one here too, with or without its "+".
 
 Weights are fitted by weighted pseudo-likelihood on counts of (shape, labels of the neighbours, label of
-the group, own label) gathered over all documents, with the base detectors' labels as the truth. The
-number of distinct counts depends on the shapes, not on the number of documents.
+the group, own label) gathered over all documents, with the base detectors' labels as the truth, but for one
+case: a token without a label whose group mostly has a kind says nothing, as the patterns can't tell there.
+The number of distinct counts depends on the shapes, not on the number of documents; the `max_counts` most
+frequent ones are fitted.
 
 Offsets are code points, ends exclusive. Defined results: a null or empty text has no spans; repeated
 rows get a row each; an empty table gives an empty result. Extra columns are kept by `redact`.
@@ -144,7 +148,8 @@ def nodes_of(text: str, base: list[Span]) -> Nodes:
                 break
         out.at.append((a, b))
         out.shape.append(shape)
-        out.same.append(digits if letters == 0 else token.lower())
+        # Short numbers repeat by chance; with points they aren't the number that their digits make.
+        out.same.append(token.lower() if letters and len(token) >= 5 or token.count(".") == 3 else digits if not letters and len(digits) >= 7 and "." not in token else "")
         out.alike.append(f"{len(digits)}/{shape[1:]}/{digits[:6]}" if letters == 0 and len(digits) >= 8 else "")
         out.label.append(label)
         out.near.append(a == last + 1)
@@ -165,7 +170,7 @@ def group_label(labels: list[int], own: int, counts: Counter) -> int:
 
 
 def pseudo_rows(nodes: Nodes) -> Iterator[tuple[int, ...]]:
-    """For the fit: shape, near and label of both neighbours, labels of both groups, own label."""
+    """For the fit: shape, near and label of both neighbours, labels of both groups, own label; not for tokens without a label whose group has a kind."""
     n = len(nodes.at)
     by: list[dict[str, Counter]] = [{}, {}]
     for which, keys in zip(by, (nodes.same, nodes.alike), strict=True):
@@ -176,6 +181,8 @@ def pseudo_rows(nodes: Nodes) -> Iterator[tuple[int, ...]]:
         before = (int(nodes.near[i]), nodes.label[i - 1]) if i else (0, NONE)
         after = (int(nodes.near[i + 1]), nodes.label[i + 1]) if i + 1 < n else (0, NONE)
         groups = [group_label(nodes.label, own, w[k]) if k else NONE for w, k in ((by[0], nodes.same[i]), (by[1], nodes.alike[i]))]
+        if own == O and any(g < O for g in groups):
+            continue
         yield (*nodes.shape[i], *before, *after, *groups, own)
 
 
@@ -319,8 +326,8 @@ def find(model: SkipChain, texts: list[str | None]) -> list[tuple[list[Span], li
     return out
 
 
-def fit(documents: DataFrame) -> SkipChain:
-    """Counts over all documents, added up before and after the shuffle, then the weights."""
+def fit(documents: DataFrame, max_counts: int = 100_000) -> SkipChain:
+    """Counts over all documents, added up before and after the shuffle, then the weights; the most frequent counts come to the driver."""
     columns = [f"c{i}" for i in range(SHAPE + 7)]
     schema = ", ".join(f"{c} int" for c in columns) + ", n long"
 
@@ -335,8 +342,8 @@ def fit(documents: DataFrame) -> SkipChain:
             arrays = [pa.array(keys[:, i]) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(list(found.values()), pa.int64())], names=[*columns, "n"])
 
-    counted = documents.select("text").mapInArrow(count, schema).groupBy(*columns).agg(F.sum("n").alias("n")).orderBy(*columns)
-    rows = counted.collect()
+    counted = documents.select("text").mapInArrow(count, schema).groupBy(*columns).agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), *columns).limit(max_counts).collect()
     return fit_weights([tuple(r)[:-1] for r in rows], [r["n"] for r in rows])
 
 
