@@ -261,12 +261,13 @@ def score_texts(field: Field, all_texts: list[bytes]) -> np.ndarray:
     return score_batch(field, Batch.of(all_texts))
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1500) -> Field:
-    """Learn from the training folds: at most max_rows rows of each label. The sample's ids are broadcast, their number is bounded."""
+def fit(documents: DataFrame, labels: DataFrame, max_rows: int = 1500, max_chars: int = 20_000) -> Field:
+    """Learn from the training folds: at most max_rows rows of each label, whose texts have at most max_chars characters. The sample's ids are broadcast, their number is bounded."""
     rows = common.labelled(documents.sparkSession, labels, "quality")
     all_share = rows.agg(F.avg("label")).first()[0]
     sample = common.bounded(rows.where("label = 0"), max_rows).unionByName(common.bounded(rows.where("label = 1"), max_rows))
-    found = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
+    sampled = documents.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
+    found = sampled.join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending")])
     text = [b"" if x is None else x.encode() for x in found.column("text").to_pylist()]
     return fit_field(text, found.column("label").to_numpy(), all_share=all_share)
 

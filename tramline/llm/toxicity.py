@@ -7,9 +7,11 @@ examples and unlabelled text. The risk is the class-prior-corrected estimator
 
 with the logistic loss l; where the second part is negative, its gradient is reversed.
 
-Fitting reads a bounded sample of the labelled rows (`max_positive`, `max_unlabelled`); the negative
-labels of the unlabelled part aren't used, but for the class prior, which is the share of toxic rows
-among all labelled rows of the training folds. Scoring covers every row and every whole text.
+Positive examples are a bounded sample of the rows labelled toxic (`max_positive`); unlabelled text is one of all
+rows of the training folds that have a label (`max_unlabelled`), with the label put aside: only there is the class
+prior known, as the share of toxic rows. (Text of all documents was tried: with the same prior it has other
+shares of both classes, and more clean documents are taken for toxic.) Texts of more than `max_chars` characters
+aren't sampled, so what comes to the driver is bounded in bytes. Scoring covers every row and every whole text.
 
 Defined results: a null or empty text has no words and gets the score of the bias alone; repeated
 rows get a row each; an empty table gives an empty result; with no toxic example every score is the
@@ -108,6 +110,7 @@ def fit(
     labels: DataFrame,
     max_positive: int = 4000,
     max_unlabelled: int = 8000,
+    max_chars: int = 20_000,
 ) -> Model:
     """Learn from the training folds. The sample's ids are bounded by the parameters, so they're broadcast."""
     spark = documents.sparkSession
@@ -126,6 +129,7 @@ def fit(
 
     found = (
         documents.select("doc_id", "text")
+        .where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
         .join(F.broadcast(sample), "doc_id")
         .select("is_p", "doc_id", hashed("text").alias("f"))
         .toArrow()
