@@ -5,8 +5,9 @@ length of the longest match that ends at each word is tracked. A word inside a m
 words (or inside a whole item with fewer) is hit. `remove_spans` cuts the hit spans out of a text
 and rejects a document of which they cover too much.
 
-Items are dealt to automata of at most `block_words` words each, so that what is broadcast has a
-fixed bound; every document is streamed through each of them.
+Items are dealt to automata of at most `block_words` words each (a longer item is one by itself), and every
+document is streamed through each of them. Between two blocks what was found is written to the shared folder, so
+that neither the driver nor a worker holds more than one automaton: some 650 bytes a word.
 
 Defined results: a null or empty text has no words, no hits and isn't contaminated; an item without
 words or with a null text matches nothing; a null item_id counts as the empty text; repeated rows
@@ -21,13 +22,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tramline.llm import common
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 250_000
 
 #: A-Z become a-z, other ASCII characters but digits and letters become spaces.
 NORMAL = bytes(
@@ -203,21 +204,18 @@ def _union(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(out, HITS)
 
 
-def hits_column(
-    spark: SparkSession, benchmark: DataFrame, text: Column, window: int = WINDOW, block_words: int = BLOCK_WORDS
-) -> Column:
-    """A struct of n_words, the merged hit spans in words and the sorted ids of the items that occur in text."""
-    column = None
+def with_hits(documents: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """documents with a struct of n_words, the merged hit spans in words and the sorted ids of the items that occur in text."""
+    spark, found = documents.sparkSession, None
     for block in _blocks(benchmark, block_words):
-        one = _hits_column(spark, Automaton(block, window))(text)
-        column = one if column is None else _union(column, one)
-    return _hits_column(spark, Automaton([], window))(text) if column is None else column
+        one = _hits_column(spark, Automaton(block, window))(F.col("text"))
+        found = documents.withColumn(name, one) if found is None else common.materialize(found).withColumn(name, _union(name, one))
+    return documents.withColumn(name, _hits_column(spark, Automaton([], window))(F.col("text"))) if found is None else found
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id and hits (n_words, starts, ends, items) of every row of documents."""
-    hits = hits_column(documents.sparkSession, benchmark, F.col("text"), window, block_words)
-    return documents.select("doc_id", hits.alias("hits"))
+    return with_hits(documents.select("doc_id", "text"), benchmark, "hits", window, block_words).select("doc_id", "hits")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -251,9 +249,6 @@ def remove_spans(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """documents with every hit span cut from text; rows of which the spans cover more than max_coverage of the words go."""
-    spark = documents.sparkSession
-    hits = hits_column(spark, benchmark, F.col("text"), window, block_words)
-
     @common.vector_udf(pa.struct([("keep", pa.bool_()), ("text", pa.string())]))
     def apply(text: pa.Array, found: pa.Array) -> pa.Array:
         keep, out = [], []
@@ -266,7 +261,8 @@ def remove_spans(
     own = "__decontaminated"
     while own in documents.columns:
         own += "_"
-    done = documents.withColumn(own, apply.asNondeterministic()(F.col("text"), hits)).where(F.col(own)["keep"])
+    found = with_hits(documents, benchmark, own, window, block_words)
+    done = found.withColumn(own, apply.asNondeterministic()(F.col("text"), F.col(own))).where(F.col(own)["keep"])
     return done.select(*[F.col(own)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
