@@ -206,7 +206,7 @@ SPDX = r"(?i)SPDX-License-Identifier:"
 OPERATOR = r"(?i)[ \t()]+(?:AND|OR)[ \t()]+"
 EXCEPTION = r"(?i)[ \t]+WITH[ \t]+[A-Za-z0-9.-]+"
 PLUS = r"(?i)\b((?:A|L)?GPL-[\d.]+|GFDL-[\d.]+)\+"
-#: What a line needs to be looked up; every known text without a line end has it.
+#: What a line needs to be looked up, as long as every known text has it.
 NOTICE = r"(?i)licen[cs]e|permission|software|SPDX"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
@@ -216,10 +216,11 @@ def canonical(text: Column) -> Column:
     stated = F.regexp_replace(F.coalesce(text, F.lit("")), FOUNDATION, "")
     lower = F.lower(F.regexp_replace(stated, STATEMENT, ""))
     words = F.regexp_replace(lower, NOT_WORD, " ")
-    padded = F.concat(F.lit(" "), F.trim(words), F.lit(" "))
+    # Two spaces between words, so that neighbours don't share the one that a spelling is found by.
+    padded = F.concat(F.lit(" "), F.replace(F.trim(words), F.lit(" "), F.lit("  ")), F.lit(" "))
     for old, new in EQUIVALENT:
-        padded = F.replace(padded, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(padded)
+        padded = F.replace(padded, F.lit(f" {old.replace(' ', '  ')} "), F.lit(f" {new.replace(' ', '  ')} "))
+    return F.trim(F.replace(padded, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:
@@ -248,11 +249,13 @@ def scan(documents: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if table.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST:
         table = F.broadcast(table)
     whole = documents.select("doc_id", digest(F.col("text")).alias("digest")).join(table, "digest", "left")
-    # Only lines go on that a notice can be: few words name a licence, so what is exploded is small.
-    lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(NOTICE))
+    # Only lines go on that a notice can be: few words name a licence, so what is exploded is small. A caller's table may know others.
+    short = known is None or not known.where(~canonical(F.col("text")).rlike(NOTICE)).limit(1).count()
+    every = F.split("text", "\n", -1)
+    lines = F.filter(every, lambda x: x.rlike(NOTICE)) if short else every
     found = (
         documents.select("doc_id", "text")
-        .where(F.col("text").rlike(NOTICE))
+        .where(F.col("text").rlike(NOTICE) if short else F.col("text").isNotNull())
         .select("doc_id", digest(F.col("text")).alias("whole"), F.posexplode(lines).alias("at", "line"))
         .select("doc_id", "whole", "at", F.explode(notices(F.col("line"))).alias("line"))
         .select("doc_id", "whole", "at", digest(F.col("line")).alias("digest"))
