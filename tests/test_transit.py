@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import clock, geo, measures
@@ -67,6 +68,111 @@ def test_search_equals_whole_trip_enumeration(spark):
         assert {r.stop_id: r.arrival for r in routing.earliest(found, opt).collect()} == brute_force(conns, walks, 0, 28000, opt)
 
 
+def skyline_brute_force(conns, walks, origin, at, opt):
+    """(stop, arrival, boardings, walking) that no other beats, by following whole trips from every label."""
+    trips, labels, every = {}, {(origin, "origin", at, 0)}, set()
+    for c in sorted(conns, key=lambda c: c[5]):
+        trips.setdefault(c[2], []).append(c)
+    for k in range(1, opt.boardings + 1):
+        rides = set()
+        for stop, kind, t, w in labels:
+            ready = t + {"ride": opt.same_stop + opt.buffer, "transfer": opt.buffer, "origin": 0}[kind]
+            for calls in trips.values():
+                for i, c in enumerate(calls):
+                    if c[3] == stop and c[6] and c[0] >= ready:
+                        rides |= {(later[4], "ride", later[1], w) for later in calls[i:] if later[7]}
+        labels = rides | {(b, "transfer", t + s, w + s) for stop, _, t, w in rides for a, b, s in walks if a == stop}
+        every |= {(stop, t, k, w) for stop, _, t, w in labels}
+    return {x for x in every if not any(y[0] == x[0] and y != x and all(p <= q for p, q in zip(y[1:], x[1:], strict=True)) for y in every)}
+
+
+def small_network(rng, name=lambda stop: stop):
+    conns = []
+    for k in range(24):
+        t = rng.randrange(28000, 36000)
+        for i, (a, b) in enumerate(itertools.pairwise(rng.sample(range(8), rng.randrange(2, 6)))):
+            dep, arr = t, t + rng.randrange(60, 900)
+            conns.append((dep, arr, f"T{k}", name(a), name(b), i + 1, rng.random() < 0.8, rng.random() < 0.8))
+            t = arr + rng.randrange(0, 60)
+    return conns, [(name(a), name(b), rng.randrange(60, 900)) for a in range(8) for b in range(8) if a != b and rng.random() < 0.3]
+
+
+def test_skylines_equal_whole_trip_enumeration(spark):
+    for seed in (3, 4):
+        conns, walks = small_network(random.Random(seed))
+        opt = routing.Options(boardings=3)
+        start = spark.createDataFrame([(0, 0, 28000)], "origin_id int, stop_id int, arrival long")
+        found = routing.pareto(routing.labels(spark.createDataFrame(conns, CONN), spark.createDataFrame(walks, NO_WALKS), start, opt))
+        assert {(r.stop_id, r.arrival, r.boardings, r.walking) for r in found.collect()} == skyline_brute_force(conns, walks, 0, 28000, opt)
+
+
+def test_journeys_on_a_network_of_named_stops(spark):
+    """Stop ids are text, as in real feeds: every leg exists, legs fit together, and the last one ends when the search says."""
+    conns, walks = small_network(random.Random(5), lambda stop: f"a:{stop}")
+    timetable_, table = spark.createDataFrame(conns, CONN.replace("stop_id int", "stop_id string")), spark.createDataFrame(walks, NO_WALKS.replace("stop_id int", "stop_id string"))
+    opt = routing.Options(boardings=3)
+    best = {r.stop_id: (r.arrival, r.boardings) for r in routing.windows(timetable_, table, "a:0", [28000], opt).collect()}
+    start = spark.createDataFrame([("a:0", "a:0", 28000)], "origin_id string, stop_id string, arrival long")
+    legs = {}
+    for r in routing.journeys(timetable_, table, start, opt).orderBy("stop_id", "leg").collect():
+        legs.setdefault(r.stop_id, []).append(r)
+    assert {s: (x[-1].arrival, sum(y.mode == "ride" for y in x)) for s, x in legs.items()} == best
+    for stop, own in legs.items():
+        at, t, before = "a:0", 28000, "origin"
+        for x in own:
+            assert x.from_stop == at and x.departure >= t
+            if x.mode == "walk":
+                assert (at, x.to_stop, x.arrival - x.departure) in walks
+            else:
+                assert x.departure >= t + {"ride": 180, "walk": 60, "origin": 0}[before]
+                board = [c for c in conns if c[2] == x.run and c[3] == at and c[0] == x.departure and c[6]]
+                assert board and any(c[2] == x.run and c[4] == x.to_stop and c[1] == x.arrival and c[7] and c[5] >= board[0][5] for c in conns)
+            at, t, before = x.to_stop, x.arrival, x.mode
+        assert at == stop
+    via = routing.through_via(timetable_, table, "a:0", "a:3", 28000, opt)
+    assert all(r.arrival >= best["a:3"][0] for r in via.collect())
+    asked = [r.asDict() for r in routing.journey(timetable_, table, "a:0", "a:3", 28000, opt).collect()]
+    assert [x["from_stop_id"] for x in asked] == [x.from_stop for x in legs["a:3"]]
+
+
+def test_a_matrix_has_a_bound(spark):
+    many = spark.range(300).select(F.col("id").alias("origin_id"), F.col("id").alias("destination_id"), F.col("id").alias("stop_id"))
+    with pytest.raises(ValueError, match="65536"):
+        routing.matrix(None, None, many, many, 0)
+
+
+BOARD = "trip_id string, route_id string, direction_id int, service_id string, stop_sequence int, stop_id int, arrival long, departure long"
+
+
+def test_board_asks_the_calendar_and_the_reports(spark):
+    """Monday's trip doesn't leave on Tuesday; yesterday's after midnight and tomorrow's do; reports cancel, skip, move and drop calls."""
+    calls = spark.createDataFrame([(f"T{k}", f"R{k}", 0, s, 3, 7, t, t) for k, s, t in ((0, "MON", 40000), (1, "TUE", 40000), (2, "MON", 90000), (3, "WED", 1000), (4, "TUE", 41000), (5, "TUE", 42000), (6, "TUE", 39000), (7, "TUE", 43000), (8, "TUE", 44000), (9, "TUE", 30000))], BOARD)
+    days = spark.createDataFrame([("MON", "2024-01-15"), ("TUE", "2024-01-16"), ("WED", "2024-01-17")], "service_id string, day string").withColumn("day", F.to_date("day"))
+    updates = spark.createDataFrame([("a", "T4", "CANCELED", True, None, None), ("b", "T5", None, True, None, None), ("c", "T6", None, True, None, None), ("d", "T7", None, False, None, None), ("e", "T8", "DELETED", True, None, None), ("f", "T9", None, True, None, 3)], "update_id string, trip_id string, relationship string, fresh boolean, passed int, at_stop int")
+    updates = updates.withColumn("day", F.to_date(F.lit("2024-01-16")))
+    told = spark.createDataFrame([("b", 3, True, None, None), ("c", 3, False, 41500, 41600)], "update_id string, stop_sequence int, skipped boolean, arrival long, departure long")
+    board = lambda now, until, **more: [(r.trip_id, str(r.day)[-2:], r.expected, r.status) for r in operations.stop_board(calls, days, 7, "2024-01-16", now, until, updates, told, **more).collect()]
+    assert board(39500, 90000) == [("T9", "16", 30000, "scheduled"), ("T1", "16", 40000, "scheduled"), ("T4", "16", 41000, "cancelled"), ("T6", "16", 41500, "live"), ("T5", "16", 42000, "skipped"), ("T7", "16", 43000, "stale"), ("T3", "17", 87400, "scheduled")]
+    assert board(0, 5000) == [("T9", "16", 30000, "scheduled")][:0] + [("T2", "15", 3600, "scheduled")]
+    assert [x[0] for x in board(39500, 90000, next_per_route=True)] == ["T9", "T1", "T6", "T7", "T3"]
+
+
+DEPARTURES = "route_id string, direction_id int, stop_id int, day string, trip_id string, scheduled long, predicted long, passed boolean"
+
+
+def test_headways_ask_that_all_between_report(spark):
+    rows = lambda *x: spark.createDataFrame([("R", 0, 7, "d", f"T{k}", s, p, g) for k, (s, p, g) in enumerate(x)], DEPARTURES)
+    pairs = lambda *x: [(r.before, r.trip_id, r.planned, r.actual, r.reversed, r.kind, r.severity) for r in operations.headways(rows(*x)).orderBy("before").collect()]
+    assert pairs((0, 0, False), (600, 660, False), (1200, 1200, False)) == [("T0", "T1", 600, 660, False, "gap", "info"), ("T1", "T2", 600, 540, False, "bunching", "info")]
+    assert pairs((0, 0, False), (600, None, False), (1200, 1300, False)) == []
+    assert pairs((0, 900, False), (600, 800, False)) == [("T0", "T1", 600, 100, True, "bunching", "critical")]
+    assert pairs((0, 1900, False), (600, 700, False)) == []
+    found = lambda *x: [(r.before, r.trip_id, r.planned, r.actual, r.severity) for r in operations.reordered_bunching(rows(*x)).collect()]
+    late = ((0, 1500, False), (600, 620, False), (1200, 1530, False))
+    assert found(*late) == [("T0", "T2", 600, 30, "critical")]
+    assert found(late[0], (600, None, True), late[2]) == [("T0", "T2", 600, 30, "critical")] and found(late[0], (600, None, False), late[2]) == []
+
+
 def test_removing_service_never_helps(spark):
     conns = [(i * 100, i * 100 + 50 + i % 7, f"T{i}", i % 5, (i * 3 + 1) % 5, 1, True, True) for i in range(40) if i % 5 != (i * 3 + 1) % 5]
     start = spark.createDataFrame([(0, 0, 0)], "origin_id int, stop_id int, arrival long")

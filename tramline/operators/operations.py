@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tramline.functions.measures import spacing_alert
+from tramline.operators import calendar as service_calendar
+
 FRESH_SECONDS, FUTURE_SECONDS = 180, 60
 
 
@@ -62,34 +65,109 @@ def propagate_delays(calls: DataFrame) -> DataFrame:
     return blocks.withColumn("predicted_delay", carried).drop("block")
 
 
-def headways(calls: DataFrame) -> DataFrame:
-    """W7, OP3: scheduled neighbours at a stop with their scheduled and predicted interval; bunched below half, a gap above one and a half."""
-    w = Window.partitionBy("route_id", "direction_id", "stop_id").orderBy("scheduled", "trip_id")
-    order = Window.partitionBy("route_id", "direction_id", "stop_id").orderBy("predicted", "trip_id")
-    rows = calls.withColumn("place", F.row_number().over(order))
-    pairs = rows.select(
-        "*", F.lag("trip_id").over(w).alias("before"), (F.col("scheduled") - F.lag("scheduled").over(w)).alias("planned"), (F.col("predicted") - F.lag("predicted").over(w)).alias("actual"),
-        (F.col("place") - F.lag("place").over(w)).alias("moved"),
-    ).where("before IS NOT NULL AND planned > 0 AND actual IS NOT NULL AND moved = 1")
-    kind = F.when(F.col("actual") * 2 < F.col("planned"), "bunched").when(F.col("actual") * 2 > 3 * F.col("planned"), "gap").otherwise("regular")
-    return pairs.select("route_id", "direction_id", "stop_id", "before", "trip_id", "planned", "actual", kind.alias("kind"))
+SERVICE = ("route_id", "direction_id", "stop_id", "day")
+
+
+def headways(departures: DataFrame) -> DataFrame:
+    """W7, OP3: reporting neighbours at a stop on a service day, with their scheduled and predicted interval.
+
+    departures has every expected one, predicted null where nothing is reported. A pair counts if no other
+    departure is expected from the first to the second. A predicted interval that isn't shorter counts only
+    between neighbours in predicted order; a shorter one counts also if the order is reversed.
+    """
+    at, before = Window.partitionBy(*SERVICE).orderBy("scheduled"), Window.partitionBy(*SERVICE, "reports").orderBy("scheduled", "trip_id")
+    predicted = Window.partitionBy(*SERVICE, "reports").orderBy("predicted", "trip_id")
+    rows = departures.select(
+        *SERVICE, "trip_id", "scheduled", "predicted", F.col("predicted").isNotNull().alias("reports"),
+        F.count("*").over(at).alias("upto"), F.rank().over(at).alias("first"),
+    )
+    pairs = rows.withColumn("place", F.row_number().over(predicted)).select(
+        *SERVICE, F.lag("trip_id").over(before).alias("before"), "trip_id",
+        (F.col("scheduled") - F.lag("scheduled").over(before)).alias("planned"),
+        F.abs(F.col("predicted") - F.lag("predicted").over(before)).alias("actual"),
+        (F.col("predicted") < F.lag("predicted").over(before)).alias("reversed"),
+        (F.col("upto") - F.lag("first").over(before) + 1).alias("expected"),
+        (F.col("place") - F.lag("place").over(before)).alias("moved"),
+        "reports",
+    )
+    kept = pairs.where("reports AND planned > 0 AND expected = 2 AND (actual < planned OR moved = 1)")
+    kind = F.when(F.col("actual") < F.col("planned"), "bunching").when(F.col("actual") > F.col("planned"), "gap").otherwise("matches")
+    return kept.select(*SERVICE, "before", "trip_id", "planned", "actual", "reversed", kind.alias("kind"), spacing_alert(F.col("planned"), F.col("actual")).alias("severity"))
 
 
-def reordered_bunching(calls: DataFrame) -> DataFrame:
-    """Neighbours in predicted order that were planned in the other order."""
-    w = Window.partitionBy("route_id", "direction_id", "stop_id").orderBy("predicted", "trip_id")
-    pairs = calls.select("route_id", "direction_id", "stop_id", "trip_id", F.lag("trip_id").over(w).alias("before"), (F.col("predicted") - F.lag("predicted").over(w)).alias("actual"), (F.col("scheduled") - F.lag("scheduled").over(w)).alias("planned"))
-    return pairs.where("planned < 0")
+def reordered_bunching(departures: DataFrame) -> DataFrame:
+    """Neighbours in predicted order between which others were expected, closer than the least interval planned there.
 
+    A departure in between counts as accounted for if it reports (then it is outside the pair, as they're
+    neighbours) or its vehicle has passed (column passed).
+    """
+    scheduled, predicted = Window.partitionBy(*SERVICE).orderBy("scheduled", "trip_id"), Window.partitionBy(*SERVICE, "reports").orderBy("predicted", "trip_id")
+    rows = departures.withColumn("reports", F.col("predicted").isNotNull()).withColumn("interval", F.col("scheduled") - F.lag("scheduled").over(scheduled))
+    mine, other = F.struct("scheduled", "trip_id"), F.lag(F.struct("scheduled", "trip_id")).over(predicted)
+    pairs = rows.select(*SERVICE, mine.alias("x"), other.alias("y"), (F.col("predicted") - F.lag("predicted").over(predicted)).alias("actual"), "reports").where("reports AND y IS NOT NULL AND x.scheduled <> y.scheduled")
+    pairs = pairs.select(*SERVICE, F.least("x", "y").alias("before"), F.greatest("x", "y").alias("after"), "actual")
+    between = rows.select(*SERVICE, "trip_id", "scheduled", "interval", (F.col("reports") | F.col("passed")).alias("known"))
+    lo, hi = F.col("before.scheduled"), F.col("after.scheduled")
+    met = pairs.join(between, list(SERVICE)).where((F.col("scheduled") >= lo) & (F.col("scheduled") <= hi))
+    pair = F.col("trip_id").isin(F.col("before.trip_id"), F.col("after.trip_id"))
+    # The first of those that leave with the pair's first has an interval that begins before it.
+    own = F.when(F.struct("scheduled", "trip_id") > F.min(F.struct("scheduled", "trip_id")).over(Window.partitionBy(*SERVICE, "before", "after")), F.col("interval"))
+    found = met.withColumn("own", own).groupBy(*SERVICE, "before", "after").agg(
+        F.first("actual").alias("actual"), F.count("*").alias("expected"), F.bool_and(pair | F.col("known")).alias("known"), F.min("own").alias("planned")
+    )
+    severity = spacing_alert(F.col("planned"), F.col("actual"))
+    kept = found.where("expected > 2 AND known AND actual < planned").withColumn("severity", severity).where("severity <> 'info'")
+    return kept.select(*SERVICE, F.col("before.trip_id").alias("before"), F.col("after.trip_id").alias("trip_id"), "planned", "actual", "severity")
 
-def stop_board(calls: DataFrame, stop_id: int, now: int, most: int = 100) -> DataFrame:
-    """OP4, W10, T5: next departures of a stop by route and direction, by expected time; yesterday's and tomorrow's services count."""
-    days = calls.where(F.col("stop_id") == stop_id).withColumn("day", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
-    expected = F.col("departure") + F.coalesce(F.col("delay"), F.lit(0)) + F.col("day") * 86400
-    rows = days.withColumn("expected", expected).where(F.col("expected") >= now)
-    w = Window.partitionBy("route_id", "direction_id").orderBy("expected", "trip_id", "day")
-    nexts = rows.withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    return nexts.orderBy("expected", "trip_id").limit(most).select("route_id", "direction_id", "trip_id", "expected")
+
+def stop_board(
+    calls: DataFrame, days: DataFrame, stop_id, date: str, now: int, until: int, updates: DataFrame, predictions: DataFrame, most: int = 100, next_per_route: bool = False
+) -> DataFrame:
+    """OP4, W10, T5: arrivals and departures of a stop from now until a time, in seconds of the date; services of days before and of the next one count.
+
+    calls: a trip's times at its stops; days: service_id and day. updates: update_id, trip_id, day, relationship,
+    fresh, passed (the stop_sequence up to which the vehicle has passed, or null), at_stop (the one that it stands
+    at). predictions: update_id, stop_sequence, skipped, arrival, departure (seconds of the date). Two updates of
+    one trip and day decide nothing, and so do two predictions of a call; one that isn't fresh is stale.
+    """
+    here = calls.where(F.col("stop_id") == stop_id)
+    offset = F.datediff(F.col("day"), F.to_date(F.lit(date))) * 86400
+    # The calendar is asked for each service day: a trip of another day leaves then or not at all.
+    run = here.join(days.where(F.col("day") <= F.date_add(F.to_date(F.lit(date)), 1)), "service_id").select(
+        "route_id", "direction_id", "trip_id", "day", "stop_sequence", (F.col("arrival") + offset).alias("s_arrival"), (F.col("departure") + offset).alias("s_departure")
+    )
+    reports = updates.groupBy("trip_id", "day").agg(
+        F.count("*").alias("reports"), *[F.first(c).alias(c) for c in ("update_id", "relationship", "fresh", "passed", "at_stop")]
+    )
+    told = predictions.groupBy("update_id", "stop_sequence").agg(
+        F.count("*").alias("told"), F.first("skipped").alias("skipped"), F.first("arrival").alias("p_arrival"), F.first("departure").alias("p_departure")
+    )
+    rows = run.join(reports, ["trip_id", "day"], "left").join(told, ["update_id", "stop_sequence"], "left")
+    one = (F.col("reports") == 1) & F.col("fresh")
+    by_call = F.coalesce(one & (F.col("relationship").isNull() | (F.col("relationship") == "SCHEDULED")), F.lit(False))
+    usable = by_call & (F.col("told") == 1) & ~F.coalesce("skipped", F.lit(False))
+    rows = rows.withColumn("c_arrival", F.when(usable, F.col("p_arrival"))).withColumn("c_departure", F.when(usable, F.col("p_departure")))
+    status = (
+        F.when(F.col("reports") > 1, "unresolved")
+        .when(~F.col("fresh"), "stale")
+        .when(one & (F.col("relationship") == "CANCELED"), "cancelled")
+        .when(one & ~by_call, "unresolved")
+        .when(F.col("told") > 1, "unresolved")
+        .when(by_call & F.col("skipped"), "skipped")
+        .when(F.coalesce("c_arrival", "c_departure").isNotNull(), "live")
+        .otherwise("scheduled")
+    )
+    expected = F.coalesce("c_arrival", "c_departure", "s_arrival", "s_departure")
+    leaves = F.coalesce("c_departure", "c_arrival", "s_departure", "s_arrival")
+    rows = rows.withColumn("status", status).withColumn("expected", expected)
+    stands = F.coalesce(one & (F.col("at_stop") == F.col("stop_sequence")) & ~F.col("status").isin("cancelled", "skipped"), F.lit(False))
+    gone = F.coalesce(one & ((F.col("relationship") == "DELETED") | (F.col("passed") >= F.col("stop_sequence"))), F.lit(False))
+    rows = rows.withColumn("stands", stands).where(~gone & (F.col("expected") <= until) & (F.col("stands") | (leaves >= now)))
+    order = [F.desc("stands"), "expected", "trip_id", "day", "stop_sequence"]
+    if next_per_route:
+        w = Window.partitionBy("route_id", "direction_id").orderBy(*order)
+        rows = rows.where(~F.col("status").isin("cancelled", "skipped")).withColumn("rank", F.row_number().over(w)).where("rank = 1")
+    return rows.orderBy(*order).limit(most).select("route_id", "direction_id", "trip_id", "day", "stop_sequence", "expected", "status", "stands")
 
 
 def service_windows(spans: DataFrame, start: int, end: int) -> DataFrame:
@@ -106,11 +184,26 @@ def route_operations(trips: DataFrame) -> DataFrame:
     return rolled.withColumn("severity", alert_severity(F.coalesce("max_delay", F.lit(0))))
 
 
-def coverage_status(scopes: DataFrame, matched: DataFrame) -> DataFrame:
-    """OP9: of every scope how many of its records match a trip."""
-    counts = matched.groupBy("scope").agg(F.count("*").alias("records"), F.count("trip_id").alias("matched"))
-    rows = scopes.join(counts, "scope", "left").na.fill(0, ["records", "matched"])
-    return rows.withColumn("status", F.when(F.col("records") == 0, "none").when(F.col("matched") == F.col("records"), "full").otherwise("partial"))
+def coverage_status(scopes: DataFrame, calendar: DataFrame, exceptions: DataFrame, spans: DataFrame, date: int, now: int) -> DataFrame:
+    """OP9: what the calendar of every source scope says about a date (yyyymmdd) at a time in seconds of it.
+
+    calendar, exceptions and spans (a trip's service_id, first_departure, last_arrival) have a scope. Outside its
+    dates a scope may still have a trip of an earlier day on the road.
+    """
+    bounds = service_calendar.coverage(calendar, exceptions, F.col("scope"))
+    scope_of = calendar.select("scope", "service_id").unionByName(exceptions.select("scope", "service_id")).distinct()
+    active = service_calendar.active_on(calendar, exceptions, date).join(scope_of, "service_id").select("scope").distinct().withColumn("active", F.lit(True))
+    days = service_calendar.service_days(calendar, exceptions)
+    ahead = F.datediff(F.to_date(F.lit(str(date)), "yyyyMMdd"), F.col("day")) * 86400 + now
+    on_road = spans.join(days, "service_id").where((F.col("first_departure") < ahead + 1) & (F.col("last_arrival") > ahead)).select("scope").distinct().withColumn("on_road", F.lit(True))
+    rows = scopes.join(bounds, "scope", "left").join(active, "scope", "left").join(on_road, "scope", "left")
+    status = (
+        F.when(F.col("first_date").isNull(), "unknown")
+        .when((F.col("first_date") <= date) & (F.col("last_date") >= date), F.when(F.col("active"), "scheduled_service").otherwise("no_service_today"))
+        .when(F.col("on_road"), "continuing_service")
+        .otherwise("outside_dates")
+    )
+    return rows.select("scope", status.alias("status"))
 
 
 def matching_alerts(selectors: DataFrame, asked: DataFrame, now: int, end_inclusive: bool = True) -> DataFrame:

@@ -1,26 +1,32 @@
 """Earliest arrivals, latest departures, matrices and trade-offs by boarding rounds.
 
-A round boards, on every run, the earliest call that a label of the round before allows, rides the run to its
-later calls, and walks at most one transfer. Labels carry the origin, so many origins share a round; the
-kind of label (origin, ride, transfer) decides when it is ready to board. Each round is written to the
-shared folder; rounds end when nothing improves or at the cap of boardings.
-
-Only labels that can still improve a stop go into the next round, so a round's work follows the frontier.
-The timetable is read once a round; a frontier that is small by count is broadcast to it.
+A round boards every run at the calls that a label of the round before allows, rides it to its later calls, and
+walks at most one transfer. Labels carry the origin, so many origins share a round; the kind of label (origin,
+ride, transfer) decides when it is ready to board. A label is kept if none of its kind at its stop, of this or
+an earlier round, arrives no later with no more walking; without `skyline` just the least arrival is kept.
+Each round is one table in the shared folder; rounds end when nothing improves or at the cap of boardings.
+
+Only labels that can still improve a stop go into the next round, so a round's work follows the frontier. A run
+is one row with its calls, so a round joins the frontier to the boardable calls and the boarded runs to their
+rows. A frontier that is small by count is broadcast.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.shared import materialize, maybe_broadcast
+from tramline.operators.shared import BROADCAST_ROWS, materialize, maybe_broadcast
 
 DAY = 86400
 
 
+#: Pairs of a matrix.
+MOST_PAIRS = 65_536
+
+
 @dataclass(frozen=True)
 class Options:
     same_stop: int = 120
@@ -28,6 +34,17 @@ class Options:
     horizon: int = DAY
     boardings: int = 3
     post_walk: bool = True
+    #: Walk a transfer before the first ride.
+    pre_walk: bool = False
+    #: Seconds between the arrival and the time by which one must be there.
+    reserve: int = 0
+    #: Keep labels that arrive later with less walking.
+    skyline: bool = True
+    #: Labels carry their legs.
+    legs: bool = False
+
+
+LEG = "struct<mode: string, run: string, from_stop: string, to_stop: string, departure: bigint, arrival: bigint>"
 
 
 def prepare(conns: DataFrame) -> DataFrame:
@@ -39,62 +56,129 @@ def prepare(conns: DataFrame) -> DataFrame:
 
 
 def seeds(origins: DataFrame) -> DataFrame:
-    """Labels of round 0: origin_id, stop_id, arrival and walking of the stops that can be boarded."""
-    return origins.select("origin_id", "stop_id", F.col("arrival").cast("long").alias("arrival"), F.lit(0).alias("walking"), F.lit("origin").alias("kind"))
+    """Labels of round 0: origin_id, stop_id, arrival and walking of the stops that can be boarded; walking, if origins have it, is that of the access."""
+    walking = F.col("walking").cast("long") if "walking" in origins.columns else F.lit(0).cast("long")
+    return origins.select("origin_id", "stop_id", F.col("arrival").cast("long").alias("arrival"), walking.alias("walking"), F.lit("origin").alias("kind"))
 
 
-def ready(opt: Options):
-    """When a label may board: an origin at once, a ride after the stop's minimum and the buffer, a transfer after the buffer."""
-    return F.col("arrival") + F.when(F.col("kind") == "ride", opt.same_stop + opt.buffer).when(F.col("kind") == "transfer", opt.buffer).otherwise(0)
+def access(points: DataFrame, stops: DataFrame, limit_km: float) -> DataFrame:
+    """Origins for `labels`: the stops within a walk of each point (origin_id, lat, lon, departure), reached on foot."""
+    from tramline.operators import transfers
 
+    near = transfers.near_points(points, stops, limit_km)
+    seconds = transfers.walk_seconds(F.col("km")).cast("long")
+    return near.select("origin_id", "stop_id", (F.col("departure").cast("long") + seconds).alias("arrival"), seconds.alias("walking"))
 
-def ride_round(conns: DataFrame, frontier: DataFrame, opt: Options) -> DataFrame:
-    """Best ride label of every (origin, stop) that one more boarding reaches: least arrival, then least walking."""
-    at = frontier.select("origin_id", F.col("stop_id").alias("from_stop_id"), ready(opt).alias("ready"), "walking")
-    usable = conns.where(F.col("departure") <= opt.horizon)
-    boarded = (
-        usable.where("can_board")
-        .join(maybe_broadcast(at), "from_stop_id")
-        .where("departure >= ready")
-        .groupBy("origin_id", "run", "stop_sequence")
-        .agg(F.min("walking").alias("walking"))
-    )
-    # Aboard a run, what counts at a call is the least walking of the boardings up to it; the first boarding opens the run.
-    first = boarded.groupBy("origin_id", "run").agg(F.min("stop_sequence").alias("board_seq"))
-    calls = usable.join(maybe_broadcast(first), "run").where("stop_sequence >= board_seq")
-    w = Window.partitionBy("origin_id", "run").orderBy("stop_sequence").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    walked = calls.join(boarded, ["origin_id", "run", "stop_sequence"], "left").withColumn("walked", F.min("walking").over(w))
-    best = walked.where("can_alight").groupBy("origin_id", F.col("to_stop_id").alias("stop_id")).agg(F.min(F.struct("arrival", "walked")).alias("b"))
-    return best.select("origin_id", "stop_id", F.col("b.arrival").alias("arrival"), F.col("b.walked").alias("walking"), F.lit("ride").alias("kind"))
 
+def ready(opt: Options, minimum=None):
+    """When a label may board: an origin at once, a ride after the stop's own minimum (without one the general) and the buffer, a transfer after the buffer."""
+    least = F.lit(opt.same_stop) if minimum is None else F.coalesce(minimum, F.lit(opt.same_stop))
+    return F.col("arrival") + F.when(F.col("kind") == "ride", least + opt.buffer).when(F.col("kind") == "transfer", opt.buffer).otherwise(0)
 
-def walk_round(rides: DataFrame, transfers: DataFrame) -> DataFrame:
-    """One transfer from every ride label."""
-    on = rides.join(maybe_broadcast(transfers.select(F.col("from_stop_id").alias("stop_id"), "to_stop_id", "seconds")), "stop_id")
-    best = on.groupBy("origin_id", "to_stop_id").agg(F.min(F.struct((F.col("arrival") + F.col("seconds")).alias("arrival"), (F.col("walking") + F.col("seconds")).alias("walking"))).alias("b"))
-    return best.select("origin_id", F.col("to_stop_id").alias("stop_id"), F.col("b.arrival").alias("arrival"), F.col("b.walking").alias("walking"), F.lit("transfer").alias("kind"))
 
+def leg(mode: str, run, from_stop, to_stop, departure, arrival):
+    return F.array(F.struct(F.lit(mode).alias("mode"), run.alias("run"), from_stop.cast("string").alias("from_stop"), to_stop.cast("string").alias("to_stop"), departure.alias("departure"), arrival.alias("arrival"))).cast(f"array<{LEG}>")
 
-def labels(conns: DataFrame, transfers: DataFrame, origins: DataFrame, opt: Options = Options()) -> DataFrame:
+
+def _path(opt: Options) -> list[str]:
+    return ["path"] if opt.legs else []
+
+
+@dataclass(frozen=True)
+class Network:
+    """What every round reads, written once: the calls that can be boarded, a row for each run with its calls, and a row for each stop with its walks."""
+
+    board: DataFrame
+    runs: DataFrame
+    walks: DataFrame
+    minima: DataFrame | None
+
+    @classmethod
+    def of(cls, conns: DataFrame, transfers: DataFrame, opt: Options, minima: DataFrame | None = None) -> Network:
+        """minima: stop_id, minimum seconds between two rides there (null: the general one), and forbidden where none may be made."""
+        calls = materialize(prepare(conns).where(F.col("departure") <= opt.horizon))
+        call = F.struct("stop_sequence", "to_stop_id", "arrival", "can_alight")
+        runs = materialize(calls.groupBy("run").agg(F.sort_array(F.collect_list(call)).alias("calls")))
+        walk = F.struct("to_stop_id", F.col("seconds").cast("long").alias("seconds"))
+        walks = materialize(transfers.groupBy(F.col("from_stop_id").alias("stop_id")).agg(F.sort_array(F.collect_list(walk)).alias("walks")))
+        board = calls.where("can_board").select("from_stop_id", "run", "stop_sequence", "departure")
+        return cls(board, runs, maybe_broadcast(walks), None if minima is None else maybe_broadcast(minima))
+
+
+def walked(rides: DataFrame, net: Network, opt: Options, keep: str = "ride") -> DataFrame:
+    """Labels as they are (kind keep), and after one transfer."""
+    own = F.array(F.struct(F.col("stop_id").alias("to_stop_id"), F.lit(0).cast("long").alias("seconds")))
+    # The first is the label itself.
+    on = rides.join(net.walks, "stop_id", "left").select("*", F.posexplode(F.concat(own, F.coalesce("walks", F.slice(own, 1, 0)))).alias("at", "to"))
+    arrival = F.col("arrival") + F.col("to.seconds")
+    columns = [F.col("to.to_stop_id").alias("stop_id"), arrival.alias("arrival"), (F.col("walking") + F.col("to.seconds")).alias("walking"), F.when(F.col("at") == 0, keep).otherwise("transfer").alias("kind")]
+    if opt.legs:
+        walk = leg("walk", F.lit(None), F.col("stop_id"), F.col("to.to_stop_id"), F.col("arrival"), arrival)
+        columns.append(F.when(F.col("at") == 0, F.col("path")).otherwise(F.concat("path", walk)).alias("path"))
+    return on.select("origin_id", *columns)
+
+
+def ride_round(net: Network, frontier: DataFrame, opt: Options) -> DataFrame:
+    """Ride labels of every (origin, stop) that one more boarding reaches."""
+    minimum = None
+    if net.minima is not None:
+        frontier = frontier.join(net.minima, "stop_id", "left").where("kind <> 'ride' OR NOT coalesce(forbidden, false)")
+        minimum = F.col("minimum")
+    at = frontier.select("origin_id", F.col("stop_id").alias("from_stop_id"), ready(opt, minimum).alias("ready"), "walking", *_path(opt))
+    boarding = F.struct(F.col("stop_sequence").alias("seq"), "walking", *([F.col("from_stop_id").alias("stop"), "departure", "path"] if opt.legs else []))
+    boarded = net.board.join(at, "from_stop_id").where("departure >= ready").groupBy("origin_id", "run")
+    # Of equal boardings the least walking; aboard, what counts at a call is the least walking of the boardings up to it.
+    rides = boarded.agg(F.collect_set(boarding).alias("boardings")).join(net.runs, "run")
+    calls = rides.select("origin_id", "run", F.explode("calls").alias("c"), "boardings").where("c.can_alight")
+    usable = F.filter("boardings", lambda x: x["seq"] <= F.col("c.stop_sequence"))
+    best = F.array_min(F.transform(usable, lambda x: F.struct(x["walking"].alias("walking"), (-x["seq"]).alias("late"), *([x["stop"].alias("stop"), x["departure"].alias("departure"), x["path"].alias("path")] if opt.legs else []))))
+    reached = calls.select("origin_id", "run", F.col("c.to_stop_id").alias("stop_id"), F.col("c.arrival").alias("arrival"), best.alias("b")).where("b IS NOT NULL")
+    if not opt.legs:
+        return reached.groupBy("origin_id", "stop_id", "arrival").agg(F.min("b.walking").alias("walking"))
+    path = F.concat("b.path", leg("ride", F.col("run"), F.col("b.stop"), F.col("stop_id"), F.col("b.departure"), F.col("arrival")))
+    rows = reached.select("origin_id", "stop_id", "arrival", F.struct("b.walking", path.alias("path")).alias("b"))
+    return rows.groupBy("origin_id", "stop_id", "arrival").agg(F.min("b").alias("b")).select("origin_id", "stop_id", "arrival", "b.*")
+
+
+KEYS = ("origin_id", "stop_id", "kind")
+
+
+def improving(found: DataFrame, best: DataFrame | None, k: int, opt: Options) -> DataFrame:
+    """The labels of round k that none of its kind, of this or an earlier round, is as good as."""
+    columns = [*KEYS, "arrival", "walking", "boardings", *_path(opt)]
+    rows = found.withColumn("boardings", F.lit(k)).select(*columns)
+    if not opt.skyline:
+        label = F.struct("arrival", "walking", "boardings", *_path(opt))
+        least = rows.groupBy(*KEYS).agg(F.min(label).alias("b")).select(*KEYS, "b.*")
+        rows = least.select(*columns)
+        if best is None:
+            return rows
+        old = F.min(F.when(F.col("boardings") < k, F.struct("arrival", "walking"))).alias("old")
+        new = F.min(F.when(F.col("boardings") == k, label)).alias("new")
+        both = best.unionByName(rows).groupBy(*KEYS).agg(old, new)
+        return both.where("new IS NOT NULL AND (old IS NULL OR struct(new.arrival, new.walking) < old)").select(*KEYS, "new.*").select(*columns)
+    order = Window.partitionBy(*KEYS).orderBy("arrival", "walking", "boardings", *_path(opt)).rowsBetween(Window.unboundedPreceding, -1)
+    every = rows if best is None else best.unionByName(rows)
+    before = every.withColumn("before", F.min("walking").over(order))
+    return before.where((F.col("boardings") == k) & (F.col("before").isNull() | (F.col("walking") < F.col("before")))).select(*columns)
+
+
+def labels(conns: DataFrame, transfers: DataFrame, origins: DataFrame, opt: Options = Options(), minima: DataFrame | None = None) -> DataFrame:
     """every improving label (origin_id, stop_id, kind, arrival, walking, boardings) up to the cap."""
-    runs = materialize(prepare(conns))
+    net = Network.of(conns, transfers, opt, minima)
     frontier = seeds(origins)
-    best = None
+    if opt.legs:
+        frontier = frontier.withColumn("path", F.array().cast(f"array<{LEG}>"))
+    if opt.pre_walk:
+        frontier = walked(frontier, net, opt, "origin")
+    frontier, best = maybe_broadcast(frontier), None
     for k in range(1, opt.boardings + 1):
-        rides = materialize(ride_round(runs, frontier, opt))
-        found = rides.unionByName(walk_round(rides, transfers)).withColumn("boardings", F.lit(k))
-        if best is None:
-            improved = found
-        else:
-            known = best.groupBy("origin_id", "stop_id", "kind").agg(F.min(F.struct("arrival", "walking")).alias("old"))
-            improved = (
-                found.join(known, ["origin_id", "stop_id", "kind"], "left").where("old IS NULL OR struct(arrival, walking) < old").drop("old")
-            )
-        improved = materialize(improved.select("origin_id", "stop_id", "kind", "arrival", "walking", "boardings"))
+        improved = materialize(improving(walked(ride_round(net, frontier, opt), net, opt), best, k, opt))
         best = improved if best is None else best.unionByName(improved)
-        if not improved.limit(1).count():
+        n = improved.limit(BROADCAST_ROWS + 1).count()
+        if not n:
             break
-        frontier = improved
+        frontier = F.broadcast(improved) if n <= BROADCAST_ROWS and not opt.legs else improved
     return best
 
 
@@ -106,12 +190,25 @@ def earliest(found: DataFrame, opt: Options = Options()) -> DataFrame:
 
 
 def pareto(found: DataFrame) -> DataFrame:
-    """Labels of a stop that no other beats in arrival, boardings and walking together."""
+    """Labels of a stop that no other beats in arrival, boardings and walking together.
+
+    In the order of arrival a label is beaten if one before it has no more boardings and no more walking: the
+    least walking so far for each number of boardings says so, and those numbers are few.
+    """
     rows = found.groupBy("origin_id", "stop_id", "arrival", "boardings").agg(F.min("walking").alias("walking"))
-    other = rows.select("origin_id", "stop_id", F.col("arrival").alias("a"), F.col("boardings").alias("b"), F.col("walking").alias("w"))
-    beaten = rows.join(other, ["origin_id", "stop_id"]).where("a <= arrival AND b <= boardings AND w <= walking AND (a < arrival OR b < boardings OR w < walking)")
-    keys = ["origin_id", "stop_id", "arrival", "boardings", "walking"]
-    return rows.join(beaten.select(*keys).distinct(), keys, "left_anti")
+    w = Window.partitionBy("origin_id", "stop_id").orderBy("arrival", "boardings").rowsBetween(Window.unboundedPreceding, -1)
+    most = found.agg(F.max("boardings")).first()[0] or 0
+    least = [F.min(F.when(F.col("boardings") <= k, F.col("walking"))).over(w).alias(f"w{k}") for k in range(most + 1)]
+    beaten = F.lit(False)
+    for k in range(most + 1):
+        beaten = beaten | ((F.col("boardings") == k) & F.coalesce(F.col(f"w{k}") <= F.col("walking"), F.lit(False)))
+    return rows.select("*", *least).where(~beaten).select("origin_id", "stop_id", "arrival", "boardings", "walking")
+
+
+def generalized(options: DataFrame, transfer_penalty: int = 300, walk_reluctance: float = 2.0) -> DataFrame:
+    """Options with one cost: the arrival, a penalty for every boarding after the first, and walking that counts more than riding."""
+    cost = F.col("arrival") + transfer_penalty * F.greatest(F.col("boardings") - 1, F.lit(0)) + F.round((walk_reluctance - 1) * F.col("walking")).cast("long")
+    return options.withColumn("cost", cost)
 
 
 def ranked(options: DataFrame, most: int = 9, slack: int = 900) -> DataFrame:
@@ -150,13 +247,15 @@ def mirrored(conns: DataFrame, horizon: int) -> DataFrame:
 def latest_departures(conns: DataFrame, transfers: DataFrame, destinations: DataFrame, opt: Options = Options()) -> DataFrame:
     """Latest departure from every stop that reaches the destination by its deadline, then boardings, walking."""
     back = transfers.select(F.col("to_stop_id").alias("from_stop_id"), F.col("from_stop_id").alias("to_stop_id"), "seconds")
-    at = destinations.select(F.col("destination_id").alias("origin_id"), "stop_id", (opt.horizon - F.col("deadline")).alias("arrival"))
+    at = destinations.select(F.col("destination_id").alias("origin_id"), "stop_id", (opt.horizon - F.col("deadline") + opt.reserve).alias("arrival"))
     found = earliest(labels(mirrored(conns, opt.horizon), back, at, opt), opt)
     return found.select(F.col("origin_id").alias("destination_id"), "stop_id", (opt.horizon - F.col("arrival")).alias("departure"), "boardings", "walking")
 
 
 def matrix(conns: DataFrame, transfers: DataFrame, origins: DataFrame, destinations: DataFrame, departure: int, opt: Options = Options()) -> DataFrame:
-    """Seconds of every asked pair, null where unreachable; equal endpoints are searched once."""
+    """Seconds of every asked pair, null where unreachable; equal endpoints are searched once. More than MOST_PAIRS pairs are refused."""
+    if origins.limit(MOST_PAIRS + 1).count() * destinations.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError(f"a matrix has at most {MOST_PAIRS} pairs")
     asked = origins.select("origin_id", F.col("stop_id").alias("from_stop")).crossJoin(destinations.select("destination_id", F.col("stop_id").alias("to_stop")))
     start = origins.select(F.col("stop_id").alias("origin_id"), "stop_id", F.lit(departure).alias("arrival")).distinct()
     found = earliest(labels(conns, transfers, start, opt), opt).select(F.col("origin_id").alias("from_stop"), F.col("stop_id").alias("to_stop"), (F.col("arrival") - departure).alias("seconds"))
@@ -197,18 +296,24 @@ def last_before(conns: DataFrame, asks: DataFrame) -> DataFrame:
     return found.where("side = 1").select("ask_id", "stop_id", F.col("t").alias("ready"), "departure")
 
 
-def windows(conns: DataFrame, transfers: DataFrame, stop_id: int, departures: list[int], opt: Options = Options()) -> DataFrame:
+def at_stops(conns: DataFrame, rows: list[tuple], origin: str) -> DataFrame:
+    """Origins (origin_id of the type origin, stop_id of the timetable's type, arrival) of a few rows."""
+    kind = conns.schema["from_stop_id"].dataType.simpleString()
+    return conns.sparkSession.createDataFrame([(str(o), str(s), a) for o, s, a in rows], "origin_id string, stop_id string, arrival long").select(
+        F.col("origin_id").cast(kind if origin == "stop" else origin).alias("origin_id"), F.col("stop_id").cast(kind).alias("stop_id"), "arrival"
+    )
+
+
+def windows(conns: DataFrame, transfers: DataFrame, stop_id, departures: list[int], opt: Options = Options()) -> DataFrame:
     """One search over many departures from a stop: each is an origin of its own. arrival by departure and stop."""
-    spark = conns.sparkSession
-    origins = spark.createDataFrame([(t, stop_id, t) for t in departures], "origin_id int, stop_id int, arrival long")
+    origins = at_stops(conns, [(t, stop_id, t) for t in departures], "int")
     return earliest(labels(conns, transfers, origins, opt), opt).withColumnRenamed("origin_id", "departure_at")
 
 
-def through_via(conns: DataFrame, transfers: DataFrame, origin: int, via: int, departure: int, opt: Options = Options()) -> DataFrame:
+def through_via(conns: DataFrame, transfers: DataFrame, origin, via, departure: int, opt: Options = Options()) -> DataFrame:
     """First to the via stop, then on from its arrival."""
-    spark = conns.sparkSession
-    first = labels(conns, transfers, spark.createDataFrame([(origin, origin, departure)], "origin_id int, stop_id int, arrival long"), opt)
-    at = earliest(first, opt).where(F.col("stop_id") == via).select("origin_id", "stop_id", "arrival")
+    first = labels(conns, transfers, at_stops(conns, [(origin, origin, departure)], "stop"), opt)
+    at = earliest(first, opt).where(F.col("stop_id").cast("string") == str(via)).select("origin_id", "stop_id", "arrival")
     return earliest(labels(conns, transfers, at, opt), opt)
 
 
@@ -220,42 +325,16 @@ def aligned_rides(conns: DataFrame) -> DataFrame:
     )
 
 
-def journey(conns: DataFrame, transfers: DataFrame, origin: int, destination: int, departure: int, opt: Options = Options()) -> DataFrame:
-    """The legs of the best journey, found backwards from the destination's label.
+def journeys(conns: DataFrame, transfers: DataFrame, origins: DataFrame, opt: Options = Options()) -> DataFrame:
+    """The legs of the best journey from every origin to every stop: labels carry them, so nothing is searched back."""
+    found = labels(conns, transfers, origins, replace(opt, legs=True))
+    rows = found if opt.post_walk else found.where("kind = 'ride'")
+    best = rows.groupBy("origin_id", "stop_id").agg(F.min(F.struct("arrival", "boardings", "walking", "path")).alias("b"))
+    return best.select("origin_id", "stop_id", F.posexplode("b.path").alias("leg", "x")).select("origin_id", "stop_id", (F.col("leg") + 1).alias("leg"), "x.*")
 
-    Each step back asks for the ride that arrives as the label says, boards where an earlier label allows, and
-    has the walk before it. A step is one small query; their number is the journey's boardings.
-    """
-    spark = conns.sparkSession
-    runs = materialize(prepare(conns))
-    start = spark.createDataFrame([(origin, origin, departure)], "origin_id int, stop_id int, arrival long")
-    found = materialize(labels(conns, transfers, start, opt))
-    goal = earliest(found, opt).where(F.col("stop_id") == destination).first()
-    legs: list[tuple] = []
-    if goal:
-        stop, arrival, k = destination, goal["arrival"], goal["boardings"]
-        while k > 0:
-            here = found.where((F.col("stop_id") == stop) & (F.col("arrival") == arrival) & (F.col("boardings") == k)).orderBy("walking", "kind").first()
-            if here["kind"] == "transfer":
-                rides = found.where((F.col("kind") == "ride") & (F.col("boardings") == k)).select(F.col("stop_id").alias("from_stop_id"), F.col("arrival").alias("t"))
-                walk = transfers.where(F.col("to_stop_id") == stop).join(rides, "from_stop_id").where(F.col("t") + F.col("seconds") == arrival).orderBy("seconds", "from_stop_id").first()
-                legs.append(("walk", None, walk["from_stop_id"], stop, walk["t"], arrival))
-                stop, arrival = walk["from_stop_id"], walk["t"]
-            before = seeds(start) if k == 1 else found.where(F.col("boardings") < k).select("origin_id", "stop_id", "arrival", "walking", "kind")
-            at = before.select(F.col("stop_id").alias("from_stop_id"), ready(opt).alias("ready"), F.col("arrival").alias("label_arrival"))
-            out = runs.where((F.col("to_stop_id") == stop) & (F.col("arrival") == arrival) & F.col("can_alight")).select("run", F.col("stop_sequence").alias("last"))
-            board = (
-                runs.where("can_board")
-                .join(F.broadcast(out), "run")
-                .where("stop_sequence <= last")
-                .join(at, "from_stop_id")
-                .where("departure >= ready")
-                .orderBy("label_arrival", "departure", "run")
-                .first()
-            )
-            legs.append(("ride", board["run"], board["from_stop_id"], stop, board["departure"], arrival))
-            stop, arrival, k = board["from_stop_id"], board["label_arrival"], k - 1
-            if k > 0:
-                k = found.where((F.col("stop_id") == stop) & (F.col("arrival") == arrival) & (F.col("boardings") <= k)).agg(F.max("boardings")).first()[0] or 0
-    rows = [(i, *leg) for i, leg in enumerate(reversed(legs), 1)]
-    return spark.createDataFrame(rows, "leg int, mode string, run string, from_stop_id int, to_stop_id int, departure long, arrival long")
+
+def journey(conns: DataFrame, transfers: DataFrame, origin, destination, departure: int, opt: Options = Options()) -> DataFrame:
+    """The legs of the best journey to one stop."""
+    kind = conns.schema["from_stop_id"].dataType.simpleString()
+    found = journeys(conns, transfers, at_stops(conns, [(origin, origin, departure)], "stop"), opt).where(F.col("stop_id").cast("string") == str(destination))
+    return found.select("leg", "mode", "run", *[F.col(c).cast(kind).alias(f"{c}_id") for c in ("from_stop", "to_stop")], "departure", "arrival").orderBy("leg")

@@ -19,22 +19,29 @@ def walk_seconds(km: Column, km_per_hour: float = 4.8) -> Column:
     return F.ceil(km / km_per_hour * 3600).cast("int")
 
 
-def near_stops(stops: DataFrame, radius_km: float) -> DataFrame:
-    """Ordered pairs of stops within a radius: each stop meets the grid cells around it, not every other stop."""
+def near_points(points: DataFrame, stops: DataFrame, radius_km: float) -> DataFrame:
+    """Points with each stop within a radius and its distance: a point meets the stops of the grid cells around it, not every stop."""
     # A degree of latitude is 111.19 km; of longitude less, so its reach depends on the latitude's band.
     reach_y = int(radius_km / (111.19 * CELL)) + 1
     band = F.cos(F.radians(F.least(F.abs("lat") + reach_y * CELL, F.lit(89.0))))
     reach_x = (F.floor(F.lit(radius_km) / (111.19 * CELL * band)) + 1).cast("int")
     cell = lambda c: F.floor(F.col(c) / CELL).cast("long")
-    here = stops.select("stop_id", "lat", "lon", cell("lat").alias("y"), cell("lon").alias("x"))
+    own = [c for c in points.columns if c not in ("lat", "lon")]
     spread = (
-        here.withColumn("dy", F.explode(F.sequence(F.lit(-reach_y), F.lit(reach_y))))
+        points.withColumn("dy", F.explode(F.sequence(F.lit(-reach_y), F.lit(reach_y))))
         .withColumn("dx", F.explode(F.sequence(-reach_x, reach_x)))
-        .select(F.col("stop_id").alias("from_stop_id"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+        .select(*own, F.col("lat").alias("lat1"), F.col("lon").alias("lon1"), (cell("lat") + F.col("dy")).alias("y"), (cell("lon") + F.col("dx")).alias("x"))
     )
-    pairs = spread.join(here.withColumnRenamed("stop_id", "to_stop_id"), ["y", "x"]).where("from_stop_id <> to_stop_id")
+    here = stops.select("stop_id", "lat", "lon", cell("lat").alias("y"), cell("lon").alias("x"))
     km = geo.haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat"), F.col("lon"))
-    return pairs.select("from_stop_id", "to_stop_id", km.alias("km")).where(F.col("km") <= radius_km)
+    return spread.join(here, ["y", "x"]).select(*own, "stop_id", km.alias("km")).where(F.col("km") <= radius_km)
+
+
+def near_stops(stops: DataFrame, radius_km: float) -> DataFrame:
+    """Ordered pairs of stops within a radius."""
+    points = stops.select(F.col("stop_id").alias("from_stop_id"), "lat", "lon")
+    found = near_points(points, stops, radius_km).where("from_stop_id <> stop_id")
+    return found.select("from_stop_id", F.col("stop_id").alias("to_stop_id"), "km")
 
 
 def transfer_index(declared: DataFrame, siblings: DataFrame, served: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tramline.functions import measures
-from tramline.operators import network, operations, scenario, streets, validate
+from tramline.operators import calendar, network, operations, scenario, streets, validate
 from tramline.plans.fixtures import DAYS  # noqa: F401
 from tramline.plans.registry import query
 
@@ -117,22 +117,31 @@ def _(v):
     return operations.propagate_delays(_delays(v)).select("trip_id", "stop_sequence", "predicted_delay")
 
 
-RUNNING = """running AS (SELECT route_id, direction_id, from_stop_id AS stop_id, trip_id, departure AS scheduled, departure + stop_sequence * departure % 1700 AS predicted FROM fx_connections)"""
+RUNNING = """running AS (SELECT route_id, direction_id, from_stop_id % 2 AS stop_id, CASE WHEN service_id IN ('D6', 'D7') THEN 'weekend' ELSE 'week' END AS day, trip_id, departure AS scheduled,
+  CASE WHEN stop_sequence % 4 <> 3 THEN departure + stop_sequence * departure % 1700 END AS predicted, stop_sequence % 8 = 3 AS passed FROM fx_connections)"""
+#: After the pairs.
+SEVERITY = """severity AS (SELECT p AS planned, a AS actual, CASE WHEN a > p AND a >= 1200 AND a >= 3 * p AND a - p >= 600 THEN 'critical' WHEN a > p AND 2 * a >= 3 * p AND a - p >= 300 THEN 'warning'
+  WHEN a <= p AND 4 * a <= p AND a <= 120 AND p - a >= 300 THEN 'critical' WHEN a <= p AND 2 * a <= p AND p - a >= 180 THEN 'warning' ELSE 'info' END AS severity FROM (SELECT DISTINCT planned AS p, actual AS a FROM pairs))"""
 
 
 def _running(v):
+    seq = F.col("stop_sequence")
     return v.connections.select(
-        "route_id", "direction_id", F.col("from_stop_id").alias("stop_id"), "trip_id", F.col("departure").alias("scheduled"), (F.col("departure") + F.col("stop_sequence") * F.col("departure") % 1700).alias("predicted")
+        "route_id", "direction_id", (F.col("from_stop_id") % 2).alias("stop_id"), F.when(F.col("service_id").isin("D6", "D7"), "weekend").otherwise("week").alias("day"), "trip_id", F.col("departure").alias("scheduled"),
+        F.when(seq % 4 != 3, F.col("departure") + seq * F.col("departure") % 1700).alias("predicted"), (seq % 8 == 3).alias("passed"),
     )
 
 
 @query(
     "w7_headways",
-    """SELECT route_id, direction_id, stop_id, before, trip_id, planned, actual, CASE WHEN actual * 2 < planned THEN 'bunched' WHEN actual * 2 > 3 * planned THEN 'gap' ELSE 'regular' END AS kind FROM (
-  SELECT *, lag(trip_id) OVER w AS before, scheduled - lag(scheduled) OVER w AS planned, predicted - lag(predicted) OVER w AS actual, place - lag(place) OVER w AS moved
-  FROM (SELECT *, row_number() OVER (PARTITION BY route_id, direction_id, stop_id ORDER BY predicted, trip_id) AS place FROM running) WINDOW w AS (PARTITION BY route_id, direction_id, stop_id ORDER BY scheduled, trip_id))
-WHERE before IS NOT NULL AND planned > 0 AND moved = 1""",
-    RUNNING,
+    """SELECT route_id, direction_id, stop_id, day, before, trip_id, planned, actual, reversed, CASE WHEN actual < planned THEN 'bunching' WHEN actual > planned THEN 'gap' ELSE 'matches' END AS kind, severity
+FROM pairs JOIN severity USING (planned, actual)
+WHERE (actual < planned OR moved = 1) AND (SELECT count(*) FROM running r WHERE r.route_id = pairs.route_id AND r.direction_id = pairs.direction_id AND r.stop_id = pairs.stop_id AND r.day = pairs.day AND r.scheduled BETWEEN pairs.scheduled - planned AND pairs.scheduled) = 2""",
+    f"""{RUNNING},
+pairs AS (SELECT * FROM (SELECT *, lag(trip_id) OVER w AS before, scheduled - lag(scheduled) OVER w AS planned, abs(predicted - lag(predicted) OVER w) AS actual, predicted < lag(predicted) OVER w AS reversed, place - lag(place) OVER w AS moved
+  FROM (SELECT *, row_number() OVER (PARTITION BY route_id, direction_id, stop_id, day ORDER BY predicted, trip_id) AS place FROM running WHERE predicted IS NOT NULL)
+  WINDOW w AS (PARTITION BY route_id, direction_id, stop_id, day ORDER BY scheduled, trip_id)) WHERE planned > 0),
+{SEVERITY}""",
 )
 def _(v):
     return operations.headways(_running(v))
@@ -140,8 +149,17 @@ def _(v):
 
 @query(
     "w8_reordered_bunching",
-    """SELECT * FROM (SELECT route_id, direction_id, stop_id, trip_id, lag(trip_id) OVER w AS before, predicted - lag(predicted) OVER w AS actual, scheduled - lag(scheduled) OVER w AS planned FROM running WINDOW w AS (PARTITION BY route_id, direction_id, stop_id ORDER BY predicted, trip_id)) WHERE planned < 0""",
-    RUNNING,
+    """SELECT route_id, direction_id, stop_id, day, before, trip_id, planned, actual, severity FROM pairs JOIN severity USING (planned, actual) WHERE severity <> 'info'""",
+    f"""{RUNNING},
+neighbours AS (SELECT *, row_number() OVER () AS pair FROM (SELECT route_id, direction_id, stop_id, day, predicted - lag(predicted) OVER w AS actual,
+    least(scheduled, lag(scheduled) OVER w) AS lo, greatest(scheduled, lag(scheduled) OVER w) AS hi,
+    CASE WHEN lag(scheduled) OVER w < scheduled THEN lag(trip_id) OVER w ELSE trip_id END AS before, CASE WHEN lag(scheduled) OVER w < scheduled THEN trip_id ELSE lag(trip_id) OVER w END AS trip_id, lag(scheduled) OVER w AS other
+  FROM running WHERE predicted IS NOT NULL WINDOW w AS (PARTITION BY route_id, direction_id, stop_id, day ORDER BY predicted, trip_id)) WHERE other IS NOT NULL AND lo < hi),
+met AS (SELECT n.*, r.scheduled, r.trip_id IN (n.before, n.trip_id) OR r.predicted IS NOT NULL OR r.passed AS known, r.scheduled - lag(r.scheduled) OVER (PARTITION BY n.pair ORDER BY r.scheduled, r.trip_id) AS own
+  FROM neighbours n JOIN running r USING (route_id, direction_id, stop_id, day) WHERE r.scheduled BETWEEN lo AND hi),
+pairs AS (SELECT * FROM (SELECT route_id, direction_id, stop_id, day, before, trip_id, any_value(actual) AS actual, min(own) AS planned, count(*) AS expected, bool_and(known) AS known FROM met GROUP BY pair, route_id, direction_id, stop_id, day, before, trip_id)
+  WHERE expected > 2 AND known AND actual < planned),
+{SEVERITY}""",
 )
 def _(v):
     return operations.reordered_bunching(_running(v))
@@ -149,12 +167,42 @@ def _(v):
 
 @query(
     "ops4_stop_board",
-    """SELECT route_id, direction_id, trip_id, expected FROM (SELECT *, row_number() OVER (PARTITION BY route_id, direction_id ORDER BY expected, trip_id, day) AS rank FROM (SELECT route_id, direction_id, trip_id, day, departure + coalesce(CASE WHEN stop_sequence % 2 = 0 THEN 120 END, 0) + day * 86400 AS expected
-  FROM fx_connections, (VALUES (-1), (0), (1)) v(day) WHERE from_stop_id = 7) WHERE expected >= 43200) WHERE rank = 1 ORDER BY expected, trip_id LIMIT 100""",
+    """SELECT route_id, direction_id, trip_id, CAST(day AS VARCHAR) AS day, stop_sequence, expected, status, stands FROM (
+  SELECT *, coalesce(c_arrival, c_departure, s_arrival, s_departure) AS expected, coalesce(c_departure, c_arrival, s_departure, s_arrival) AS leaves,
+    coalesce(one AND at_stop = stop_sequence AND status NOT IN ('cancelled', 'skipped'), false) AS stands FROM (
+    SELECT *, CASE WHEN usable THEN p_arrival END AS c_arrival, CASE WHEN usable THEN p_departure END AS c_departure,
+      CASE WHEN reports > 1 THEN 'unresolved' WHEN NOT fresh THEN 'stale' WHEN one AND relationship = 'CANCELED' THEN 'cancelled' WHEN one AND NOT by_call THEN 'unresolved' WHEN told > 1 THEN 'unresolved'
+        WHEN by_call AND skipped THEN 'skipped' WHEN usable AND coalesce(p_arrival, p_departure) IS NOT NULL THEN 'live' ELSE 'scheduled' END AS status FROM (
+      SELECT *, coalesce(by_call AND told = 1 AND NOT skipped, false) AS usable FROM (
+        SELECT s.*, u.reports, u.relationship, u.fresh, u.passed, u.at_stop, coalesce(u.reports = 1 AND u.fresh, false) AS one, coalesce(u.reports = 1 AND u.fresh AND coalesce(u.relationship, 'SCHEDULED') = 'SCHEDULED', false) AS by_call, p.told, p.skipped, p.arrival AS p_arrival, p.departure AS p_departure
+        FROM run s LEFT JOIN (SELECT trip_id, day, count(*) AS reports, max(update_id) AS update_id, max(relationship) AS relationship, bool_and(fresh) AS fresh, max(passed) AS passed, max(at_stop) AS at_stop FROM updates GROUP BY ALL) u USING (trip_id, day)
+        LEFT JOIN (SELECT update_id, stop_sequence, count(*) AS told, bool_and(skipped) AS skipped, max(arrival) AS arrival, max(departure) AS departure FROM predictions GROUP BY ALL) p ON p.update_id = u.update_id AND p.stop_sequence = s.stop_sequence))))
+WHERE NOT coalesce(one AND (relationship = 'DELETED' OR passed >= stop_sequence), false) AND expected <= 86400 AND (stands OR leaves >= 43200)
+ORDER BY stands DESC, expected, trip_id, 4, stop_sequence LIMIT 100""",
+    """days AS (SELECT service_id, CAST(d AS DATE) AS day FROM fx_calendar, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-16', INTERVAL 1 DAY) g(d)
+  WHERE 'D' || CAST(isodow(d) AS VARCHAR) = service_id AND NOT (service_id = 'D1' AND d = TIMESTAMP '2024-01-15') UNION SELECT 'D7', DATE '2024-01-15'),
+run AS (SELECT t.route_id, t.direction_id, s.trip_id, d.day, s.stop_sequence, s.arrival + 21600 + date_diff('day', DATE '2024-01-15', d.day) * 86400 AS s_arrival, s.departure + 21600 + date_diff('day', DATE '2024-01-15', d.day) * 86400 AS s_departure
+  FROM fx_stop_times s JOIN fx_trips t USING (trip_id) JOIN days d USING (service_id) WHERE s.stop_id = 7),
+updates AS (SELECT DISTINCT trip_id || CAST(copy AS VARCHAR) AS update_id, trip_id, DATE '2024-01-15' AS day, CASE WHEN stop_sequence = 2 THEN 'CANCELED' WHEN stop_sequence = 3 THEN 'DELETED' WHEN stop_sequence = 4 THEN 'ADDED' END AS relationship,
+  stop_sequence <> 5 AS fresh, CASE WHEN stop_sequence = 6 THEN 6 END AS passed, CASE WHEN stop_sequence = 7 THEN 7 END AS at_stop FROM fx_stop_times, (VALUES (0), (1)) c(copy) WHERE stop_id = 7 AND trip_id IN (SELECT trip_id FROM fx_stop_times WHERE stop_id = 7 GROUP BY trip_id HAVING count(*) = 1) AND (copy = 0 OR stop_sequence = 8)),
+predictions AS (SELECT trip_id || '0' AS update_id, stop_sequence, stop_sequence % 5 = 4 AS skipped, CASE WHEN stop_sequence % 5 <> 3 THEN arrival + 21600 + 60 * stop_sequence END AS arrival, departure + 21600 + 90 * stop_sequence AS departure FROM fx_stop_times, (VALUES (0), (1)) c(copy) WHERE stop_id = 7 AND stop_sequence > 8 AND (copy = 0 OR stop_sequence % 7 = 0))""",
 )
 def _(v):
-    calls = v.connections.withColumn("stop_id", F.col("from_stop_id")).withColumn("delay", F.when(F.col("stop_sequence") % 2 == 0, 120))
-    return operations.stop_board(calls, 7, NOW)
+    """Times stand six hours later than in the tables, so that some of the day before are after midnight."""
+    later = v.stop_times.withColumn("arrival", F.col("arrival") + 21600).withColumn("departure", F.col("departure") + 21600)
+    calls, seq = later.join(v.trips, "trip_id"), F.col("stop_sequence")
+    here = later.where("stop_id = 7")
+    once = here.groupBy("trip_id").agg(F.count("*").alias("n"), F.max("stop_sequence").alias("stop_sequence")).where("n = 1")
+    copies = F.explode(F.array(F.lit(0), F.lit(1)))
+    updates = once.withColumn("copy", copies).where("copy = 0 OR stop_sequence = 8").select(
+        F.concat("trip_id", F.col("copy").cast("string")).alias("update_id"), "trip_id", F.lit("2024-01-15").cast("date").alias("day"),
+        F.when(seq == 2, "CANCELED").when(seq == 3, "DELETED").when(seq == 4, "ADDED").alias("relationship"), (seq != 5).alias("fresh"),
+        F.when(seq == 6, 6).alias("passed"), F.when(seq == 7, 7).alias("at_stop"),
+    )
+    predictions = here.where("stop_sequence > 8").withColumn("copy", copies).where("copy = 0 OR stop_sequence % 7 = 0").select(
+        F.concat("trip_id", F.lit("0")).alias("update_id"), "stop_sequence", (seq % 5 == 4).alias("skipped"), F.when(seq % 5 != 3, F.col("arrival") + 60 * seq).alias("arrival"), (F.col("departure") + 90 * seq).alias("departure")
+    )
+    return operations.stop_board(calls, calendar.service_days(v.calendar, v.exceptions), 7, "2024-01-15", NOW, 86400, updates, predictions).withColumn("day", F.col("day").cast("string"))
 
 
 @query("j9_service_windows", "SELECT trip_id, seconds FROM (SELECT trip_id, least(max(arrival), 50400) - greatest(min(departure), 36000) AS seconds FROM fx_connections GROUP BY trip_id) WHERE seconds > 0")
@@ -173,12 +221,32 @@ def _(v):
 
 @query(
     "ops9_coverage",
-    """SELECT route_id AS scope, count(*) AS records, count(u.trip_id) AS matched, CASE WHEN count(u.trip_id) = count(*) THEN 'full' ELSE 'partial' END AS status FROM fx_trips t LEFT JOIN (SELECT DISTINCT trip_id FROM fx_trip_updates) u USING (trip_id) GROUP BY route_id UNION ALL SELECT 'R20', 0, 0, 'none'""",
+    """SELECT scope, CASE WHEN lo IS NULL THEN 'unknown' WHEN 20240115 BETWEEN lo AND hi THEN CASE WHEN active THEN 'scheduled_service' ELSE 'no_service_today' END WHEN on_road THEN 'continuing_service' ELSE 'outside_dates' END AS status FROM (
+  SELECT s.scope, min(least(start_date, coalesce(x.date, start_date))) AS lo, max(greatest(end_date, coalesce(x.date, end_date))) AS hi,
+    coalesce(bool_or(coalesce(x.exception_type = 1, false) OR (start_date <= 20240115 AND end_date >= 20240115 AND monday = 1 AND coalesce(x.exception_type, 0) <> 2)), false) AS active,
+    EXISTS (SELECT 1 FROM spans p JOIN days d ON d.service_id = p.service_id WHERE p.scope = s.scope AND p.lo < 3601 + date_diff('day', d.day, DATE '2024-01-15') * 86400 AND p.hi > 3600 + date_diff('day', d.day, DATE '2024-01-15') * 86400) AS on_road
+  FROM scopes s LEFT JOIN cal c ON c.scope = s.scope LEFT JOIN (SELECT * FROM fx_exceptions WHERE date = 20240115) x ON x.service_id = c.service_id GROUP BY s.scope)""",
+    """scopes AS (SELECT * FROM (VALUES ('week'), ('weekend'), ('past'), ('gone'), ('none')) v(scope)),
+cal AS (SELECT CASE WHEN service_id IN ('D6', 'D7') THEN 'weekend' ELSE 'week' END AS scope, * FROM fx_calendar UNION ALL SELECT 'past' AS scope, * REPLACE ('P' || service_id AS service_id, 20240114 AS end_date) FROM fx_calendar
+  UNION ALL SELECT 'gone' AS scope, * REPLACE ('G' || service_id AS service_id, 20240108 AS end_date) FROM fx_calendar),
+days AS (SELECT service_id, CAST(d AS DATE) AS day FROM cal, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) g(d)
+  WHERE right(service_id, 1) = CAST(isodow(d) AS VARCHAR) AND CAST(d AS DATE) <= strptime(CAST(end_date AS VARCHAR), '%Y%m%d') AND NOT (service_id = 'D1' AND d = TIMESTAMP '2024-01-15') UNION SELECT 'D7', DATE '2024-01-15'),
+trips AS (SELECT service_id, trip_id, min(departure) + 43200 AS lo, max(arrival) + 43200 AS hi FROM fx_connections GROUP BY ALL),
+spans AS (SELECT CASE WHEN service_id IN ('D6', 'D7') THEN 'weekend' ELSE 'week' END AS scope, service_id, lo, hi FROM trips UNION ALL SELECT 'past', 'P' || service_id, lo, hi FROM trips UNION ALL SELECT 'gone', 'G' || service_id, lo, hi FROM trips)""",
 )
 def _(v):
-    reported = v.trip_updates.select(F.col("trip_id").alias("t")).distinct()
-    matched = v.trips.join(reported, v.trips["trip_id"] == F.col("t"), "left").select(F.col("route_id").alias("scope"), F.col("t").alias("trip_id"))
-    return operations.coverage_status(v.routes.select(F.col("route_id").alias("scope")), matched)
+    """Four sources of one timetable, half a day later: weekdays, weekends, all that ended yesterday, all that ended a week before; and one without a calendar."""
+    def scoped(rows):
+        own = rows.withColumn("scope", F.when(F.col("service_id").isin("D6", "D7"), "weekend").otherwise("week"))
+        return own, [rows.withColumn("service_id", F.concat(F.lit(k), "service_id")).withColumn("scope", F.lit(name)) for k, name in (("P", "past"), ("G", "gone"))]
+
+    own, (past, gone) = scoped(v.calendar)
+    services = own.unionByName(past.withColumn("end_date", F.lit(20240114))).unionByName(gone.withColumn("end_date", F.lit(20240108)))
+    spans = network.trip_spans(v.connections).select("service_id", *[(F.col(c) + 43200).alias(c) for c in ("first_departure", "last_arrival")])
+    first, others = scoped(spans)
+    spans = first.unionByName(others[0]).unionByName(others[1])
+    scopes = v.spark.createDataFrame([(s,) for s in ("week", "weekend", "past", "gone", "none")], "scope string")
+    return operations.coverage_status(scopes, services, scoped(v.exceptions)[0], spans, 20240115, 3600)
 
 
 @query(

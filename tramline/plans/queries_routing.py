@@ -8,23 +8,47 @@ from tramline.operators import analysis, routing, transfers
 from tramline.plans.registry import query
 
 START = 28800
-OPT = routing.Options()
+OPT = routing.Options(skyline=False)
 
 
-def rounds_sql(n: int, origins: str, conns: str = "fx_connections", walks: str = "fx_transfers", horizon: int = 86400) -> str:
-    """Expressions l0 ... ln: labels (o, stop, kind, arrival) of each round; lall has them all with their round k."""
+def rounds_sql(n: int, origins: str, conns: str = "fx_connections", walks: str = "fx_transfers", horizon: int = 86400, p: str = "", minima: bool = False) -> str:
+    """Expressions l0 ... ln: labels (o, stop, kind, arrival) of each round; lall has them all with their round k. p stands before every name."""
+    parts = [f"{p}l0 AS ({origins})"]
+    for k in range(1, n + 1):
+        least = "coalesce(m.minimum, 120) + 60" if minima else "180"
+        ready = f"l.arrival + CASE l.kind WHEN 'ride' THEN {least} WHEN 'transfer' THEN 60 ELSE 0 END"
+        at = f"{p}l{k - 1} l" + (" LEFT JOIN minima m ON m.stop_id = l.stop" if minima else "")
+        also = " AND (l.kind <> 'ride' OR NOT coalesce(m.forbidden, false))" if minima else ""
+        parts.append(
+            f"""{p}r{k} AS MATERIALIZED (SELECT o, c.to_stop_id AS stop, min(c.arrival) AS arrival FROM (
+  SELECT o, trip_id, min(stop_sequence) AS s FROM {at} JOIN {conns} c ON l.stop = c.from_stop_id AND c.departure >= {ready} WHERE c.can_board AND c.departure <= {horizon}{also} GROUP BY ALL) b
+  JOIN {conns} c USING (trip_id) WHERE c.stop_sequence >= s AND c.departure <= {horizon} AND c.can_alight GROUP BY ALL),
+{p}l{k} AS MATERIALIZED (SELECT o, stop, 'ride' AS kind, arrival FROM {p}r{k} UNION ALL SELECT o, to_stop_id, 'transfer', min(arrival + seconds) FROM {p}r{k} JOIN {walks} t ON t.from_stop_id = stop GROUP BY ALL)"""
+        )
+    every = " UNION ALL ".join(f"SELECT *, {k} AS k FROM {p}l{k}" for k in range(1, n + 1))
+    parts.append(f"{p}lall AS ({every})")
+    parts.append(f"{p}best AS (SELECT o, stop, min(arrival) AS arrival, arg_min(k, (arrival, k)) AS boardings FROM {p}lall GROUP BY ALL)")
+    return ",\n".join(parts)
+
+
+def skyline_sql(n: int, origins: str) -> str:
+    """The same with walking: all labels of a round that no other of it beats; options has those that no label of any round beats."""
     parts = [f"l0 AS ({origins})"]
     for k in range(1, n + 1):
         ready = "l.arrival + CASE l.kind WHEN 'ride' THEN 180 WHEN 'transfer' THEN 60 ELSE 0 END"
         parts.append(
-            f"""r{k} AS MATERIALIZED (SELECT o, c.to_stop_id AS stop, min(c.arrival) AS arrival FROM (
-  SELECT o, trip_id, min(stop_sequence) AS s FROM {conns} c JOIN l{k - 1} l ON l.stop = c.from_stop_id AND c.departure >= {ready} WHERE c.can_board AND c.departure <= {horizon} GROUP BY ALL) b
-  JOIN {conns} c USING (trip_id) WHERE c.stop_sequence >= s AND c.departure <= {horizon} AND c.can_alight GROUP BY ALL),
-l{k} AS MATERIALIZED (SELECT o, stop, 'ride' AS kind, arrival FROM r{k} UNION ALL SELECT o, to_stop_id, 'transfer', min(arrival + seconds) FROM r{k} JOIN {walks} t ON t.from_stop_id = stop GROUP BY ALL)"""
+            f"""r{k} AS MATERIALIZED (SELECT o, c.to_stop_id AS stop, c.arrival, min(b.walking) AS walking FROM (
+  SELECT o, trip_id, stop_sequence AS s, min(walking) AS walking FROM l{k - 1} l JOIN fx_connections c ON l.stop = c.from_stop_id AND c.departure >= {ready} WHERE c.can_board GROUP BY ALL) b
+  JOIN fx_connections c USING (trip_id) WHERE c.stop_sequence >= s AND c.can_alight GROUP BY ALL),
+w{k} AS (SELECT o, stop, 'ride' AS kind, arrival, walking FROM r{k} UNION ALL SELECT o, to_stop_id, 'transfer', arrival + seconds, min(walking + seconds) FROM r{k} JOIN fx_transfers t ON t.from_stop_id = stop GROUP BY ALL),
+l{k} AS MATERIALIZED (SELECT o, stop, kind, arrival, walking FROM (SELECT *, min(walking) OVER (PARTITION BY o, stop, kind ORDER BY arrival, walking ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM w{k}) WHERE m IS NULL OR walking < m)"""
         )
     every = " UNION ALL ".join(f"SELECT *, {k} AS k FROM l{k}" for k in range(1, n + 1))
-    parts.append(f"lall AS ({every})")
-    parts.append("best AS (SELECT o, stop, min(arrival) AS arrival, arg_min(k, (arrival, k)) AS boardings FROM lall GROUP BY ALL)")
+    parts.append(f"lall AS MATERIALIZED (SELECT o, stop, arrival, k, min(walking) AS walking FROM ({every}) GROUP BY ALL)")
+    parts.append(
+        """options AS MATERIALIZED (SELECT o AS origin_id, stop AS stop_id, arrival, CAST(k AS INTEGER) AS boardings, CAST(walking AS BIGINT) AS walking FROM lall a WHERE NOT EXISTS (
+  SELECT 1 FROM lall b WHERE b.o = a.o AND b.stop = a.stop AND b.arrival <= a.arrival AND b.k <= a.k AND b.walking <= a.walking AND (b.arrival < a.arrival OR b.k < a.k OR b.walking < a.walking)))"""
+    )
     return ",\n".join(parts)
 
 
@@ -44,7 +68,7 @@ def _(v):
 
 @query("r3_one_to_many", "SELECT o AS origin_id, stop AS stop_id, arrival, CAST(boardings AS INTEGER) AS boardings FROM best", rounds_sql(2, THREE))
 def _(v):
-    opt = routing.Options(boardings=2)
+    opt = routing.Options(boardings=2, skyline=False)
     found = routing.labels(v.connections, v.transfers, origin_rows(v, [0, 17, 42]), opt)
     return routing.earliest(found, opt).select("origin_id", "stop_id", "arrival", "boardings")
 
@@ -87,7 +111,7 @@ def _(v):
         F.lit(99).alias("to_stop_id"), F.lit(1).alias("stop_sequence"), F.lit(True).alias("can_board"), F.lit(True).alias("can_alight"),
     )
     conns = v.connections.where("route_id <> 'R3'").select(*planned.columns).unionByName(planned)
-    opt = routing.Options(boardings=2)
+    opt = routing.Options(boardings=2, skyline=False)
     return routing.earliest(routing.labels(conns, v.transfers, origin_rows(v, [0]), opt), opt).select("stop_id", "arrival", "boardings")
 
 
@@ -97,24 +121,21 @@ def _(v):
     rounds_sql(2, "SELECT o, 5 AS stop, 'origin' AS kind, CAST(o AS BIGINT) AS arrival FROM (SELECT CAST(unnest(range(28800, 32400, 600)) AS INTEGER) AS o)"),
 )
 def _(v):
-    found = routing.windows(v.connections, v.transfers, 5, list(range(28800, 32400, 600)), routing.Options(boardings=2))
+    found = routing.windows(v.connections, v.transfers, 5, list(range(28800, 32400, 600)), routing.Options(boardings=2, skyline=False))
     return found.select("departure_at", "stop_id", "arrival")
 
 
-OPTIONS = "options AS (SELECT from_stop_id % 10 AS origin_id, to_stop_id AS stop_id, arrival, direction_id AS boardings, stop_sequence AS walking FROM fx_connections)"
+OPTIONS = skyline_sql(2, f"SELECT o, o AS stop, 'origin' AS kind, CAST({START} AS BIGINT) AS arrival, 0 AS walking FROM (VALUES (0), (17), (42)) w(o)")
 
 
 def _options(v):
-    return v.connections.select((F.col("from_stop_id") % 10).alias("origin_id"), F.col("to_stop_id").alias("stop_id"), "arrival", F.col("direction_id").alias("boardings"), F.col("stop_sequence").alias("walking"))
+    """The options of a search with two boardings from three stops."""
+    return routing.pareto(routing.labels(v.connections, v.transfers, origin_rows(v, [0, 17, 42]), routing.Options(boardings=2)))
 
 
-@query(
-    "w11_pareto",
-    """SELECT DISTINCT origin_id, stop_id, arrival, boardings, walking FROM (SELECT origin_id, stop_id, arrival, boardings, min(walking) AS walking FROM options GROUP BY ALL) a WHERE NOT EXISTS (SELECT 1 FROM options b WHERE b.origin_id = a.origin_id AND b.stop_id = a.stop_id AND b.arrival <= a.arrival AND b.boardings <= a.boardings AND b.walking <= a.walking AND (b.arrival < a.arrival OR b.boardings < a.boardings OR b.walking < a.walking))""",
-    OPTIONS,
-)
+@query("w11_pareto", "SELECT * FROM options", OPTIONS)
 def _(v):
-    return routing.pareto(_options(v))
+    return _options(v)
 
 
 @query(
@@ -137,6 +158,74 @@ def _(v):
     return routing.bounded_choice(_options(v))
 
 
+@query("r6_generalized_cost", "SELECT origin_id, stop_id, min(arrival + 300 * (boardings - 1) + walking) AS cost FROM options GROUP BY ALL", OPTIONS)
+def _(v):
+    """Walking counts twice, a change five minutes."""
+    return routing.generalized(_options(v)).groupBy("origin_id", "stop_id").agg(F.min("cost").alias("cost"))
+
+
+@query("r1_pre_walk", "SELECT stop AS stop_id, arrival, CAST(boardings AS INTEGER) AS boardings FROM best", rounds_sql(2, ONE + " UNION ALL SELECT 0, to_stop_id, 'transfer', 28800 + seconds FROM fx_transfers WHERE from_stop_id = 0"))
+def _(v):
+    opt = routing.Options(boardings=2, pre_walk=True, skyline=False)
+    return routing.earliest(routing.labels(v.connections, v.transfers, origin_rows(v, [0]), opt), opt).select("stop_id", "arrival", "boardings")
+
+
+@query("r5_journeys", "SELECT stop AS stop_id, arrival, CAST(boardings AS BIGINT) AS rides FROM best", rounds_sql(2, ONE))
+def _(v):
+    """When the last leg of the journey to every stop ends, and how many of its legs are rides; tests hold the legs."""
+    legs = routing.journeys(v.connections, v.transfers, origin_rows(v, [0]), routing.Options(boardings=2))
+    return legs.groupBy("stop_id").agg(F.max_by("arrival", "leg").alias("arrival"), F.count(F.when(F.col("mode") == "ride", 1)).alias("rides"))
+
+
+@query(
+    "r10_stop_minima",
+    "SELECT stop AS stop_id, arrival, CAST(boardings AS INTEGER) AS boardings FROM best",
+    "minima AS (SELECT stop_id, CASE WHEN stop_id % 3 = 0 THEN 900 END AS minimum, stop_id % 10 = 9 AS forbidden FROM fx_stops), " + rounds_sql(2, ONE, minima=True),
+)
+def _(v):
+    minima = v.stops.select("stop_id", F.when(F.col("stop_id") % 3 == 0, 900).alias("minimum"), (F.col("stop_id") % 10 == 9).alias("forbidden"))
+    opt = routing.Options(boardings=2, skyline=False)
+    return routing.earliest(routing.labels(v.connections, v.transfers, origin_rows(v, [0]), opt, minima), opt).select("stop_id", "arrival", "boardings")
+
+
+@query(
+    "r19_through_via",
+    "SELECT stop AS stop_id, arrival, CAST(boardings AS INTEGER) AS boardings FROM vbest",
+    rounds_sql(2, ONE) + ", " + rounds_sql(2, "SELECT o, stop, 'origin' AS kind, arrival FROM best WHERE stop = 42", p="v"),
+)
+def _(v):
+    return routing.through_via(v.connections, v.transfers, 0, 42, START, routing.Options(boardings=2, skyline=False)).select("stop_id", "arrival", "boardings")
+
+
+POINTS = ((1, 38.9312, -77.0181), (2, 38.9649, -76.9755), (3, 38.9203, -76.9601))
+
+
+@query(
+    "r21_access",
+    "SELECT o AS origin_id, stop AS stop_id, arrival, CAST(boardings AS INTEGER) AS boardings FROM best",
+    f"""points AS (SELECT * FROM (VALUES {", ".join(f"({o}, CAST({lat} AS DOUBLE), CAST({lon} AS DOUBLE))" for o, lat, lon in POINTS)}) p(o, plat, plon)),
+access AS (SELECT o, stop_id, CAST(ceil(km / 4.8 * 3600) AS BIGINT) AS seconds FROM (SELECT o, stop_id, 12742.0176 * asin(sqrt(pow(sin(radians(lat - plat) / 2), 2) + cos(radians(plat)) * cos(radians(lat)) * pow(sin(radians(lon - plon) / 2), 2))) AS km FROM points, fx_stops) WHERE km <= 1.5), """
+    + rounds_sql(2, f"SELECT o, stop_id AS stop, 'origin' AS kind, {START} + seconds AS arrival FROM access"),
+)
+def _(v):
+    """From points off the stops: every stop within 1.5 km is reached on foot first."""
+    points = v.spark.createDataFrame([(*p, START) for p in POINTS], "origin_id int, lat double, lon double, departure long")
+    opt = routing.Options(boardings=2, skyline=False)
+    found = routing.labels(v.connections, v.transfers, routing.access(points, v.stops, 1.5), opt)
+    return routing.earliest(found, opt).select("origin_id", "stop_id", "arrival", "boardings")
+
+
+@query(
+    "r23_arrival_reserve",
+    "SELECT stop AS stop_id, 86400 - arrival AS departure FROM best",
+    MIRROR + rounds_sql(2, "SELECT 55 AS o, 55 AS stop, 'origin' AS kind, CAST(86400 - 64800 + 600 AS BIGINT) AS arrival", "mirror", "back"),
+)
+def _(v):
+    """To be there ten minutes before the deadline."""
+    goal = v.spark.createDataFrame([(55, 55, 64800)], "destination_id int, stop_id int, deadline long")
+    return routing.latest_departures(v.connections, v.transfers, goal, routing.Options(boardings=2, reserve=600, skyline=False)).select("stop_id", "departure")
+
+
 @query(
     "j7_earliest_boardable",
     "SELECT event_id AS ask_id, stop_id, sec + 60 AS ready, (SELECT min(departure) FROM fx_connections c WHERE c.can_board AND c.from_stop_id = e.stop_id AND c.departure >= e.sec + 60) AS departure FROM fx_calls e",
@@ -169,13 +258,6 @@ def _(v):
     return routing.walk_or_ride(rides, walks)
 
 
-@query("r12_station_paths", """SELECT u, v, CAST(min(s) AS BIGINT) AS seconds FROM (SELECT u, v, s FROM (SELECT a.u, a.v, CAST(a.metres AS BIGINT) AS s FROM fx_street_edges a WHERE u < 30 AND v < 30
-  UNION ALL SELECT a.u, b.v, CAST(a.metres + b.metres AS BIGINT) FROM fx_street_edges a JOIN fx_street_edges b ON a.v = b.u WHERE a.u < 30 AND a.v < 30 AND b.v < 30 AND a.u <> b.v)) GROUP BY ALL""")
-def _(v):
-    edges = v.street_edges.where("u < 30 AND v < 30").select("u", "v", F.col("metres").cast("long").alias("seconds"), F.col("metres").cast("long").alias("metres"))
-    return transfers.station_paths(edges, most=1).groupBy("u", "v").agg(F.min("seconds").alias("seconds")).where("u <> v")
-
-
 #: Least metres of walks of up to 128 edges, by seven times joining walks with themselves; there are 100 stops.
 WALKS = ", ".join(
     ["d0 AS MATERIALIZED (SELECT u, v, CAST(min(metres) AS BIGINT) AS s FROM fx_street_edges GROUP BY ALL)"]
@@ -183,9 +265,9 @@ WALKS = ", ".join(
 )
 
 
-@query("r12_station_paths_whole", "SELECT u, v, CAST(s AS BIGINT) AS seconds FROM d7 WHERE u <> v", WALKS)
+@query("r12_station_paths", "SELECT u, v, CAST(s AS BIGINT) AS seconds FROM d7 WHERE u <> v", WALKS)
 def _(v):
-    """All edges, to the fixpoint; r12_station_paths is its first two rounds over the first stops."""
+    """All edges, to the fixpoint."""
     edges = v.street_edges.select("u", "v", F.col("metres").cast("long").alias("seconds"), F.col("metres").cast("long").alias("metres"))
     return transfers.station_paths(edges).groupBy("u", "v").agg(F.min("seconds").alias("seconds")).where("u <> v")
 
