@@ -1,12 +1,13 @@
 """Archives, sinks and streams on small inputs."""
 
 import json
+import struct
 import zipfile
 
 from pyspark.sql import functions as F
 
 from tramline.operators import calendar, timetable
-from tramline.sources import gtfs, sinks
+from tramline.sources import gtfs, realtime, sinks
 from tramline.streaming import live
 
 FEED = {
@@ -73,3 +74,58 @@ def test_unchanged_snapshots_are_not_published(spark):
     for n, rows in enumerate(([(1,)], [(1,)], [(2,)])):
         publish(spark.createDataFrame(rows, "x int"), n)
     assert written == [0, 2]
+
+
+# ---- GTFS-Realtime ------------------------------------------------------------------------------------
+
+
+def varint(n):
+    n, out = n & (2**64 - 1), b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def written(kind, value):
+    """A message as bytes, by the same numbers; fields in reverse order, and one unknown field of each wire type."""
+    out = varint(1000 << 3) + varint(5) + varint(1001 << 3 | 2) + varint(3) + b"abc" + varint(1002 << 3 | 5) + b"1234" + varint(1003 << 3 | 1) + b"12345678"
+    for number, (name, of, many) in reversed(realtime.MESSAGES[kind].items()):
+        for x in (value.get(name) or []) if many else [value[name]] if value.get(name) is not None else []:
+            if of in ("int", "signed"):
+                out += varint(number << 3) + varint(x)
+            elif of == "float":
+                out += varint(number << 3 | 5) + struct.pack("<f", x)
+            else:
+                body = x.encode() if of == "text" else written(of, x)
+                out += varint(number << 3 | 2) + varint(len(body)) + body
+    return out
+
+
+def feed(entities, **header):
+    head = written("FeedHeader", {"version": "2.0", "timestamp": 1_700_000_000, **header})
+    out = varint(1 << 3 | 2) + varint(len(head)) + head
+    for e in entities:
+        body = written("FeedEntity", e)
+        out += varint(2 << 3 | 2) + varint(len(body)) + body
+    return out
+
+
+def test_realtime_feeds_are_read_whole_and_broken_ones_are_listed(spark, tmp_path):
+    update = {"trip": {"trip_id": "T1", "start_date": "20240115", "schedule_relationship": 0}, "stop_time_update": [{"stop_sequence": 3, "arrival": {"delay": -45}}, {"stop_id": "é", "departure": {"time": 1_700_000_100}, "schedule_relationship": 1}], "vehicle": {"id": "V"}, "delay": 30}
+    vehicle = {"trip": {"trip_id": "T2", "schedule_relationship": 3}, "position": {"latitude": 38.5, "longitude": -77.25}, "current_stop_sequence": 4, "vehicle": {"id": "V2", "label": "Bus 2"}}
+    alert = {"active_period": [{"start": 5}, {"start": 9, "end": 12}], "informed_entity": [{"route_id": "R", "route_type": 3}, {"stop_id": "S", "trip": {"trip_id": "T1"}}], "effect": 2, "header_text": {"translation": [{"text": "Closed", "language": "en"}]}}
+    good = feed([{"id": "a", "trip_update": update}, {"id": "b", "vehicle": vehicle}, {"id": "c", "alert": alert}, {"id": "d"}])
+    files = {"good": good, "cut": good[:-3], "differential": feed([], incrementality=1), "deleted": feed([{"id": "x", "is_deleted": 1}]), "empty": b"", "none": feed([])}
+    for name, data in files.items():
+        (tmp_path / f"{name}.pb").write_bytes(data)
+    feeds = realtime.read_feeds(spark, str(tmp_path)).cache()
+    assert {r.feed.rsplit("/", 1)[1] for r in realtime.rejected(feeds).collect()} == {"cut.pb", "differential.pb", "deleted.pb"}
+    assert feeds.where("error IS NULL").count() == 4
+    u = realtime.trip_updates(feeds).first()
+    assert (u.trip_id, u.relationship, u.vehicle_id, u.delay, u.feed_timestamp, u.timestamp, len(u.calls)) == ("T1", "SCHEDULED", "V", 30, 1_700_000_000, None, 2)
+    calls = [(r.stop_sequence, r.stop_id, r.arrival_delay, r.departure_time, r.relationship) for r in realtime.call_updates(feeds).orderBy("place").collect()]
+    assert calls == [(3, None, -45, None, "SCHEDULED"), (None, "é", None, 1_700_000_100, "SKIPPED")]
+    v = realtime.vehicles(feeds).first()
+    assert (v.trip_id, v.relationship, v.lat, v.lon, v.stop_sequence, v.status, v.vehicle_label) == ("T2", "CANCELED", 38.5, -77.25, 4, "IN_TRANSIT_TO", "Bus 2")
+    rows = {(r.route_id, r.route_type, r.stop_id, r.trip_id, r.start, r.end, r.header) for r in realtime.alerts(feeds).collect()}
+    assert rows == {(*s, *t, "Closed") for s in (("R", 3, None, None), (None, None, "S", "T1")) for t in ((5, None), (9, 12))}

@@ -76,16 +76,54 @@ def block_links(spans: DataFrame) -> DataFrame:
     return linked.select(*keys, "trip_id", "next_trip", (F.col("leaves") - F.col("latest")).alias("layover"))
 
 
-def best_fare(legs: DataFrame, rules: DataFrame) -> DataFrame:
+def best_fare(legs: DataFrame, rules: DataFrame, starts: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """The rule of each leg: by network and areas, an empty field fits all; highest priority first, then the lower amount. No fare is null, not free.
 
-    legs: leg_id, network, from_area, to_area. rules: rule_id, network, from_area, to_area, priority, amount.
+    legs: leg_id, network, from_area, to_area. rules: rule_id, network, from_area, to_area, priority, amount; with starts
+    and ends also from_timeframe and to_timeframe: the groups that `in_timeframes` found for the legs' first and last time.
     """
     # A leg asks for the rules of its network and for those of any network under one key.
     asked = legs.withColumn("key", F.explode(F.array(F.coalesce("network", F.lit("*")), F.lit("*")))).distinct().alias("l")
     known = rules.withColumn("key", F.coalesce("network", F.lit("*"))).alias("r")
     fits = [F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == F.col(f"l.{c}")) for c in ("from_area", "to_area")]
-    found = asked.join(known, F.col("l.key") == F.col("r.key")).where(fits[0] & fits[1]).select("l.leg_id", "r.rule_id", "r.priority", "r.amount")
+    timed = [] if starts is None else ["from_timeframe", "to_timeframe"]
+    found = asked.join(known, F.col("l.key") == F.col("r.key")).where(fits[0] & fits[1]).select("l.leg_id", "r.rule_id", "r.priority", "r.amount", *[f"r.{c}" for c in timed])
+    for column, inside in zip(timed, (starts, ends), strict=False):
+        groups = inside.select("leg_id", F.col("timeframe").alias(column), F.lit(True).alias("inside"))
+        found = found.join(groups, ["leg_id", column], "left").where(F.col(column).isNull() | F.col("inside")).drop("inside")
     w = Window.partitionBy("leg_id").orderBy(F.desc("priority"), "amount", "rule_id")
     best = found.withColumn("rank", F.row_number().over(w)).where("rank = 1")
     return legs.select("leg_id").join(best.select("leg_id", "rule_id", "amount"), "leg_id", "left")
+
+
+def in_timeframes(events: DataFrame, frames: DataFrame, days: DataFrame) -> DataFrame:
+    """leg_id and timeframe of every group that an event (leg_id, day, seconds) falls into: a frame's service runs on the day, and the time is from its start up to, not at, its end.
+
+    frames: timeframe, service_id, start_time, end_time; both times empty: all day. A frame with one time only, or that doesn't begin before it ends, never fits.
+    """
+    whole = F.col("start_time").isNull() & F.col("end_time").isNull()
+    valid = frames.where(whole | (F.col("start_time") < F.col("end_time")))
+    on = valid.join(days, "service_id").select("timeframe", "day", F.coalesce("start_time", F.lit(0)).alias("lo"), F.coalesce("end_time", F.lit(86400)).alias("hi")).distinct()
+    return events.join(on, "day").where((F.col("seconds") >= F.col("lo")) & (F.col("seconds") < F.col("hi"))).select("leg_id", "timeframe").distinct()
+
+
+def fares_v1(legs: DataFrame, attributes: DataFrame, rules: DataFrame) -> DataFrame:
+    """R25, first version: every fare that a leg may be paid with, cheapest first (rank); fares aren't added up.
+
+    A fare without rules fits all legs; one with rules needs one whose route, origin and destination zone, where given,
+    are the leg's. Rules that ask which zones lie in between aren't read: a leg that one fits has no fare and isn't
+    supported. legs: leg_id, route_id, from_zone, to_zone. attributes: fare_id, price. rules: fare_id, route_id,
+    origin_id, destination_id, contains_id.
+    """
+    asked = legs.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce("route_id", F.lit("*")), F.lit("*"))))).alias("l")
+    free = attributes.join(rules.select("fare_id").distinct(), "fare_id", "left_anti").select("fare_id", *[F.lit(None).cast("string").alias(c) for c in ("route_id", "origin_id", "destination_id", "contains_id")])
+    known = rules.select("fare_id", "route_id", "origin_id", "destination_id", "contains_id").unionByName(free).withColumn("key", F.coalesce("route_id", F.lit("*"))).alias("r")
+    fits = [F.col(f"r.{a}").isNull() | (F.col(f"r.{a}") == F.col(f"l.{b}")) for a, b in (("origin_id", "from_zone"), ("destination_id", "to_zone"))]
+    met = asked.join(known, F.col("l.key") == F.col("r.key")).where(fits[0] & fits[1]).select("l.leg_id", "r.fare_id", "r.contains_id")
+    options = met.groupBy("leg_id", "fare_id").agg(F.count("contains_id").alias("asks")).join(attributes.select("fare_id", "price"), "fare_id")
+    asks = F.max("asks").over(Window.partitionBy("leg_id"))
+    ranked = options.withColumn("supported", asks == 0).withColumn("rank", F.row_number().over(Window.partitionBy("leg_id").orderBy("price", "fare_id")))
+    kept = ranked.where("supported OR rank = 1")
+    keep = lambda c: F.when(F.col("supported"), F.col(c)).alias(c)
+    found = kept.select("leg_id", keep("fare_id"), keep("price"), keep("rank"), "supported")
+    return legs.select("leg_id").join(found, "leg_id", "left").withColumn("supported", F.coalesce("supported", F.lit(True)))

@@ -384,6 +384,60 @@ def _(v):
     return scenario.best_fare(legs, rules)
 
 
+LEGS = """legs AS (SELECT event_id AS leg_id, 'R' || CAST(user_id % 20 AS VARCHAR) AS network, stop_id % 5 AS from_area, CAST(sec % 5 AS INTEGER) AS to_area, d AS day, sec AS t0, sec + 1800 AS t1 FROM fx_calls)"""
+
+
+def _legs(v):
+    return v.calls.select(
+        F.col("event_id").alias("leg_id"), F.concat(F.lit("R"), (F.col("user_id") % 20).cast("string")).alias("network"), (F.col("stop_id") % 5).alias("from_area"), (F.col("sec") % 5).cast("int").alias("to_area"),
+        F.col("d").alias("day"), F.col("sec").alias("t0"), (F.col("sec") + 1800).alias("t1"),
+    )
+
+
+FRAMES = (("peak", "D1", 25200, 32400), ("peak", "D2", 25200, 32400), ("peak", "D3", 57600, 68400), ("night", "D6", 72000, 86400), ("night", "D7", None, None), ("broken", "D4", 30000, None), ("broken", "D5", 40000, 30000))
+TIMED = ((1, "R1", None, None, 9, 400, "peak", None), (2, None, None, None, 5, 350, "peak", "peak"), (3, None, None, 3, 6, 120, None, "night"), (4, None, None, None, 1, 250, None, None), (5, "R2", None, None, 8, 1, "broken", None), (6, "R3", None, None, 8, 2, "unknown", None))
+
+
+def _values(rows):
+    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+@query(
+    "r25_timeframes",
+    """SELECT l.leg_id, b.rule_id, b.amount FROM legs l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY leg_id ORDER BY priority DESC, amount, rule_id) AS k FROM legs JOIN rules ON (n IS NULL OR n = network) AND (f IS NULL OR f = from_area) AND (t IS NULL OR t = to_area)
+  WHERE (g0 IS NULL OR EXISTS (SELECT 1 FROM frames WHERE g = g0 AND frames.day = legs.day AND t0 >= lo AND t0 < hi)) AND (g1 IS NULL OR EXISTS (SELECT 1 FROM frames WHERE g = g1 AND frames.day = legs.day AND t1 >= lo AND t1 < hi))) b ON b.leg_id = l.leg_id AND b.k = 1""",
+    f"""{LEGS},
+rules AS (SELECT * FROM (VALUES {_values(TIMED)}) r(rule_id, n, f, t, priority, amount, g0, g1)),
+days AS (SELECT service_id, CAST(d AS DATE) AS day FROM fx_calendar, generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY) x(d)
+  WHERE 'D' || CAST(isodow(d) AS VARCHAR) = service_id AND NOT (service_id = 'D1' AND d = TIMESTAMP '2024-01-15') UNION SELECT 'D7', DATE '2024-01-15'),
+frames AS (SELECT g, day, coalesce(lo, 0) AS lo, coalesce(hi, 86400) AS hi FROM (VALUES {_values(FRAMES)}) f(g, service_id, lo, hi) JOIN days USING (service_id) WHERE (lo IS NULL AND hi IS NULL) OR lo < hi)""",
+)
+def _(v):
+    legs, days = _legs(v), calendar.service_days(v.calendar, v.exceptions)
+    frames = v.spark.createDataFrame(FRAMES, "timeframe string, service_id string, start_time int, end_time int")
+    rules = v.spark.createDataFrame(TIMED, "rule_id int, network string, from_area int, to_area int, priority int, amount int, from_timeframe string, to_timeframe string")
+    at = lambda c: scenario.in_timeframes(legs.select("leg_id", "day", F.col(c).alias("seconds")), frames, days)
+    return scenario.best_fare(legs, rules, at("t0"), at("t1"))
+
+
+V1_FARES = (("flat", 300), ("zone", 250), ("line", 150), ("loop", 100))
+V1_RULES = (("zone", None, "1", "2", None), ("zone", None, "2", None, None), ("line", "R4", None, None, None), ("line", "R5", "3", None, None), ("loop", "R6", "4", None, "2"))
+
+
+@query(
+    "r25_v1_fares",
+    """SELECT l.leg_id, CASE WHEN s.ok THEN o.fare_id END AS fare_id, CASE WHEN s.ok THEN o.price END AS price, CASE WHEN s.ok THEN CAST(o.k AS INTEGER) END AS rank, s.ok AS supported
+FROM legs l JOIN (SELECT leg_id, count(m.c) = 0 AS ok FROM legs LEFT JOIN met m USING (leg_id) GROUP BY leg_id) s USING (leg_id)
+LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY leg_id ORDER BY price, fare_id) AS k FROM (SELECT DISTINCT leg_id, fare_id, price FROM met)) o ON o.leg_id = l.leg_id AND (s.ok OR o.k = 1)""",
+    f"""{LEGS},
+met AS (SELECT leg_id, a.fare_id, a.price, r.c FROM legs CROSS JOIN (VALUES {_values(V1_FARES)}) a(fare_id, price) LEFT JOIN (VALUES {_values(V1_RULES)}) r(fare_id, n, f, t, c) ON r.fare_id = a.fare_id AND (n IS NULL OR n = network) AND (f IS NULL OR f = CAST(from_area AS VARCHAR)) AND (t IS NULL OR t = CAST(to_area AS VARCHAR))
+  WHERE r.fare_id IS NOT NULL OR a.fare_id = 'flat')""",
+)
+def _(v):
+    legs = _legs(v).select("leg_id", F.col("network").alias("route_id"), F.col("from_area").cast("string").alias("from_zone"), F.col("to_area").cast("string").alias("to_zone"))
+    return scenario.fares_v1(legs, v.spark.createDataFrame(V1_FARES, "fare_id string, price int"), v.spark.createDataFrame(V1_RULES, "fare_id string, route_id string, origin_id string, destination_id string, contains_id string"))
+
+
 # ---- streets -----------------------------------------------------------------------------------------
 
 
