@@ -76,6 +76,17 @@ def test_unchanged_snapshots_are_not_published(spark):
     assert written == [0, 2]
 
 
+def test_archives_unpacked_once_give_the_same_rows(spark, tmp_path):
+    for name in ("one", "two"):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as out:
+            for table, text in FEED.items():
+                out.writestr(table, text)
+    gtfs.unpack(spark, str(tmp_path / "*.zip"), str(tmp_path / "tables"))
+    for table in ("stops", "routes", "stop_times", "calendar"):
+        rows = lambda d: sorted(map(repr, d.collect()))
+        assert rows(gtfs.read_unpacked(spark, str(tmp_path / "tables"), table)) == rows(gtfs.read_raw(spark, str(tmp_path / "*.zip"), table))
+
+
 # ---- GTFS-Realtime ------------------------------------------------------------------------------------
 
 

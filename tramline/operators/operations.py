@@ -206,24 +206,40 @@ def coverage_status(scopes: DataFrame, calendar: DataFrame, exceptions: DataFram
     return rows.select("scope", status.alias("status"))
 
 
+#: What a selector may give, the most telling first.
+SELECTOR = ("trip_id", "stop_id", "route_id", "route_type", "direction_id")
+
+
 def matching_alerts(selectors: DataFrame, asked: DataFrame, now: int, end_inclusive: bool = True) -> DataFrame:
     """Alerts with a selector all of whose given fields fit a call, in an active period; an open bound always holds.
 
-    Routing counts a period's end as inside it, operations don't.
+    Both sides have those of SELECTOR that they know, and a scope where feeds are told apart: a selector fits calls of
+    its scope only. One that gives no field fits all of these. Routing counts a period's end as inside it,
+    operations don't.
     """
-    fits = [F.col(f"s_{c}").isNull() | (F.col(f"s_{c}") == F.col(c)) for c in ("route_id", "stop_id", "direction_id")]
-    renamed = selectors.select("alert_id", *[F.col(c).alias(f"s_{c}") for c in ("route_id", "stop_id", "direction_id")], "start", "end")
+    known = [c for c in SELECTOR if c in selectors.columns and c in asked.columns]
+    unknown = [c for c in SELECTOR if c in selectors.columns and c not in asked.columns]
+    scope = ["scope"] if "scope" in selectors.columns and "scope" in asked.columns else []
+    renamed = selectors.select("alert_id", *[F.col(c).alias(f"s_{c}") for c in known + scope], "start", "end", *unknown)
     ends = F.col("end") >= now if end_inclusive else F.col("end") > now
     active = renamed.where((F.col("start").isNull() | (F.col("start") <= now)) & (F.col("end").isNull() | ends))
-    # The field that a selector gives decides the join; selectors without any field are few and apply to all.
-    parts = []
-    for key, others in (("route_id", "s_route_id IS NOT NULL"), ("stop_id", "s_route_id IS NULL AND s_stop_id IS NOT NULL")):
-        side = active.where(others)
-        parts.append(asked.join(side, F.col(key) == F.col(f"s_{key}")).where(fits[0] & fits[1] & fits[2]))
-    every = active.where("s_route_id IS NULL AND s_stop_id IS NULL AND s_direction_id IS NOT NULL")
-    parts.append(asked.join(every, F.col("direction_id") == F.col("s_direction_id")))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.select("call_id", "alert_id").distinct()
+    for c in unknown:  # a field that calls don't have can't fit
+        active = active.where(F.col(c).isNull()).drop(c)
+    fits = F.lit(True)
+    for c in known:
+        fits = fits & (F.col(f"s_{c}").isNull() | (F.col(f"s_{c}") == F.col(c)))
+    for c in scope:
+        fits = fits & (F.col(f"s_{c}") == F.col(c))
+    # The first field that a selector gives decides the join; of selectors without any, the scope or nothing does.
+    out, left = [], active
+    for c in known:
+        out.append(asked.join(left.where(F.col(f"s_{c}").isNotNull()), F.col(c) == F.col(f"s_{c}")).where(fits))
+        left = left.where(F.col(f"s_{c}").isNull())
+    every = asked.withColumn("every", F.lit(1)).join(left.withColumn("s_every", F.lit(1)), F.col("every") == F.col("s_every")).where(fits)
+    found = every.select("call_id", "alert_id")
+    for rows in out:
+        found = found.unionByName(rows.select("call_id", "alert_id"))
+    return found.distinct()
 
 
 def realtime_view(conns: DataFrame, cancelled: DataFrame, replaced: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from tramline.plans.registry import query
 
 NOW = 43200
 
+def _values(rows):
+    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
 # ---- integrity ---------------------------------------------------------------------------------------
 
 
@@ -249,18 +253,28 @@ def _(v):
     return operations.coverage_status(scopes, services, scoped(v.exceptions)[0], spans, 20240115, 3600)
 
 
+#: alert_id, scope, route_id, stop_id, direction_id, route_type, trip_id, start, end; the last alert gives no field.
+SELECTORS = (
+    (1, "a", "R3", None, None, None, None, None, None), (2, "a", None, 17, None, None, None, 0, 43200), (3, "a", "R4", 17, None, None, None, None, None), (4, "a", None, None, 1, None, None, 50000, None),
+    (5, "a", "R5", None, 1, None, None, None, 40000), (6, "a", None, None, 1, None, None, 40000, None), (7, "b", None, None, None, 3, None, None, None), (8, "b", "R6", None, None, 2, None, None, None),
+    (9, "a", None, None, None, None, "1-2024-01-01", None, None), (10, "b", "R3", None, None, None, None, None, None), (11, "b", None, None, None, None, None, 43200, 43201),
+)
+
+
 @query(
     "p7_matching_alerts",
-    """SELECT DISTINCT c.event_id AS call_id, a.alert_id FROM (SELECT event_id, 'R' || CAST(user_id % 20 AS VARCHAR) AS route_id, stop_id, CAST(user_id % 2 AS INTEGER) AS direction_id FROM fx_calls) c
-JOIN (VALUES (1, 'R3', NULL, NULL, NULL, NULL), (2, NULL, 17, NULL, 0, 43200), (3, 'R4', 17, NULL, NULL, NULL), (4, NULL, NULL, 1, 50000, NULL), (5, 'R5', NULL, 1, NULL, 40000), (6, NULL, NULL, 1, 40000, NULL)) a(alert_id, r, s, dir, b, e)
-ON (a.r IS NULL OR a.r = c.route_id) AND (a.s IS NULL OR a.s = c.stop_id) AND (a.dir IS NULL OR a.dir = c.direction_id) AND (b IS NULL OR b <= 43200) AND (e IS NULL OR e >= 43200)""",
+    """SELECT DISTINCT c.call_id, a.alert_id FROM calls c JOIN selectors a ON a.scope = c.scope AND (a.r IS NULL OR a.r = c.route_id) AND (a.s IS NULL OR a.s = c.stop_id) AND (a.dir IS NULL OR a.dir = c.direction_id)
+AND (a.rt IS NULL OR a.rt = c.route_type) AND (a.trip IS NULL OR a.trip = c.trip_id) AND (b IS NULL OR b <= 43200) AND (e IS NULL OR e >= 43200)""",
+    f"""selectors AS (SELECT * FROM (VALUES {_values(SELECTORS)}) a(alert_id, scope, r, s, dir, rt, trip, b, e)),
+calls AS (SELECT event_id AS call_id, 'R' || CAST(user_id % 20 AS VARCHAR) AS route_id, stop_id, CAST(user_id % 2 AS INTEGER) AS direction_id, CAST(user_id % 4 AS INTEGER) AS route_type, CAST(user_id AS VARCHAR) || '-' || CAST(d AS VARCHAR) AS trip_id, CASE WHEN user_id % 3 = 0 THEN 'b' ELSE 'a' END AS scope FROM fx_calls)""",
 )
 def _(v):
-    selectors = v.spark.createDataFrame(
-        [(1, "R3", None, None, None, None), (2, None, 17, None, 0, 43200), (3, "R4", 17, None, None, None), (4, None, None, 1, 50000, None), (5, "R5", None, 1, None, 40000), (6, None, None, 1, 40000, None)],
-        "alert_id int, route_id string, stop_id int, direction_id int, start int, end int",
+    selectors = v.spark.createDataFrame(SELECTORS, "alert_id int, scope string, route_id string, stop_id int, direction_id int, route_type int, trip_id string, start int, end int")
+    user = F.col("user_id")
+    calls = v.calls.select(
+        F.col("event_id").alias("call_id"), F.concat(F.lit("R"), (user % 20).cast("string")).alias("route_id"), "stop_id", (user % 2).cast("int").alias("direction_id"), (user % 4).cast("int").alias("route_type"),
+        F.concat_ws("-", user.cast("string"), F.col("d").cast("string")).alias("trip_id"), F.when(user % 3 == 0, "b").otherwise("a").alias("scope"),
     )
-    calls = v.calls.select(F.col("event_id").alias("call_id"), F.concat(F.lit("R"), (F.col("user_id") % 20).cast("string")).alias("route_id"), "stop_id", (F.col("user_id") % 2).cast("int").alias("direction_id"))
     return operations.matching_alerts(selectors, calls, NOW)
 
 
@@ -398,10 +412,6 @@ FRAMES = (("peak", "D1", 25200, 32400), ("peak", "D2", 25200, 32400), ("peak", "
 TIMED = ((1, "R1", None, None, 9, 400, "peak", None), (2, None, None, None, 5, 350, "peak", "peak"), (3, None, None, 3, 6, 120, None, "night"), (4, None, None, None, 1, 250, None, None), (5, "R2", None, None, 8, 1, "broken", None), (6, "R3", None, None, 8, 2, "unknown", None))
 
 
-def _values(rows):
-    return ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
 @query(
     "r25_timeframes",
     """SELECT l.leg_id, b.rule_id, b.amount FROM legs l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY leg_id ORDER BY priority DESC, amount, rule_id) AS k FROM legs JOIN rules ON (n IS NULL OR n = network) AND (f IS NULL OR f = from_area) AND (t IS NULL OR t = to_area)

@@ -71,6 +71,30 @@ def read_raw(spark: SparkSession, path: str, table: str) -> DataFrame:
     return files.mapInArrow(lambda b: _rows(b, table), schema)
 
 
+def _every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All known tables of each archive in one pass: table, and the rest as _rows gives it, with the columns as a map."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            for table, names in COLUMNS.items():
+                for rows in _rows(iter([batch.slice(k, 1)]), table):
+                    held = [[(c, row[c]) for c in names] for row in rows.to_pylist()]
+                    values = pa.array(held, pa.map_(pa.string(), pa.string()))
+                    yield pa.RecordBatch.from_arrays([pa.array([table] * rows.num_rows), rows.column(0), rows.column(1), values], names=["table", "feed", "line", "values"])
+
+
+def unpack(spark: SparkSession, path: str, to: str) -> None:
+    """SC1: every archive under path read once; its tables' rows as text, a folder for each table."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(_every, "table string, feed string, line long, values map<string, string>")
+    rows.write.partitionBy("table").parquet(to)
+
+
+def read_unpacked(spark: SparkSession, to: str, table: str) -> DataFrame:
+    """What read_raw gives, from a folder that unpack wrote: splittable, without opening an archive again."""
+    rows = spark.read.parquet(to).where(F.col("table") == table)
+    return rows.select("feed", "line", *[F.col("values")[c].alias(c) for c in COLUMNS[table]])
+
+
 def _int(name: str, default: int | None = None) -> Column:
     value = F.expr(f"try_cast({name} AS INT)")
     return value if default is None else F.coalesce(value, F.lit(default))
