@@ -516,16 +516,11 @@ def evidence(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     distinct = common.materialize(shown.distinct())
     total = distinct.groupBy("host").agg(F.count("*").alias("pages"))
     rows = distinct.select("host", F.explode("shown").alias("x")).select("host", "x.*")
-    by_key = rows.groupBy("host", "slot", "key").agg(F.count("*").alias("n"), F.count(F.when(F.col("main"), 1)).alias("n_main"))
-    by_slot = (
-        by_key.join(total, "host")
-        .groupBy("host", "slot")
-        .agg(
-            F.sum("n").alias("n"),
-            F.sum("n_main").alias("n_main"),
-            F.sort_array(F.collect_list(F.when((F.col("n") >= MIN_PAGES) & (F.col("n") * 5 >= F.col("pages") * FIFTHS), F.col("key")))).alias("keys"),
-        )
-    )
+    counts = rows.groupBy("host", "slot").agg(F.count("*").alias("n"), F.count(F.when(F.col("main"), 1)).alias("n_main"))
+    # Strings of few pages go before a host's come together: what is left of a host is what many of its pages share.
+    shared = rows.groupBy("host", "slot", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES)
+    strings = shared.join(total, "host").where(F.col("n") * 5 >= F.col("pages") * FIFTHS).groupBy("host", "slot").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    by_slot = counts.join(strings, ["host", "slot"], "left").withColumn("keys", F.coalesce("keys", F.array().cast("array<bigint>")))
     main, others = F.col("n_main") * 10 >= F.col("n") * TENTHS, F.col("n_main") * 10 <= F.col("n") * (10 - TENTHS)
     label = F.when(main, "+").when(others, "-").otherwise("?")
     return by_slot.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("slot", label.alias("label"), "keys"))).alias("labels"))
