@@ -204,13 +204,22 @@ def _union(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array(out, HITS)
 
 
+def through_blocks(documents: DataFrame, benchmark: DataFrame, name: str, window: int, block_words: int) -> tuple[DataFrame, Automaton]:
+    """documents with what all blocks but the last have found in a column of that name, if there are such, and the last one's automaton."""
+    spark, last = documents.sparkSession, Automaton([], window)
+    for k, block in enumerate(_blocks(benchmark, block_words)):
+        if k:
+            one = _hits_column(spark, last)(F.col("text"))
+            documents = common.materialize(documents.withColumn(name, one if k == 1 else _union(name, one)))
+        last = Automaton(block, window)
+    return documents, last
+
+
 def with_hits(documents: DataFrame, benchmark: DataFrame, name: str, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """documents with a struct of n_words, the merged hit spans in words and the sorted ids of the items that occur in text."""
-    spark, found = documents.sparkSession, None
-    for block in _blocks(benchmark, block_words):
-        one = _hits_column(spark, Automaton(block, window))(F.col("text"))
-        found = documents.withColumn(name, one) if found is None else common.materialize(found).withColumn(name, _union(name, one))
-    return documents.withColumn(name, _hits_column(spark, Automaton([], window))(F.col("text"))) if found is None else found
+    found, last = through_blocks(documents, benchmark, name, window, block_words)
+    one = _hits_column(documents.sparkSession, last)(F.col("text"))
+    return found.withColumn(name, _union(name, one) if name in found.columns else one)
 
 
 def find_hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -249,20 +258,28 @@ def remove_spans(
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """documents with every hit span cut from text; rows of which the spans cover more than max_coverage of the words go."""
+    own = "__decontaminated"
+    while own in documents.columns:
+        own += "_"
+    found, last = through_blocks(documents, benchmark, own, window, block_words)
+    shared = documents.sparkSession.sparkContext.broadcast(last)
+
+    # The last block is searched where the text is cut, so that a task has one worker.
     @common.vector_udf(pa.struct([("keep", pa.bool_()), ("text", pa.string())]))
-    def apply(text: pa.Array, found: pa.Array) -> pa.Array:
+    def apply(text: pa.Array, *before: pa.Array) -> pa.Array:
         keep, out = [], []
-        for x, h in zip(text.to_pylist(), found.to_pylist(), strict=True):
-            n_hit = sum(h["ends"]) - sum(h["starts"])
-            keep.append(n_hit <= max_coverage * h["n_words"])
-            out.append(cut(x.encode(), h["starts"], h["ends"]).decode() if n_hit and keep[-1] else x)
+        for x, earlier in zip(text.to_pylist(), before[0].to_pylist() if before else [None] * len(text), strict=True):
+            words = words_of((x or "").encode())
+            starts, ends, _ = shared.value.stream(words)
+            if earlier:
+                starts, ends = merged([*zip(starts, ends, strict=True), *zip(earlier["starts"], earlier["ends"], strict=True)])
+            n_hit = sum(ends) - sum(starts)
+            keep.append(n_hit <= max_coverage * len(words))
+            out.append(cut(x.encode(), starts, ends).decode() if n_hit and keep[-1] else x)
         return pa.StructArray.from_arrays([pa.array(keep, pa.bool_()), pa.array(out, pa.string())], ["keep", "text"])
 
-    own = "__decontaminated"
-    while own in documents.columns:
-        own += "_"
-    found = with_hits(documents, benchmark, own, window, block_words)
-    done = found.withColumn(own, apply.asNondeterministic()(F.col("text"), F.col(own))).where(F.col(own)["keep"])
+    given = [F.col("text"), *([F.col(own)] if own in found.columns else [])]
+    done = found.withColumn(own, apply.asNondeterministic()(*given)).where(F.col(own)["keep"])
     return done.select(*[F.col(own)["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
 
 
