@@ -86,16 +86,28 @@ def bounded(rows: DataFrame, most: int) -> DataFrame:
 
 
 def give_back() -> None:
-    """Hand memory that is free back to the system: workers outlive their task, and an executor's share is bounded."""
+    """Hand memory that is free back to the system. Workers outlive their tasks and take turns, so what each holds on to adds up in an executor."""
     pa.default_memory_pool().release_unused()
-    trim = getattr(_libc(), "malloc_trim", None)
+    trim = _allocator()
     if trim:
         trim(0)
 
 
+#: Arrays of so many bytes get memory of their own, which goes back as soon as they do.
+OWN_MEMORY = 1 << 20
+#: Fixed value: the number of that setting in the C library's mallopt.
+M_MMAP_THRESHOLD = -3
+
+
 @functools.cache
-def _libc():
-    return ctypes.CDLL(None)
+def _allocator():
+    """In this process arrays of numpy and Arrow come from the C library, if it is one that can give memory back; its function for that."""
+    libc = ctypes.CDLL(None)
+    if not (hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt")):
+        return None
+    libc.mallopt(M_MMAP_THRESHOLD, OWN_MEMORY)
+    pa.set_memory_pool(pa.system_memory_pool())
+    return libc.malloc_trim
 
 
 def vector_udf(kind: pa.DataType):
@@ -104,9 +116,8 @@ def vector_udf(kind: pa.DataType):
     def of(f: Callable) -> Callable:
         @functools.wraps(f)
         def batch(*columns: pa.Array) -> pa.Array:
-            out = f(*columns)
             give_back()
-            return out
+            return f(*columns)
 
         return F.arrow_udf(batch, returnType=from_arrow_type(kind))
 

@@ -130,6 +130,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: int, m: int) -> float:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        common.give_back()
         n, digest, sketch = [], [], []
         for text in common.texts(batch.column(1)):
             hashes = shingle_hashes(words_of(text))
@@ -140,7 +141,6 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary())],
             names=["doc_id", "n_shingles", "digest", "sketch"],
         )
-        common.give_back()
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,7 @@ pieces, comes back as a space.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -291,7 +292,7 @@ class _Chunk:
     """Documents on their way into one chunk."""
 
     def __init__(self, cuts: Cuts):
-        self.cuts, self.ids, self.counts, self.segments, self.size = cuts, [], [], [], 0
+        self.cuts, self.ids, self.counts, self.sums, self.segments, self.size = cuts, [], [], [], [], 0
 
     def add(self, ids: pa.Array, texts: list[str | None]) -> None:
         """Texts are joined for the cutting; as no piece holds a line end and more, they're cut where they meet."""
@@ -302,6 +303,7 @@ class _Chunk:
         ends = np.flatnonzero(breaks)
         counts = np.diff(np.concatenate([[-1], ends])) - 1
         self.counts.append(np.where([x is None for x in texts], -1, counts) if texts else counts)
+        self.sums.append(np.fromiter((zlib.crc32(x.encode()) for x in given), np.int64, len(given)))
         self.ids.append(ids)
 
     @staticmethod
@@ -321,7 +323,7 @@ class _Chunk:
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
         words = coded.dictionary.take(pa.array(order)).cast(pa.string())
-        docs = pa.table({"doc_id": pa.chunked_array(self.ids), "n": pa.array(np.concatenate(self.counts), pa.int32())})
+        docs = pa.table({"doc_id": pa.chunked_array(self.ids), "n": pa.array(np.concatenate(self.counts), pa.int32()), "crc": pa.array(np.concatenate(self.sums))})
         row = [pa.array([x], t) for x, t in zip((number, _pack(docs), _pack(pa.table({"word": words})), _squeeze(rank[places])), CHUNK_SCHEMA.types, strict=True)]
         return pa.RecordBatch.from_arrays(row, schema=CHUNK_SCHEMA)
 
@@ -331,6 +333,7 @@ SLICE_BYTES = 1_000_000
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], cuts: Cuts, most: int) -> Iterator[pa.RecordBatch]:
+    common.give_back()
     part, k = TaskContext.get().partitionId(), 0
     held = _Chunk(cuts)
     for batch in batches:
@@ -393,6 +396,7 @@ ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("ids", pa.bi
 
 def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
     """Of one bucket: every chunk's words turned into their ids."""
+    common.give_back()
     words = known.column("word").combine_chunks()
     lists = known.column("ids").combine_chunks()
     flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
@@ -402,7 +406,6 @@ def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         found = pc.split_pattern(part, LINE_END).values
         at = pc.index_in(found.slice(1), value_set=words).to_numpy()
         rows.append({"chunk": int(found[0].as_py()), "bucket": bucket, "ids": _squeeze(gathered(flat, begin, size, at)), "counts": _squeeze(size[at])})
-    common.give_back()
     return pa.Table.from_pylist(rows, schema=ANSWER)
 
 
@@ -416,8 +419,8 @@ def gathered(flat: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarr
 GATHERED = 500_000
 
 
-def _encoded(chunk: pa.Table, answers: pa.Table, buckets: int, line_end: list[int]) -> pa.Table:
-    """Of one chunk: doc_id and ids of its rows."""
+def _encoded(chunk: pa.Table, answers: pa.Table, buckets: int, line_end: list[int], decoder: Decoder | None = None) -> pa.Table:
+    """Of one chunk: doc_id and ids of its rows; with a decoder also whether the ids give back what was read."""
     common.give_back()
     docs = _unpack(chunk.column("docs")[0].as_py())
     words = _unpack(chunk.column("words")[0].as_py()).column(0).combine_chunks()
@@ -446,21 +449,36 @@ def _encoded(chunk: pa.Table, answers: pa.Table, buckets: int, line_end: list[in
         upto = np.concatenate([[0], np.cumsum(size[own])])
         offsets = upto[np.concatenate([[0], after[row:end] - done])].astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=pa.array(null[row:end]))
-        out.append(pa.table({"doc_id": docs.column("doc_id").slice(row, end - row), "ids": lists}))
+        found = {"doc_id": docs.column("doc_id").slice(row, end - row), "ids": lists}
+        if decoder:
+            data, ends = decoder.joined(values, offsets)
+            sums = np.fromiter((zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)), np.int64, end - row)
+            found["round_trip"] = pa.array(sums == docs.column("crc").slice(row, end - row).to_numpy(), mask=null[row:end])
+        out.append(pa.table(found))
         row, done = end, int(after[end - 1])
     return pa.concat_tables(out)
 
 
 def encode(
-    documents: DataFrame, model: str = MODEL, buckets: int | None = None, chunk_bytes: int = CHUNK_BYTES, table: tuple[list[Piece], int] | None = None
+    documents: DataFrame,
+    model: str = MODEL,
+    buckets: int | None = None,
+    chunk_bytes: int = CHUNK_BYTES,
+    table: tuple[list[Piece], int] | None = None,
+    round_trip: bool = False,
 ) -> DataFrame:
-    """doc_id and ids of every row of documents. table: pieces with scores, and the id of the byte 0, instead of a model file."""
+    """doc_id and ids of every row of documents. table: pieces with scores, and the id of the byte 0, instead of a model file.
+
+    round_trip: the ids are decoded again, and a column of that name says whether their bytes have the checksum of
+    the text as it was read, with spaces for U+2581; null for a null text.
+    """
     spark = documents.sparkSession
     pieces, byte = table or load_pieces(model)
     n = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     line_end = next(([i] for p, _, i in pieces if p == LINE_END), [byte + ord(LINE_END)])
     cuts = Cuts(pieces)
     id_type = documents.schema["doc_id"].dataType.simpleString()
+    decoder, also = (Decoder(pieces, byte), ", round_trip boolean") if round_trip else (None, "")
     chunks = documents.select("doc_id", "text").mapInArrow(lambda b: _chunks(b, cuts, chunk_bytes), CHUNK).repartition("chunk")
     # What is asked is one text a row, and no filter comes before, so that both of its readers take all of it and Spark makes and shuffles it once.
     asked = chunks.mapInArrow(lambda b: _asked(b, n), "bucket int, part string").repartition("bucket")
@@ -474,17 +492,28 @@ def encode(
     return (
         chunks.groupBy("chunk")
         .cogroup(answers.groupBy("chunk"))
-        .applyInArrow(lambda a, b: _encoded(a, b, n, line_end), f"doc_id {id_type}, ids array<int>")
+        .applyInArrow(lambda a, b: _encoded(a, b, n, line_end, decoder), f"doc_id {id_type}, ids array<int>{also}")
     )
 
 
 class Decoder:
+    """The bytes of every id."""
+
     def __init__(self, pieces: list[Piece], byte: int):
-        self.bytes = {i: p.encode() for p, _, i in pieces} | {byte + b: bytes([b]) for b in range(256)}
+        of = {i: p.encode() for p, _, i in pieces} | {byte + b: bytes([b]) for b in range(256)}
+        own = [of.get(i, b"") for i in range(max(of) + 1)]
+        self.size = np.array([len(x) for x in own], dtype=np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(own), dtype=np.uint8)
+
+    def joined(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all lists of ids, which begin and end at the offsets, and where each list's begin and end."""
+        upto = np.concatenate([[0], np.cumsum(self.size[ids])])
+        return gathered(self.flat, self.begin, self.size, ids).tobytes(), upto[offsets]
 
     def text(self, ids: list[int]) -> str:
-        joined = b"".join(map(self.bytes.__getitem__, ids))
-        return joined.decode("utf-8", errors="replace")[1:]  # the first space stands before every text
+        data, _ = self.joined(np.array(ids, dtype=np.int64), np.array([0, len(ids)]))
+        return data.decode("utf-8", errors="replace")[1:]  # the first space stands before every text
 
 
 def decode_column(spark: SparkSession, model: str = MODEL):
@@ -493,6 +522,9 @@ def decode_column(spark: SparkSession, model: str = MODEL):
 
     @common.vector_udf(pa.string())
     def decode(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else shared.value.text(x) for x in ids.to_pylist()], pa.string())
+        values, size = ids.flatten().to_numpy(zero_copy_only=False), pc.fill_null(ids.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        data, ends = shared.value.joined(values, np.concatenate([[0], np.cumsum(size)]))
+        found = [data[a:b].decode("utf-8", errors="replace")[1:] for a, b in zip(ends, ends[1:], strict=False)]
+        return pa.array([None if null else x for x, null in zip(found, ids.is_null().to_pylist(), strict=True)], pa.string())
 
     return decode

@@ -39,8 +39,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text."""
-    return pieces.encode(common.read_table(spark, sf_dir, "documents"))
+    """Ids of every text, and whether they give it back."""
+    return pieces.encode(common.read_table(spark, sf_dir, "documents"), round_trip=True)
 
 
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
