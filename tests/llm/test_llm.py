@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 from html.parser import HTMLParser
 from pathlib import Path
 
@@ -69,6 +70,53 @@ def test_odd_rows_pass_every_operator(spark, odd, none, labels):
         assert run(none).count() == 0, name
 
 
+def by_id(rows, *columns):
+    return sorted(((r.doc_id is None, r.doc_id or 0), *[getattr(r, c) for c in columns]) for r in rows)
+
+
+def asked(values):
+    """Results by the place in ODD, as by_id gives them."""
+    return sorted(((i is None, i or 0), *v) for (i, _), v in zip(ODD, values, strict=True))
+
+
+def test_odd_rows_have_their_values(spark, odd, labels):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    words = [len((t or "").split()) for _, t in ODD]
+    # 1: without toxic examples every score is the prior.
+    scores = toxicity.score_documents(odd, none).collect()
+    assert len({r.score for r in scores}) == 1 and all(0 <= r.score < 0.5 and r.predicted == 0 for r in scores)
+    assert by_id(scores, "held_out") == asked([(zlib.crc32(str(i if i is not None else "").encode()) % 5 == 0,) for i, _ in ODD])
+    # 2
+    spans = [pii.written(plain_spans(t or "")) for _, t in ODD]
+    assert by_id(pii.find_spans(odd).collect(), "base_sha256", "n_email", "n_ip", "n_card", "n_phone") == asked([(hashlib.sha256(x.encode()).hexdigest(), *[x.count(f"{k}:") for k in pii.KINDS]) for x in spans])
+    # 3: one word twice is one group, a null id is in none.
+    groups = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.find_groups(odd).collect()]
+    size = [len(near_dup.shingles(near_dup.words_of((t or "").encode()))) for _, t in ODD]
+    component = [i if i != 5 else 4 for i, _ in ODD]
+    assert sorted(groups, key=str) == sorted([(i, n, c, i is None or i == c) for (i, _), n, c in zip(ODD, size, component, strict=True)], key=str)
+    # 4
+    assert by_id(licenses.scan(odd).collect(), "n_license_lines", "line_licenses") == asked([(0, "")] * len(ODD))
+    # 5, 10
+    encoded = pieces.encode(odd, chunk_bytes=10_000, round_trip=True).collect()
+    assert sorted(map(str, [(r.doc_id, r.ids is None, r.round_trip) for r in encoded])) == sorted(map(str, [(i, t is None, None if t is None else True) for i, t in ODD]))
+    assert by_id(trie_counts.count_tokens(odd).collect(), "n_chars", "n_tokens") == sorted(((r.doc_id is None, r.doc_id or 0), len(t or ""), len(r.ids or [])) for r, t in paired(encoded))
+    # 7
+    judged = by_id(quality_rules.judge(odd, labels).collect(), "n_words", "base_failed")
+    assert judged == asked([(n, n < 20 or 100 * counted_repeats((t or "").split()) > 30 * n) for n, (_, t) in zip(words, ODD, strict=True)])
+    # 8: a text without a line scores 0.
+    assert {(r.doc_id, r.score) for r in line_crf.score_documents(odd, labels).collect() if r.doc_id in (1, 2)} == {(1, 0.0), (2, 0.0)}
+    # 9
+    bench = spark.createDataFrame([(1, "word"), (2, None), (3, "")], "item_id long, text string")
+    hit = {4: 1, 5: 1}
+    assert by_id(decontam.digest(decontam.find_hits(odd, bench)).collect(), "n_hit", "n_items", "contaminated") == asked([(hit.get(i, 0), hit.get(i, 0), i in hit) for i, _ in ODD])
+
+
+def paired(encoded):
+    """Rows of encode with the texts of ODD: rows of one id have one text."""
+    text = dict(ODD)
+    return [(r, text[r.doc_id]) for r in encoded]
+
+
 def test_odd_rows_pass_every_stage(spark, odd, none):
     import corpus_pipeline
 
@@ -298,6 +346,15 @@ def test_groups_equal_brute_force_with_hot_passages_and_chains(spark):
     assert {r.doc_id: r.component_id for r in found} == brute_groups(rows)
 
 
+@pytest.mark.parametrize("full", [0, 10**9])
+def test_groups_dont_depend_on_how_full_a_bucket_may_be(spark, monkeypatch, full):
+    """All pairs by the prefix filter, or all by the bands: the groups are those of the given bound."""
+    docs = table(spark, "documents", SMALL)
+    usual = held(near_dup.find_groups(docs).collect(), "doc_id", "component_id")
+    monkeypatch.setattr(near_dup, "FULL", full)
+    assert held(near_dup.find_groups(docs).collect(), "doc_id", "component_id") == usual
+
+
 def test_estimates_are_near_the_truth():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.75, 0.9):
@@ -429,6 +486,7 @@ def test_a_long_unbroken_word_and_tables_of_ones_own(spark):
         return [i for x in reversed(out) for i in x]
 
     found = {r.doc_id: r.ids for r in pieces.encode(rows, table=(own, 100), chunk_bytes=900).collect()}
+    assert {r.doc_id: r.round_trip for r in pieces.encode(rows, table=(own, 100), chunk_bytes=900, round_trip=True).collect()} == {i: None if x is None else True for i, x in enumerate(texts)}
     assert found == {i: None if x is None else plain(" " + x, own, 100) if x else [] for i, x in enumerate(texts)}
     byte = pieces.load_pieces()[1]
     assert pieces.encode(spark.createDataFrame([(1, letters)], "doc_id int, text string")).first().ids == plain(" " + letters, known, byte)
@@ -638,6 +696,66 @@ def test_statistics_equal_brute_force(spark):
         assert quality_rules.statistics(t.encode()) == expected
 
 
+def counted_repeats(words, span=8):
+    windows = Counter(tuple(words[i : i + span]) for i in range(len(words) - span + 1))
+    return len({k for i in range(len(words) - span + 1) if windows[tuple(words[i : i + span])] > 1 for k in range(i, i + span)})
+
+
+def test_the_rules_query_equals_a_plain_version(spark):
+    """Counts, base_failed and kept of every document: by plain counting, and the learned list read rule by rule."""
+    docs = table(spark, "documents", SMALL)
+    rules = quality_rules.fit(docs, table(spark, "labels", SMALL))
+    assert rules
+    found = {r.doc_id: r for r in queries.op7_quality_rules(spark, str(SMALL)).collect()}
+    share = lambda a, b: float(Decimal(repr(a / b)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    verdicts = set()
+    for r in docs.collect():
+        text = r.text or ""
+        words = [w for w in re.split("[ \t-\r]+", text) if w]
+        lines, n = text.split("\n"), max(len(words), 1)
+        seen, dup = set(), 0
+        for x in lines:
+            dup += x in seen
+            if x.strip(" \t\n\x0b\x0c\r"):
+                seen.add(x)
+        chars, symbols, repeats = sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), counted_repeats(words)
+        x = {"mean_word": share(chars, n), "symbol_share": share(symbols, n), "dup_line_share": share(dup, len(lines)), "repeat_share": share(repeats, n), "upper_share": share(len(re.findall("[A-Z]", text)), max(chars, 1)), "bang_share": share(text.count("!!"), n)}
+        rejected = any(all(x[name] >= at if op == ">=" else x[name] <= at for name, op, at in rule) for rule in rules)
+        failed = len(words) < 20 or 100 * repeats > 30 * len(words)
+        own = found[r.doc_id]
+        assert (own.n_words, own.word_chars, own.n_symbols, own.n_dup_lines, own.n_repeat_words) == (len(words), chars, symbols, dup, repeats)
+        assert (own.base_failed, own.kept) == (failed, not failed and not rejected)
+        verdicts.add((failed, rejected))
+    assert len(verdicts) > 2
+
+
+def test_the_line_field_query_equals_a_plain_version(spark):
+    """Every document's score: marginals of each line by plain forward and backward sums, weighted by length, on the learned curve."""
+    docs = table(spark, "documents")
+    field = line_crf.fit(docs, table(spark, "labels"))
+    found = {r.doc_id: r for r in queries.op8_quality_classifier(spark, str(DATA)).collect()}
+    w = np.vstack([field.w, np.zeros((1, 3))])
+    for r in docs.collect():
+        lines, seen = line_crf.lines_of((r.text or "").encode()), set()
+        part = [w[line_crf.matrix(np.array([line_crf.measure(x, seen)], dtype=np.float64))[0]].sum(axis=0) for x in lines]
+        n = len(lines)
+        e = [part[i][0] + field.bias + (part[i - 1][1] if i else 0) + (part[i + 1][2] if i + 1 < n else 0) for i in range(n)]
+        ahead, back = [], [None] * n
+        for i in range(n):
+            own = np.array([0.0, e[i]])
+            ahead.append(own if not i else own + np.logaddexp(ahead[-1][0] + field.turn[0], ahead[-1][1] + field.turn[1]))
+        for i in reversed(range(n)):
+            then = None if i == n - 1 else np.array([0.0, e[i + 1]]) + back[i + 1]
+            back[i] = np.zeros(2) if then is None else np.logaddexp(then[0] + field.turn[:, 0], then[1] + field.turn[:, 1])
+        good = [1 / (1 + np.exp((ahead[i] + back[i])[0] - (ahead[i] + back[i])[1])) for i in range(n)]
+        score = 0.0
+        if n:
+            mean = float(np.clip(np.average(good, weights=[len(x) for x in lines]), 0, 1))
+            score = mean if (field.scale, field.shift) == (1.0, 0.0) else float(1 / (1 + np.exp(-(field.scale * line_crf.logit(np.array([mean])) + field.shift)))[0])
+        own = found[r.doc_id]
+        assert abs(own.score - score) < 1e-6 and own.predicted == int(own.score >= 0.3) and own.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 def test_sequential_covering_finds_the_rule():
     rng = np.random.default_rng(0)
     x = {"mean_word": rng.random(900), "symbol_share": rng.random(900)}
@@ -681,6 +799,10 @@ def test_spans_are_cut_and_covered_documents_go(spark):
     docs = spark.createDataFrame([(1, "keep " * 30 + item + " tail."), (2, item + " x"), (3, "clean")], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {r.doc_id: r.text for r in decontam.remove_spans(docs, bench).collect()} == {1: "keep " * 30 + " tail.", 3: "clean"}
+    more = spark.createDataFrame([(1, item), (2, "tail"), (3, "clean")], "item_id long, text string")
+    for block_words in (1, 13, 1000):
+        own = {r.doc_id: r.text for r in decontam.remove_spans(docs, more, block_words=block_words).collect()}
+        assert own == {1: "keep " * 30 + "."}, own
 
 
 # ---- the pipeline -----------------------------------------------------------------------------------------
