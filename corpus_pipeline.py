@@ -34,11 +34,14 @@ def personal_data_is_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def texts_become_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and the ids of the pieces of every text."""
+    """doc_id and the ids of the pieces of every text, in chunks that leave room for what earlier stages hold on to."""
     common.ship(spark)
-    return pieces.encode(docs)
+    return pieces.encode(docs, chunk_bytes=CHUNK_BYTES)
 
 
+#: Text in a chunk of the encoding stage.
+CHUNK_BYTES = 4_000_000
+
 STAGES = [
     ("toxicity", toxic_documents_go),
     ("near_duplicates", near_copies_go),
