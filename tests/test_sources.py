@@ -87,6 +87,24 @@ def test_archives_unpacked_once_give_the_same_rows(spark, tmp_path):
         assert rows(gtfs.read_unpacked(spark, str(tmp_path / "tables"), table)) == rows(gtfs.read_raw(spark, str(tmp_path / "*.zip"), table))
 
 
+def test_a_restarted_stream_does_not_publish_the_same_again(spark, tmp_path):
+    at, source = str(tmp_path / "out"), tmp_path / "in"
+    source.mkdir()
+
+    def run(number, rows):
+        (source / f"{number}.json").write_text("\n".join(json.dumps({"trip_id": t, "delay": d}) for t, d in rows))
+        stream = spark.readStream.schema("trip_id string, delay int").option("maxFilesPerTrigger", 1).json(str(source))
+        query = stream.writeStream.foreachBatch(live.publish_to(at)).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run(1, [("A", 1), ("B", 2)])
+    run(2, [("B", 2), ("A", 1)])
+    assert sinks.generations(spark, at).count() == 1
+    run(3, [("A", 5)])
+    assert [r.generation for r in sinks.generations(spark, at).orderBy("generation").collect()] == [1, 2]
+    assert [tuple(r) for r in sinks.current(spark, at).collect()] == [("A", 5)]
+
+
 # ---- GTFS-Realtime ------------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -282,3 +283,15 @@ def test_walks_of_many_edges_are_found(spark):
     found = transfers.station_paths(spark.createDataFrame(rows, "u int, v int, seconds long, metres long")).collect()
     own = {(i, j, j - i, 3 * (j - i)) for i in range(n) for j in range(i + 1, n + 1)}
     assert sorted(tuple(r) for r in found) == sorted(own | {(0, n, 50, 4)})
+
+
+def test_sampled_phases_are_the_hashes_and_links_shift_them(spark):
+    services = spark.createDataFrame([("A", 600), ("B", 900), ("C", 900)], "service_id string, headway int")
+    drawn = analysis.phases(services, 5, 7)
+    phase = {(r.service_id, r.sample): r.phase for r in drawn.collect()}
+    assert phase == {(s, k): zlib.crc32(f"7:{k}:{s}".encode()) % h for s, h in (("A", 600), ("B", 900), ("C", 900)) for k in range(5)}
+    links = spark.createDataFrame([("B", "A", 1000)], "service_id string, parent_id string, offset int")
+    tied = {(r.service_id, r.sample): r.phase for r in analysis.coordinated(drawn, links).collect()}
+    assert tied == phase | {("B", k): (phase["A", k] + 1000) % 900 for k in range(5)}
+    found = sorted((r.service_id, r.sample, r.departure) for r in analysis.sampled_departures(drawn, 3600, 7200).collect())
+    assert found == sorted((s, k, t) for (s, k), p in phase.items() for t in range(3600 + p, 7200, 600 if s == "A" else 900))

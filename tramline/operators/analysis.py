@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions.measures import decay_weight
+from tramline.operators.shared import materialize
 
 
 def percentile_ranks(samples: DataFrame, keys: list[str], value: str, percents: list[int]) -> DataFrame:
@@ -107,6 +108,39 @@ def area_edges(surface: DataFrame, value: str, cutoff: int) -> DataFrame:
     return edges.join(inside, ["x", "y"], "left_anti").select("x1", "y1", "x2", "y2")
 
 
+def rings(edges: DataFrame) -> DataFrame:
+    """Edges put together to rings: ring, its points in order, and whether it is a hole. Where two corners touch, a ring stays with its cell.
+
+    Every edge doubles the stretch that it knows of its ring, so rounds grow with the logarithm of a ring's length;
+    a ring is named after its least edge and begins there.
+    """
+    name = (F.col("y1").cast("long") * 100_000 + F.col("x1")) * 10 + (F.col("x2") - F.col("x1") + 1) * 3 + F.col("y2") - F.col("y1") + 1
+    given = materialize(edges.withColumn("id", name))
+    other = given.select(F.col("id").alias("next"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"))
+    turn = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y2")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x2"))
+    w = Window.partitionBy("id").orderBy(turn)
+    following = given.join(other, ["x2", "y2"]).withColumn("rank", F.row_number().over(w)).where("rank = 1").select("id", "next")
+    # The least edge ahead within 2^k steps, and the edge 2^k steps ahead.
+    known = materialize(following.select("id", F.col("next").alias("to"), F.least("id", "next").alias("ring")))
+    while True:
+        ahead = known.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("ring").alias("then"))
+        step = materialize(known.join(ahead, "to").select("id", F.col("further").alias("to"), F.least("ring", "then").alias("ring"), (F.col("then") < F.col("ring")).alias("new")))
+        known = step.drop("new")
+        if not step.where("new").limit(1).count():
+            break
+    # The ring is cut before its least edge; an edge's place is told by its steps to the end.
+    named = known.select("id", "ring")
+    end = F.when(F.col("next") != F.col("ring"), F.col("next"))
+    left = materialize(following.join(named, "id").select("id", "ring", end.alias("to"), F.when(end.isNull(), 0).otherwise(1).cast("long").alias("steps")))
+    while left.where("to IS NOT NULL").limit(1).count():
+        ahead = left.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"))
+        left = materialize(left.join(ahead, "to", "left").select("id", "ring", F.col("further").alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    placed = left.join(given, "id").withColumn("twice", F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1"))
+    point = F.struct((-F.col("steps")).alias("place"), F.col("x1").alias("x"), F.col("y1").alias("y"))
+    found = placed.groupBy("ring").agg(F.sort_array(F.collect_list(point)).alias("p"), (F.sum("twice") > 0).alias("hole"))
+    return found.select("ring", F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("points"), "hole")
+
+
 def contour_segments(surface: DataFrame, value: str, level: float) -> DataFrame:
     """Marching squares over the cells' centers: where the level crosses the sides of every full square of four cells."""
     at = lambda dx, dy, name: surface.select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col(value).cast("double").alias(name))

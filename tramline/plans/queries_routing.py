@@ -340,11 +340,11 @@ def _(v):
 
 
 BOUNDS, SIDE = (-77.055, 38.895, -76.955, 38.995), 5
-SURFACE = """surface AS (SELECT CAST(greatest(0, least(4, floor((lon + 77.055) / 0.1 * 5))) AS INTEGER) AS x, CAST(greatest(0, least(4, floor((38.995 - lat) / 0.1 * 5))) AS INTEGER) AS y, CAST(min(stop_id * 37 % 101) AS INTEGER) AS seconds FROM fx_stops WHERE stop_id % 4 <> 1 GROUP BY ALL)"""
+SURFACE = """surface AS (SELECT CAST(greatest(0, least(4, floor((lon + 77.055) / 0.1 * 5))) AS INTEGER) AS x, CAST(greatest(0, least(4, floor((38.995 - lat) / 0.1 * 5))) AS INTEGER) AS y, CAST(min(stop_id * 37 % 101) AS INTEGER) AS seconds FROM fx_stops GROUP BY ALL)"""
 
 
 def _surface(v):
-    points = v.stops.where("stop_id % 4 <> 1").withColumn("seconds", (F.col("stop_id") * 37 % 101).cast("int"))
+    points = v.stops.withColumn("seconds", (F.col("stop_id") * 37 % 101).cast("int"))
     return analysis.raster(points, "seconds", BOUNDS_EXACT, SIDE, SIDE)
 
 
@@ -375,6 +375,21 @@ def _(v):
     return analysis.area_edges(_surface(v), "seconds", 12)
 
 
+@query(
+    "g8_rings",
+    """SELECT w.start AS ring, string_agg(CAST(x1 AS VARCHAR) || ' ' || CAST(y1 AS VARCHAR), ',' ORDER BY n) AS points, sum(x1 * y2 - x2 * y1) > 0 AS hole FROM walk w JOIN edges e ON e.id = w.here WHERE w.start = (SELECT min(v.here) FROM walk v WHERE v.start = w.start) GROUP BY w.start""",
+    SURFACE
+    + """,
+edges AS (SELECT *, (CAST(y1 AS BIGINT) * 100000 + x1) * 10 + (x2 - x1 + 1) * 3 + y2 - y1 + 1 AS id FROM (SELECT x + a AS x1, y + b AS y1, x + c AS x2, y + d AS y2 FROM (SELECT * FROM surface WHERE seconds <= 20) s, (VALUES (0, -1, 1, 0, 0, 0), (-1, 0, 0, 0, 0, 1), (0, 1, 0, 1, 1, 1), (1, 0, 1, 1, 1, 0)) k(dx, dy, a, b, c, d)
+  WHERE NOT EXISTS (SELECT 1 FROM surface n WHERE n.seconds <= 20 AND n.x = s.x + dx AND n.y = s.y + dy))),
+nexts AS (SELECT id, next FROM (SELECT a.id, b.id AS next, row_number() OVER (PARTITION BY a.id ORDER BY (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1)) AS k FROM edges a JOIN edges b ON b.x1 = a.x2 AND b.y1 = a.y2) WHERE k = 1),
+walk AS (SELECT id AS start, id AS here, 0 AS n FROM edges UNION ALL SELECT start, next, n + 1 FROM walk JOIN nexts f ON f.id = here WHERE next <> start)""",
+)
+def _(v):
+    found = analysis.rings(analysis.area_edges(_surface(v), "seconds", 20))
+    return found.select("ring", F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",").alias("points"), "hole")
+
+
 @query(
     "g9_contour_crossings",
     """SELECT a.x, a.y, round(a.x + (12.5 - a.seconds) / (b.seconds - a.seconds), 6) AS top FROM surface a JOIN surface b ON b.x = a.x + 1 AND b.y = a.y JOIN surface c ON c.x = a.x + 1 AND c.y = a.y + 1 JOIN surface d ON d.x = a.x AND d.y = a.y + 1 WHERE (a.seconds <= 12.5) <> (b.seconds <= 12.5)""",
@@ -386,9 +401,9 @@ def _(v):
     return found.where("y1 = y").select("x", "y", F.col("x1").alias("top")).distinct()
 
 
-@query("ops17_point_sample", "SELECT p.stop_id, s.seconds FROM (SELECT stop_id, CAST(greatest(0, least(4, floor((lon + 77.055) / (-77.055::DOUBLE + 0.1::DOUBLE - -77.055::DOUBLE) * 5))) AS INTEGER) AS x, CAST(greatest(0, least(4, floor(((38.895::DOUBLE + 0.1::DOUBLE) - lat) / (38.895::DOUBLE + 0.1::DOUBLE - 38.895::DOUBLE) * 5))) AS INTEGER) AS y FROM fx_stops WHERE stop_id % 4 = 1) p LEFT JOIN surface s USING (x, y)", SURFACE)
+@query("ops17_point_sample", "SELECT p.stop_id, s.seconds FROM (SELECT stop_id, CAST(greatest(0, least(4, floor((lon + 77.055) / (-77.055::DOUBLE + 0.1::DOUBLE - -77.055::DOUBLE) * 5))) AS INTEGER) AS x, CAST(greatest(0, least(4, floor(((38.895::DOUBLE + 0.1::DOUBLE) - lat) / (38.895::DOUBLE + 0.1::DOUBLE - 38.895::DOUBLE) * 5))) AS INTEGER) AS y FROM fx_stops) p LEFT JOIN surface s USING (x, y)", SURFACE)
 def _(v):
-    return analysis.sample_at(_surface(v), v.stops.where("stop_id % 4 = 1"), "seconds", BOUNDS_EXACT, SIDE, SIDE).select("stop_id", "seconds")
+    return analysis.sample_at(_surface(v), v.stops, "seconds", BOUNDS_EXACT, SIDE, SIDE).select("stop_id", "seconds")
 
 
 @query("x5_monte_carlo_departures", "")

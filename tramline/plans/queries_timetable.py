@@ -146,22 +146,34 @@ def _(v):
     return timetable.backward_times(_shifted(v)).select("trip_id", "stop_sequence")
 
 
+#: All connections, with a hole in the numbers and another stop after every second of three.
+HOLES = """holes AS (SELECT * REPLACE (CAST(stop_sequence + stop_sequence // 3 AS INTEGER) AS stop_sequence, CASE WHEN stop_sequence % 3 = 2 THEN (to_stop_id + 1) % 100 ELSE to_stop_id END AS to_stop_id) FROM fx_connections)"""
+
+
+def _holes(v):
+    seq = F.col("stop_sequence")
+    elsewhere = F.when(seq % 3 == 2, (F.col("to_stop_id") + 1) % 100).otherwise(F.col("to_stop_id"))
+    return v.connections.withColumn("to_stop_id", elsewhere).withColumn("stop_sequence", (seq + F.floor(seq / 3)).cast("int"))
+
+
 @query(
     "w4_runs",
     """SELECT trip_id, stop_sequence, CAST(sum(CAST(coalesce(p <> from_stop_id, false) AS INTEGER)) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS BIGINT) AS run
-FROM (SELECT *, lag(to_stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS p FROM fx_connections WHERE stop_sequence % 3 <> 2)""",
+FROM (SELECT *, lag(to_stop_id) OVER (PARTITION BY trip_id ORDER BY stop_sequence) AS p FROM holes)""",
+    HOLES,
 )
 def _(v):
-    return timetable.runs(v.connections.where("stop_sequence % 3 <> 2")).select("trip_id", "stop_sequence", "run")
+    return timetable.runs(_holes(v)).select("trip_id", "stop_sequence", "run")
 
 
 @query(
     "w15_bridged_gaps",
     """SELECT from_stop_id, to_stop_id, seconds FROM (SELECT lag(to_stop_id) OVER w AS from_stop_id, from_stop_id AS to_stop_id, departure - lag(arrival) OVER w AS seconds, stop_sequence - lag(stop_sequence) OVER w AS jump
-  FROM fx_connections WHERE stop_sequence % 3 <> 2 WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) WHERE jump > 1 AND from_stop_id <> to_stop_id AND seconds >= 0""",
+  FROM holes WINDOW w AS (PARTITION BY trip_id ORDER BY stop_sequence)) WHERE jump > 1 AND from_stop_id <> to_stop_id AND seconds >= 0""",
+    HOLES,
 )
 def _(v):
-    return timetable.bridged_gaps(v.connections.where("stop_sequence % 3 <> 2"))
+    return timetable.bridged_gaps(_holes(v))
 
 
 @query("sc21_frequency_departures", "SELECT route_id, CAST(t AS INTEGER) AS departure FROM (SELECT route_id, unnest(range(start_time, end_time, headway_secs)) AS t FROM fx_frequencies)")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,3 +50,47 @@ def packed(batches):
     for batch in batches:
         out = [base64.b64encode(np.array([np.inf if v is None else v for v in row or []], dtype="<f4").tobytes()).decode() for row in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["id", "data"])
+
+
+MANIFEST = "generation long, path string, n long, sign decimal(38,0)"
+
+
+def generations(spark: SparkSession, at: str) -> DataFrame:
+    """What has been published in a folder: a row for each generation, with its path, rows and the sum of their hashes."""
+    try:
+        return spark.read.schema(MANIFEST).parquet(f"{at}/manifest")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], MANIFEST)
+
+
+def signature(rows: DataFrame) -> tuple:
+    found = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("sign")).first()
+    return found["n"], found["sign"]
+
+
+def publish(rows: DataFrame, at: str) -> bool:
+    """SK6: rows as a new generation, if their content differs from the last one's; whether they were published.
+
+    Rows are written beside the others first, then one file is added to the manifest: a reader sees the generation
+    before or this one, whole, and a writer that breaks off leaves the one before.
+    """
+    spark = rows.sparkSession
+    path = f"{at}/data/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    n, sign = signature(spark.read.schema(rows.schema).parquet(path))
+    last = generations(spark, at).orderBy(F.desc("generation")).first()
+    if last and (last["n"], last["sign"]) == (n, sign):
+        return False
+    row = spark.createDataFrame([((last["generation"] if last else 0) + 1, path, n, sign)], MANIFEST)
+    row.coalesce(1).write.mode("append").parquet(f"{at}/manifest")
+    return True
+
+
+def current(spark: SparkSession, at: str) -> DataFrame:
+    """The last generation of a folder."""
+    last = generations(spark, at).orderBy(F.desc("generation")).first()
+    if not last:
+        raise ValueError(f"nothing has been published in {at}")
+    return spark.read.parquet(last["path"])

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tramline.sources import sinks
+
 FRESH_SECONDS, FUTURE_SECONDS = 180, 60
 RETENTION_SECONDS, MAX_POINTS = 1800, 180
 
@@ -44,9 +46,11 @@ def _history(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
         state.remove()
         return
     times, delays = (list(x) for x in state.get) if state.exists else ([], [])
+    known = set(times)
     for frame in frames:
         for ts, delay in zip(frame["ts"].tolist(), frame["delay"].tolist(), strict=True):
-            if ts not in times:
+            if ts not in known:
+                known.add(ts)
                 times.append(int(ts))
                 delays.append(int(delay))
     order = sorted(range(len(times)), key=times.__getitem__)
@@ -73,3 +77,13 @@ def publish_generations(write: Callable[[DataFrame, int], None]) -> Callable[[Da
             last["sign"] = tuple(sign)
 
     return publish
+
+
+def publish_to(at: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the same in a folder, whose manifest remembers the last generation; so a query that starts again doesn't publish it twice."""
+
+    def publish(batch: DataFrame, number: int) -> None:
+        if batch.limit(1).count():
+            sinks.publish(batch, at)
+
+    return publish
