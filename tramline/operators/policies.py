@@ -96,6 +96,48 @@ def delay_events(calls: DataFrame, now: int, window: int = 1800) -> DataFrame:
     return rows.where("severity <> 'none'").withColumn("order", rank).orderBy("order", F.desc("delay"), "trip_id", "time")
 
 
+def trip_status(updates: DataFrame, predictions: DataFrame, departures: DataFrame, now: int, window: int = 1800) -> DataFrame:
+    """OP2: of every update what it says of its trip, and the trip's next predicted departure within the window.
+
+    updates: update_id, trip_id (null: no trip matches), day, relationship, fresh. predictions: update_id,
+    stop_sequence, relationship, departure. departures: trip_id, day, stop_sequence, stop_id, scheduled. Updates that
+    claim one trip and day, and predictions that claim one call, decide nothing.
+    """
+    claims = F.count("trip_id").over(Window.partitionBy("trip_id", "day"))
+    kind = F.coalesce("relationship", F.lit("SCHEDULED"))
+    status = (
+        F.when(F.col("trip_id").isNull() | (claims > 1) | ~F.col("fresh"), "unresolved")
+        .when(kind == "DELETED", "deleted")
+        .when(kind == "CANCELED", "cancelled")
+        .when(kind != "SCHEDULED", "unresolved")
+        .otherwise("matched")
+    )
+    rows = updates.withColumn("status", status)
+    soon = told_calls(rows, predictions, departures).where((F.col("told") == "SCHEDULED") & F.col("predicted").between(now, now + window))
+    next_ = soon.groupBy("update_id").agg(F.min(F.struct("predicted", "stop_sequence", "stop_id", "scheduled")).alias("n"))
+    return rows.join(next_, "update_id", "left").select(
+        "update_id", "trip_id", "day", "status", F.col("n.stop_sequence").alias("next_sequence"), F.col("n.stop_id").alias("next_stop"), F.col("n.predicted").alias("predicted"), (F.col("n.predicted") - F.col("n.scheduled")).alias("delay")
+    )
+
+
+def told_calls(rows: DataFrame, predictions: DataFrame, departures: DataFrame) -> DataFrame:
+    """What matched updates say of single calls (told: SCHEDULED or SKIPPED, ...), each said once."""
+    said = predictions.groupBy("update_id", "stop_sequence").agg(F.count("*").alias("n"), F.first(F.coalesce("relationship", F.lit("SCHEDULED"))).alias("told"), F.first("departure").alias("predicted"))
+    matched = rows.where("status = 'matched'").select("update_id", "trip_id", "day")
+    return matched.join(said.where("n = 1").drop("n"), "update_id").join(departures, ["trip_id", "day", "stop_sequence"])
+
+
+def trip_events(statuses: DataFrame, predictions: DataFrame, departures: DataFrame, now: int, window: int = 1800, fresh: int = 180) -> DataFrame:
+    """OP2: what is worth telling: cancelled trips, calls that are skipped about now, and trips whose next departure is late."""
+    nothing = [F.lit(None).cast("int").alias("stop_sequence"), F.lit(None).cast("long").alias("delay")]
+    cancelled = statuses.where("status = 'cancelled'").select("update_id", F.lit("cancellation").alias("kind"), *nothing, F.lit("warning").alias("severity"))
+    skipped = told_calls(statuses, predictions, departures).where((F.col("told") == "SKIPPED") & F.col("scheduled").between(now - fresh, now + window))
+    skipped = skipped.select("update_id", F.lit("skipped-stop").alias("kind"), "stop_sequence", nothing[1], F.lit("warning").alias("severity"))
+    severity = F.when(F.col("delay") >= 900, "critical").when(F.col("delay") >= 300, "warning").otherwise("info")
+    late = statuses.where("delay > 0").select("update_id", F.lit("delay").alias("kind"), F.col("next_sequence").alias("stop_sequence"), "delay", severity.alias("severity"))
+    return cancelled.unionByName(skipped).unionByName(late)
+
+
 def next_prediction(calls: DataFrame, reports: DataFrame) -> DataFrame:
     """OP6: of each vehicle the delay at the stop it reports, and its next call after it."""
     at = calls.join(reports.select("trip_id", F.col("stop_sequence").alias("at")), "trip_id")

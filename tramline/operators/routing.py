@@ -18,7 +18,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.operators.shared import BROADCAST_ROWS, materialize, maybe_broadcast
+from tramline.operators.shared import materialize, maybe_broadcast, size
 
 DAY = 86400
 
@@ -175,10 +175,10 @@ def labels(conns: DataFrame, transfers: DataFrame, origins: DataFrame, opt: Opti
     for k in range(1, opt.boardings + 1):
         improved = materialize(improving(walked(ride_round(net, frontier, opt), net, opt), best, k, opt))
         best = improved if best is None else best.unionByName(improved)
-        n = improved.limit(BROADCAST_ROWS + 1).count()
+        n, small = size(improved)
         if not n:
             break
-        frontier = F.broadcast(improved) if n <= BROADCAST_ROWS and not opt.legs else improved
+        frontier = F.broadcast(improved) if small else improved
     return best
 
 

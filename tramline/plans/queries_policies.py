@@ -79,6 +79,47 @@ def _(v):
     return policies.delay_events(calls, NOW).select("trip_id", "time", "delay", "severity")
 
 
+REPORTS = """updates AS (SELECT trip_id || '/' || CAST(copy AS VARCHAR) AS update_id, CASE WHEN k % 11 <> 10 THEN trip_id END AS trip_id, service_id AS day, CASE k % 7 WHEN 0 THEN 'CANCELED' WHEN 1 THEN 'DELETED' WHEN 2 THEN 'ADDED' WHEN 3 THEN 'SCHEDULED' END AS relationship, k % 5 <> 4 AS fresh
+  FROM (SELECT *, CAST(substr(route_id, 2) AS INTEGER) AS k FROM fx_trips), (VALUES (0), (1)) c(copy) WHERE copy = 0 OR k % 9 = 8),
+departures AS (SELECT trip_id, service_id AS day, stop_sequence, from_stop_id AS stop_id, departure AS scheduled FROM fx_connections),
+predictions AS (SELECT trip_id || '/0' AS update_id, stop_sequence, CASE WHEN stop_sequence % 5 = 4 THEN 'SKIPPED' END AS relationship, CASE WHEN stop_sequence % 6 <> 5 THEN departure + stop_sequence * departure % 1700 - 300 END AS departure FROM fx_connections, (VALUES (0), (1)) c(copy) WHERE copy = 0 OR stop_sequence % 8 = 7),
+marked AS (SELECT *, CASE WHEN trip_id IS NULL OR count(trip_id) OVER (PARTITION BY trip_id, day) > 1 OR NOT fresh THEN 'unresolved' WHEN relationship = 'DELETED' THEN 'deleted' WHEN relationship = 'CANCELED' THEN 'cancelled' WHEN relationship <> 'SCHEDULED' THEN 'unresolved' ELSE 'matched' END AS status FROM updates),
+told AS (SELECT m.update_id, d.stop_sequence, d.stop_id, d.scheduled, p.relationship, p.departure AS predicted FROM marked m JOIN (SELECT update_id, stop_sequence, max(relationship) AS relationship, max(departure) AS departure FROM predictions GROUP BY ALL HAVING count(*) = 1) p USING (update_id)
+  JOIN departures d ON d.trip_id = m.trip_id AND d.day = m.day AND d.stop_sequence = p.stop_sequence WHERE m.status = 'matched'),
+statuses AS (SELECT m.update_id, m.trip_id, m.day, m.status, n.stop_sequence AS next_sequence, n.stop_id AS next_stop, n.predicted, n.predicted - n.scheduled AS delay FROM marked m LEFT JOIN (SELECT * FROM told WHERE relationship IS NULL AND predicted BETWEEN 43200 AND 45000 QUALIFY row_number() OVER (PARTITION BY update_id ORDER BY predicted, stop_sequence) = 1) n USING (update_id))"""
+
+
+def _reports(v):
+    k = F.substring("route_id", 2, 9).cast("int")
+    copies, seq = F.explode(F.array(F.lit(0), F.lit(1))), F.col("stop_sequence")
+    updates = v.trips.withColumn("k", k).withColumn("copy", copies).where("copy = 0 OR k % 9 = 8").select(
+        F.concat_ws("/", "trip_id", F.col("copy").cast("string")).alias("update_id"), F.when(F.col("k") % 11 != 10, F.col("trip_id")).alias("trip_id"), F.col("service_id").alias("day"),
+        F.when(F.col("k") % 7 == 0, "CANCELED").when(F.col("k") % 7 == 1, "DELETED").when(F.col("k") % 7 == 2, "ADDED").when(F.col("k") % 7 == 3, "SCHEDULED").alias("relationship"), (F.col("k") % 5 != 4).alias("fresh"),
+    )
+    departures = v.connections.select("trip_id", F.col("service_id").alias("day"), "stop_sequence", F.col("from_stop_id").alias("stop_id"), F.col("departure").alias("scheduled"))
+    predictions = v.connections.withColumn("copy", copies).where("copy = 0 OR stop_sequence % 8 = 7").select(
+        F.concat("trip_id", F.lit("/0")).alias("update_id"), "stop_sequence", F.when(seq % 5 == 4, "SKIPPED").alias("relationship"), F.when(seq % 6 != 5, F.col("departure") + seq * F.col("departure") % 1700 - 300).alias("departure")
+    )
+    return updates, predictions, departures
+
+
+@query("ops2_trip_status", "SELECT * FROM statuses", REPORTS)
+def _(v):
+    return policies.trip_status(*_reports(v), NOW)
+
+
+@query(
+    "ops2_trip_events",
+    """SELECT update_id, 'cancellation' AS kind, CAST(NULL AS INTEGER) AS stop_sequence, CAST(NULL AS BIGINT) AS delay, 'warning' AS severity FROM statuses WHERE status = 'cancelled'
+UNION ALL SELECT update_id, 'skipped-stop', stop_sequence, NULL, 'warning' FROM told WHERE relationship = 'SKIPPED' AND scheduled BETWEEN 43020 AND 45000
+UNION ALL SELECT update_id, 'delay', next_sequence, delay, CASE WHEN delay >= 900 THEN 'critical' WHEN delay >= 300 THEN 'warning' ELSE 'info' END FROM statuses WHERE delay > 0""",
+    REPORTS,
+)
+def _(v):
+    updates, predictions, departures = _reports(v)
+    return policies.trip_events(policies.trip_status(updates, predictions, departures, NOW), predictions, departures, NOW)
+
+
 @query(
     "ops6_vehicle_detail",
     """SELECT trip_id, max(CASE WHEN stop_sequence = 1 THEN stop_id * 10 END) AS delay_here, arg_min(stop_id, stop_sequence) FILTER (stop_sequence > 1) AS next_stop, arg_min(departure, stop_sequence) FILTER (stop_sequence > 1) AS next_departure FROM fx_stop_times GROUP BY trip_id""",
