@@ -295,3 +295,26 @@ def test_sampled_phases_are_the_hashes_and_links_shift_them(spark):
     assert tied == phase | {("B", k): (phase["A", k] + 1000) % 900 for k in range(5)}
     found = sorted((r.service_id, r.sample, r.departure) for r in analysis.sampled_departures(drawn, 3600, 7200).collect())
     assert found == sorted((s, k, t) for (s, k), p in phase.items() for t in range(3600 + p, 7200, 600 if s == "A" else 900))
+
+
+def broadcast_parts(found):
+    """What stands below each broadcast in the plan of a DataFrame."""
+    parts, lines = [], found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    for k, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            parts.append("\n".join(itertools.takewhile(lambda x, d=depth(line): depth(x) > d, lines[k + 1 :])))
+    return parts
+
+
+def test_search_broadcasts_the_asked_words_not_the_index(spark, tmp_path):
+    spark.createDataFrame([(k, f"Main Street {k}") for k in range(50)], "address_id int, name string").write.parquet(str(tmp_path / "a"))
+    asked = spark.createDataFrame([(1, "main 4"), (1, "42")], "query_id int, query string")
+    found = operations.address_search(spark.read.parquet(str(tmp_path / "a")), asked, 2)
+    parts = broadcast_parts(found)
+    assert parts and not any("FileScan" in x for x in parts)
+    assert [(r.address_id, r.score) for r in found.orderBy("rank").collect()] == [(42, 4), (0, 2)]
+    words = spark.read.parquet(str(tmp_path / "a")).select(F.lower("name").alias("word"))
+    near = operations.near_words(words, spark.createDataFrame([("main street 4x",)], "word string"))
+    assert not any("FileScan" in x for x in broadcast_parts(near))
+    assert [r.word for r in near.orderBy("rank").collect()] == ["main street 4", "main street 40", "main street 41"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.measures import spacing_alert
 from tramline.operators import calendar as service_calendar
+from tramline.operators.shared import maybe_broadcast
 
 FRESH_SECONDS, FUTURE_SECONDS = 180, 60
 
@@ -273,14 +274,18 @@ def trip_progress(calls: DataFrame, now: int) -> DataFrame:
 
 
 def address_search(addresses: DataFrame, asked: DataFrame, most: int = 6) -> DataFrame:
-    """OP12, OP13: per query the addresses that share most words, exactly or as a start; ties by text length, then id."""
+    """OP12, OP13: per query the addresses that share most words, exactly or as a start; ties by text length, then id.
+
+    The index has a row for every start of every word, of which the planner's estimate knows nothing: the asked words
+    are broadcast if they are few, and the index never is.
+    """
     from tramline.functions.measures import normalise_address
 
     tokens = addresses.select("address_id", normalise_address(F.col("name")).alias("text")).withColumn("word", F.explode(F.array_distinct(F.split("text", " "))))
     prefixes = F.explode(F.transform(F.sequence(F.lit(2), F.length("word")), lambda n: F.substring(F.col("word"), F.lit(1), n)))
     index = tokens.where("length(word) >= 2").select("address_id", "text", "word", prefixes.alias("key"))
     words = asked.select("query_id", F.explode(F.array_distinct(F.split(normalise_address(F.col("query")), " "))).alias("key"))
-    hits = words.join(index, "key").groupBy("query_id", "address_id", "text", "key").agg(F.max(F.when(F.col("word") == F.col("key"), 2).otherwise(1)).alias("points"))
+    hits = maybe_broadcast(words).join(index.hint("merge"), "key").groupBy("query_id", "address_id", "text", "key").agg(F.max(F.when(F.col("word") == F.col("key"), 2).otherwise(1)).alias("points"))
     scored = hits.groupBy("query_id", "address_id", "text").agg(F.sum("points").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("text"), "address_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("query_id", "address_id", "score", "rank")
@@ -291,6 +296,6 @@ def near_words(vocabulary: DataFrame, asked: DataFrame, most: int = 3) -> DataFr
     deletions = lambda c: F.explode(F.array_distinct(F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.concat(F.substring(c, F.lit(1), k - 1), F.substring(c, k + 1, F.length(c)))))))
     a = asked.where("length(word) >= 4").select(F.col("word").alias("asked"), deletions(F.col("word")).alias("key"))
     b = vocabulary.select("word", deletions(F.col("word")).alias("key"))
-    pairs = a.join(b, "key").select("asked", "word").distinct().where("levenshtein(asked, word) = 1")
+    pairs = maybe_broadcast(a).join(b.hint("merge"), "key").select("asked", "word").distinct().where("levenshtein(asked, word) = 1")
     w = Window.partitionBy("asked").orderBy("word")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("asked", "word")
