@@ -318,3 +318,12 @@ def test_search_broadcasts_the_asked_words_not_the_index(spark, tmp_path):
     near = operations.near_words(words, spark.createDataFrame([("main street 4x",)], "word string"))
     assert not any("FileScan" in x for x in broadcast_parts(near))
     assert [r.word for r in near.orderBy("rank").collect()] == ["main street 4", "main street 40", "main street 41"]
+
+
+def test_the_next_departure_is_carried_in_linear_time(spark):
+    """No frame ends with its partition, as Spark computes that one anew for every row; and many asks at one time are one row."""
+    conns = spark.createDataFrame([(t, t + 60, f"T{t}", 1, 2, 1, t != 700, True) for t in (300, 700, 900)] + [(500, 560, "T", 2, 1, 1, True, True)], CONN)
+    asks = spark.createDataFrame([(1, 1, 300), (2, 1, 301), (3, 1, 301), (4, 1, 901), (5, 2, 0), (6, 3, 0), (7, None, 0)], "ask_id int, stop_id int, ready long")
+    found = routing.earliest_boardable(conns, asks)
+    assert sorted((r.ask_id, r.departure) for r in found.collect()) == [(1, 300), (2, 900), (3, 900), (4, None), (5, 500), (6, None), (7, None)]
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString()

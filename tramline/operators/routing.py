@@ -272,16 +272,17 @@ def walk_or_ride(rides: DataFrame, walks: DataFrame) -> DataFrame:
 
 
 def earliest_boardable(conns: DataFrame, asks: DataFrame) -> DataFrame:
-    """Of each (stop, ready) the first departure at or after it, as an as-of join: both sides in one order, the next departure carried back."""
-    rows = (
-        conns.where("can_board")
-        .select(F.col("from_stop_id").alias("stop_id"), F.col("departure").alias("t"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("ask_id"))
-        .distinct()
-        .unionByName(asks.select("stop_id", F.col("ready").alias("t"), F.lit(0).alias("side"), F.col("ask_id").cast("long").alias("ask_id")))
-    )
-    w = Window.partitionBy("stop_id").orderBy("t", "side").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = rows.withColumn("departure", F.first(F.when(F.col("side") == 1, F.col("t")), ignorenulls=True).over(w))
-    return found.where("side = 0").select("ask_id", "stop_id", F.col("t").alias("ready"), "departure")
+    """Of each (stop, ready) the first departure at or after it, as an as-of join: both sides' distinct times in falling order, the next departure carried along.
+
+    Time falls so that the frame grows at its end: one that ends with the partition is computed anew for every row. A
+    stop has a row for each distinct time, however many ask at it.
+    """
+    asked = asks.select(F.col("ask_id").cast("long").alias("ask_id"), "stop_id", "ready")
+    leaves = conns.where("can_board").select(F.col("from_stop_id").alias("stop_id"), F.col("departure").alias("ready"), F.lit(True).alias("leaves"))
+    times = leaves.unionByName(asked.select("stop_id", "ready", F.lit(False).alias("leaves"))).groupBy("stop_id", "ready").agg(F.max("leaves").alias("leaves"))
+    w = Window.partitionBy("stop_id").orderBy(F.desc("ready")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = times.withColumn("departure", F.min(F.when(F.col("leaves"), F.col("ready"))).over(w)).drop("leaves")
+    return asked.join(found, ["stop_id", "ready"], "left").select("ask_id", "stop_id", "ready", "departure")
 
 
 def last_before(conns: DataFrame, asks: DataFrame) -> DataFrame:
