@@ -77,7 +77,8 @@ def headways(departures: DataFrame) -> DataFrame:
     between neighbours in predicted order; a shorter one counts also if the order is reversed.
     """
     at, before = Window.partitionBy(*SERVICE).orderBy("scheduled"), Window.partitionBy(*SERVICE, "reports").orderBy("scheduled", "trip_id")
-    predicted = Window.partitionBy(*SERVICE, "reports").orderBy("predicted", "trip_id")
+    # A trip may serve the stop twice and be predicted there at one time: its scheduled order decides.
+    predicted = Window.partitionBy(*SERVICE, "reports").orderBy("predicted", "trip_id", "scheduled")
     rows = departures.select(
         *SERVICE, "trip_id", "scheduled", "predicted", F.col("predicted").isNotNull().alias("reports"),
         F.count("*").over(at).alias("upto"), F.rank().over(at).alias("first"),
