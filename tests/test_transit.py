@@ -338,3 +338,29 @@ def test_calls_of_a_trip_predicted_at_one_time_keep_their_scheduled_order(spark)
         assert sorted((r.before, r.trip_id, r.planned, r.actual) for r in operations.headways(rows).collect()) == [("X", "X", 1600, 0), ("Z", "X", 100, 200)]
     # The sort before keeps them in that order by chance; the window has to ask for it.
     assert re.search(r"predicted#\d+L ASC NULLS FIRST, trip_id#\d+ ASC NULLS FIRST, scheduled#\d+L", operations.headways(rows)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_reordered_bunching_meets_a_stretch_not_the_whole_day(spark):
+    """Against all pairs with all between, in plain Python; calls at one time, dense and sparse hours, and gone calls among them."""
+    rng, rows = random.Random(5), []
+    for stop in range(6):
+        t = 0
+        for k in range(120):
+            t += rng.choice((200, 400, 700, 900)) if stop < 4 or rng.random() < 0.5 else rng.choice((0, 20, 179, 180))
+            rows.append(("R", 0, stop, "d", f"T{k % 90}", t, t + 7 * rng.randrange(400) if rng.random() < 0.8 else None, rng.random() < 0.7))
+    expected = set()
+    for stop in range(6):
+        here = [r for r in rows if r[2] == stop]
+        told = sorted((r for r in here if r[6] is not None), key=lambda r: (r[6], r[4], r[5]))
+        for a, b in itertools.pairwise(told):
+            x, y = sorted((a, b), key=lambda r: (r[5], r[4]))
+            met = sorted((r for r in here if x[5] <= r[5] <= y[5]), key=lambda r: r[5])
+            if x[5] == y[5] or len(met) < 3 or not all(r[4] in (x[4], y[4]) or r[6] is not None or r[7] for r in met):
+                continue
+            planned, actual = min(q[5] - p[5] for p, q in itertools.pairwise(met)), b[6] - a[6]
+            if planned - actual >= 180 and 2 * actual <= planned:
+                expected.add((stop, x[4], y[4], planned, actual))
+    found = operations.reordered_bunching(spark.createDataFrame(rows, "route_id string, direction_id int, stop_id int, day string, trip_id string, scheduled long, predicted long, passed boolean"))
+    assert expected and {(r.stop_id, r.before, r.trip_id, r.planned, r.actual) for r in found.collect()} == expected
+    joins = re.findall(r"\w+Join \[[^\]]*\]", found._jdf.queryExecution().executedPlan().toString())
+    assert joins and all("stretch" in x for x in joins)

@@ -55,11 +55,15 @@ def alert_severity(delay: Column) -> Column:
     return F.when(delay >= 900, "critical").when(delay >= 300, "warning").otherwise("none")
 
 
+#: A closer interval is told from so many seconds less than planned.
+LEAST_CLOSER = 180
+
+
 def spacing_alert(planned: Column, actual: Column) -> Column:
     """How much a predicted interval of two departures departs from the planned one, both in seconds."""
     extra = actual - planned
     wider = F.when((actual >= 1200) & (actual >= 3 * planned) & (extra >= 600), "critical").when((2 * actual >= 3 * planned) & (extra >= 300), "warning")
-    closer = F.when((4 * actual <= planned) & (actual <= 120) & (-extra >= 300), "critical").when((2 * actual <= planned) & (-extra >= 180), "warning")
+    closer = F.when((4 * actual <= planned) & (actual <= 120) & (-extra >= 300), "critical").when((2 * actual <= planned) & (-extra >= LEAST_CLOSER), "warning")
     return F.coalesce(F.when((planned > 0) & (actual >= 0), F.when(extra > 0, wider).otherwise(closer)), F.lit("info"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tramline.functions.measures import spacing_alert
+from tramline.functions.measures import LEAST_CLOSER, spacing_alert
 from tramline.operators import calendar as service_calendar
 from tramline.operators.shared import maybe_broadcast
 
@@ -102,20 +102,31 @@ def reordered_bunching(departures: DataFrame) -> DataFrame:
 
     A departure in between counts as accounted for if it reports (then it is outside the pair, as they're
     neighbours) or its vehicle has passed (column passed).
+
+    An alert asks that the least interval is LEAST_CLOSER longer than the predicted one, so no interval between the
+    two may be shorter than that: a pair meets only the departures of its stretch, which ends at a shorter interval
+    and has as many departures as such intervals fit into the service day.
     """
-    scheduled, predicted = Window.partitionBy(*SERVICE).orderBy("scheduled", "trip_id"), Window.partitionBy(*SERVICE, "reports").orderBy("predicted", "trip_id")
-    rows = departures.withColumn("reports", F.col("predicted").isNotNull()).withColumn("interval", F.col("scheduled") - F.lag("scheduled").over(scheduled))
-    mine, other = F.struct("scheduled", "trip_id"), F.lag(F.struct("scheduled", "trip_id")).over(predicted)
-    pairs = rows.select(*SERVICE, mine.alias("x"), other.alias("y"), (F.col("predicted") - F.lag("predicted").over(predicted)).alias("actual"), "reports").where("reports AND y IS NOT NULL AND x.scheduled <> y.scheduled")
-    pairs = pairs.select(*SERVICE, F.least("x", "y").alias("before"), F.greatest("x", "y").alias("after"), "actual")
-    between = rows.select(*SERVICE, "trip_id", "scheduled", "interval", (F.col("reports") | F.col("passed")).alias("known"))
+    scheduled = Window.partitionBy(*SERVICE).orderBy("scheduled", "trip_id")
+    predicted = Window.partitionBy(*SERVICE, "reports").orderBy("predicted", "trip_id", "scheduled")
+    rows = departures.select(
+        *SERVICE, "trip_id", "scheduled", "predicted", F.col("predicted").isNotNull().alias("reports"), "passed",
+        (F.col("scheduled") - F.lag("scheduled").over(scheduled)).alias("interval"), (F.lead("scheduled").over(scheduled) - F.col("scheduled")).alias("next"),
+    )
+    rows = rows.withColumn("stretch", F.sum((F.coalesce("interval", F.lit(0)) < LEAST_CLOSER).cast("int")).over(scheduled.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # Departures at one time are an interval of 0: none of them can be an end.
+    alone = F.coalesce(F.col("interval") > 0, F.lit(True)) & F.coalesce(F.col("next") > 0, F.lit(True))
+    mine = F.struct("scheduled", "trip_id", "stretch", alone.alias("alone"))
+    pairs = rows.select(*SERVICE, mine.alias("x"), F.lag(mine).over(predicted).alias("y"), (F.col("predicted") - F.lag("predicted").over(predicted)).alias("actual"), "reports")
+    pairs = pairs.where("reports AND x.stretch = y.stretch AND x.alone AND y.alone AND x.scheduled <> y.scheduled")
+    pairs = pairs.select(*SERVICE, F.col("x.stretch").alias("stretch"), F.least("x", "y").alias("before"), F.greatest("x", "y").alias("after"), "actual")
+    between = rows.where((F.col("interval") >= LEAST_CLOSER) | (F.col("next") >= LEAST_CLOSER)).select(*SERVICE, "stretch", "trip_id", "scheduled", "interval", (F.col("reports") | F.col("passed")).alias("known"))
     lo, hi = F.col("before.scheduled"), F.col("after.scheduled")
-    met = pairs.join(between, list(SERVICE)).where((F.col("scheduled") >= lo) & (F.col("scheduled") <= hi))
+    met = pairs.join(between, [*SERVICE, "stretch"]).where((F.col("scheduled") >= lo) & (F.col("scheduled") <= hi))
     pair = F.col("trip_id").isin(F.col("before.trip_id"), F.col("after.trip_id"))
-    # The first of those that leave with the pair's first has an interval that begins before it.
-    own = F.when(F.struct("scheduled", "trip_id") > F.min(F.struct("scheduled", "trip_id")).over(Window.partitionBy(*SERVICE, "before", "after")), F.col("interval"))
-    found = met.withColumn("own", own).groupBy(*SERVICE, "before", "after").agg(
-        F.first("actual").alias("actual"), F.count("*").alias("expected"), F.bool_and(pair | F.col("known")).alias("known"), F.min("own").alias("planned")
+    found = met.groupBy(*SERVICE, "before", "after").agg(
+        F.first("actual").alias("actual"), F.count("*").alias("expected"), F.bool_and(pair | F.col("known")).alias("known"),
+        F.min(F.when(F.col("scheduled") > lo, F.col("interval"))).alias("planned"),  # the first's interval begins before it
     )
     severity = spacing_alert(F.col("planned"), F.col("actual"))
     kept = found.where("expected > 2 AND known AND actual < planned").withColumn("severity", severity).where("severity <> 'info'")
