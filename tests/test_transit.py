@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tramline.functions import clock, geo, measures
-from tramline.operators import analysis, calendar, operations, routing, scenario, streets, timetable, transfers
+from tramline.operators import analysis, calendar, operations, routing, scenario, streets, timetable, transfers, validate
 
 CONN = "departure long, arrival long, trip_id string, from_stop_id int, to_stop_id int, stop_sequence int, can_board boolean, can_alight boolean"
 NO_WALKS = "from_stop_id int, to_stop_id int, seconds int"
@@ -364,3 +364,14 @@ def test_reordered_bunching_meets_a_stretch_not_the_whole_day(spark):
     assert expected and {(r.stop_id, r.before, r.trip_id, r.planned, r.actual) for r in found.collect()} == expected
     joins = re.findall(r"\w+Join \[[^\]]*\]", found._jdf.queryExecution().executedPlan().toString())
     assert joins and all("stretch" in x for x in joins)
+
+
+def test_overlaps_are_met_once(spark):
+    """The pairs, which may be many, aren't made distinct again; odd and equal windows, and long ones, against all pairs in plain Python."""
+    rng = random.Random(3)
+    rows = [(f"R{rng.randrange(2)}", s, s + rng.choice((-5000, 0, 1, 900, 9000))) for s in (rng.randrange(0, 20000, 50) for _ in range(200))]
+    found = validate.overlapping_windows(spark.createDataFrame([*rows, *rows[:20], ("R0", None, 5)], "trip_id string, start_time long, end_time long"))
+    pairs = [tuple(r) for r in found.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] < a[2]}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "start_b" not in "".join(re.findall(r"Exchange hashpartitioning\(trip_id[^)]*\)", plan)) and "start_b" not in "".join(re.findall(r"keys=\[[^\]]*\]", plan))
