@@ -375,3 +375,16 @@ def test_overlaps_are_met_once(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] < a[2]}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "start_b" not in "".join(re.findall(r"Exchange hashpartitioning\(trip_id[^)]*\)", plan)) and "start_b" not in "".join(re.findall(r"keys=\[[^\]]*\]", plan))
+
+
+def test_no_fare_rule_gathers_all_legs(spark):
+    """Rules of any network fit all legs: few rules go to the legs, so none of the joins deals legs by it."""
+    legs = spark.createDataFrame([(k // 2, None if k == 3 else f"R{k % 3}", k % 2, 1) for k in range(12)], "leg_id int, network string, from_area int, to_area int")
+    rules = [(1, "R1", None, None, 2, 90), (2, None, 1, None, 2, 80), (3, None, 0, 1, 2, 80), (4, None, None, 7, 9, 1)]
+    found = scenario.best_fare(legs, spark.createDataFrame(rules, "rule_id int, network string, from_area int, to_area int, priority int, amount int"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((k // 2, 2, 80) for k in range(12))
+    zones = legs.select("leg_id", F.col("network").alias("route_id"), F.col("from_area").cast("string").alias("from_zone"), F.col("to_area").cast("string").alias("to_zone"))
+    fares = scenario.fares_v1(zones, spark.createDataFrame([("flat", 300)], "fare_id string, price int"), spark.createDataFrame([], "fare_id string, route_id string, origin_id string, destination_id string, contains_id string"))
+    assert {tuple(r)[1:] for r in fares.collect()} == {("flat", 300, 1, True)}
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (found, fares)):
+        assert not re.search(r"SortMergeJoin \[(key|fare_id)#\d+\], \[\w+#\d+\], Inner", plan)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tramline.functions import geo
+from tramline.operators.shared import maybe_broadcast
 
 
 def exclude(conns: DataFrame, trips: DataFrame, routes: DataFrame) -> DataFrame:
@@ -82,18 +83,22 @@ def best_fare(legs: DataFrame, rules: DataFrame, starts: DataFrame | None = None
     legs: leg_id, network, from_area, to_area. rules: rule_id, network, from_area, to_area, priority, amount; with starts
     and ends also from_timeframe and to_timeframe: the groups that `in_timeframes` found for the legs' first and last time.
     """
-    # A leg asks for the rules of its network and for those of any network under one key.
-    asked = legs.withColumn("key", F.explode(F.array(F.coalesce("network", F.lit("*")), F.lit("*")))).distinct().alias("l")
-    known = rules.withColumn("key", F.coalesce("network", F.lit("*"))).alias("r")
+    # A rule has the same place for every leg, so a leg's best is the least number. One row a rule of a feed.
+    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("priority"), "amount", "rule_id")
+    placed = rules.withColumn("place", F.row_number().over(order))
+    # A leg asks for the rules of its network and for those of any network under one key; few rules go to the legs, or
+    # all legs would meet at the latter.
+    asked = legs.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce("network", F.lit("*")), F.lit("*"))))).alias("l")
+    known = maybe_broadcast(placed.withColumn("key", F.coalesce("network", F.lit("*")))).alias("r")
     fits = [F.col(f"r.{c}").isNull() | (F.col(f"r.{c}") == F.col(f"l.{c}")) for c in ("from_area", "to_area")]
     timed = [] if starts is None else ["from_timeframe", "to_timeframe"]
-    found = asked.join(known, F.col("l.key") == F.col("r.key")).where(fits[0] & fits[1]).select("l.leg_id", "r.rule_id", "r.priority", "r.amount", *[f"r.{c}" for c in timed])
+    found = asked.join(known, F.col("l.key") == F.col("r.key")).where(fits[0] & fits[1]).select("l.leg_id", "r.place", *[f"r.{c}" for c in timed])
     for column, inside in zip(timed, (starts, ends), strict=False):
         groups = inside.select("leg_id", F.col("timeframe").alias(column), F.lit(True).alias("inside"))
         found = found.join(groups, ["leg_id", column], "left").where(F.col(column).isNull() | F.col("inside")).drop("inside")
-    w = Window.partitionBy("leg_id").orderBy(F.desc("priority"), "amount", "rule_id")
-    best = found.withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    return legs.select("leg_id").join(best.select("leg_id", "rule_id", "amount"), "leg_id", "left")
+    best = found.groupBy("leg_id").agg(F.min("place").alias("place"))
+    chosen = maybe_broadcast(placed.select("place", "rule_id", "amount"))
+    return legs.select("leg_id").join(best, "leg_id", "left").join(chosen, "place", "left").select("leg_id", "rule_id", "amount")
 
 
 def in_timeframes(events: DataFrame, frames: DataFrame, days: DataFrame) -> DataFrame:
@@ -117,10 +122,11 @@ def fares_v1(legs: DataFrame, attributes: DataFrame, rules: DataFrame) -> DataFr
     """
     asked = legs.withColumn("key", F.explode(F.array_distinct(F.array(F.coalesce("route_id", F.lit("*")), F.lit("*"))))).alias("l")
     free = attributes.join(rules.select("fare_id").distinct(), "fare_id", "left_anti").select("fare_id", *[F.lit(None).cast("string").alias(c) for c in ("route_id", "origin_id", "destination_id", "contains_id")])
-    known = rules.select("fare_id", "route_id", "origin_id", "destination_id", "contains_id").unionByName(free).withColumn("key", F.coalesce("route_id", F.lit("*"))).alias("r")
+    known = rules.select("fare_id", "route_id", "origin_id", "destination_id", "contains_id").unionByName(free).withColumn("key", F.coalesce("route_id", F.lit("*")))
+    known = maybe_broadcast(known).alias("r")  # as in best_fare
     fits = [F.col(f"r.{a}").isNull() | (F.col(f"r.{a}") == F.col(f"l.{b}")) for a, b in (("origin_id", "from_zone"), ("destination_id", "to_zone"))]
     met = asked.join(known, F.col("l.key") == F.col("r.key")).where(fits[0] & fits[1]).select("l.leg_id", "r.fare_id", "r.contains_id")
-    options = met.groupBy("leg_id", "fare_id").agg(F.count("contains_id").alias("asks")).join(attributes.select("fare_id", "price"), "fare_id")
+    options = met.groupBy("leg_id", "fare_id").agg(F.count("contains_id").alias("asks")).join(maybe_broadcast(attributes.select("fare_id", "price")), "fare_id")
     asks = F.max("asks").over(Window.partitionBy("leg_id"))
     ranked = options.withColumn("supported", asks == 0).withColumn("rank", F.row_number().over(Window.partitionBy("leg_id").orderBy("price", "fare_id")))
     kept = ranked.where("supported OR rank = 1")
