@@ -388,3 +388,14 @@ def test_no_fare_rule_gathers_all_legs(spark):
     assert {tuple(r)[1:] for r in fares.collect()} == {("flat", 300, 1, True)}
     for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (found, fares)):
         assert not re.search(r"SortMergeJoin \[(key|fare_id)#\d+\], \[\w+#\d+\], Inner", plan)
+
+
+def test_without_a_skyline_only_the_least_ride_of_a_stop_walks_on(spark):
+    conns = spark.createDataFrame([(100 + k, 200 + k // 2, f"T{k}", 1, 2, 1, True, True) for k in range(20)], CONN)
+    walks = spark.createDataFrame([(2, 3, 50), (2, 4, 60)], NO_WALKS)
+    opt = routing.Options(boardings=1, skyline=False)
+    start = routing.seeds(spark.createDataFrame([(1, 1, 103, 30), (1, 1, 101, 40)], "origin_id int, stop_id int, arrival long, walking long"))
+    rides = routing.ride_round(routing.Network.of(conns, walks, opt), start, opt)
+    assert [(r.stop_id, r.arrival, r.walking) for r in rides.collect()] == [(2, 200, 40)]
+    found = routing.labels(conns, walks, spark.createDataFrame([(1, 1, 103, 30), (1, 1, 101, 40)], "origin_id int, stop_id int, arrival long, walking long"), opt)
+    assert sorted((r.stop_id, r.kind, r.arrival, r.walking) for r in found.collect()) == [(2, "ride", 200, 40), (3, "transfer", 250, 90), (4, "transfer", 260, 100)]

@@ -133,6 +133,10 @@ def ride_round(net: Network, frontier: DataFrame, opt: Options) -> DataFrame:
     usable = F.filter("boardings", lambda x: x["seq"] <= F.col("c.stop_sequence"))
     best = F.array_min(F.transform(usable, lambda x: F.struct(x["walking"].alias("walking"), (-x["seq"]).alias("late"), *([x["stop"].alias("stop"), x["departure"].alias("departure"), x["path"].alias("path")] if opt.legs else []))))
     reached = calls.select("origin_id", "run", F.col("c.to_stop_id").alias("stop_id"), F.col("c.arrival").alias("arrival"), best.alias("b")).where("b IS NOT NULL")
+    if not opt.legs and not opt.skyline:
+        # Just the least counts, and a walk from it is the least after that walk: the others needn't walk at all.
+        least = F.min(F.struct("arrival", F.col("b.walking").alias("walking"))).alias("least")
+        return reached.groupBy("origin_id", "stop_id").agg(least).select("origin_id", "stop_id", "least.*")
     if not opt.legs:
         return reached.groupBy("origin_id", "stop_id", "arrival").agg(F.min("b.walking").alias("walking"))
     path = F.concat("b.path", leg("ride", F.col("run"), F.col("b.stop"), F.col("stop_id"), F.col("b.departure"), F.col("arrival")))
