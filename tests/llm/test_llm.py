@@ -518,6 +518,28 @@ def test_main_text_of_a_page():
     assert [t for _, t in html_wrapper.stream("plain text")[1]] == ["plain text"]
 
 
+def test_tags_that_pages_repeat_are_taken_apart_once(monkeypatch):
+    calls, plain = [], html_wrapper.marked
+    monkeypatch.setattr(html_wrapper, "marked", lambda *given, **named: calls.append(given) or plain(*given, **named))
+    for i in range(100):
+        page = f'<body><div class="ad once-{i % 2}">Buy {i}</div><article class="once"><p class="once-too">text {i}</p><script>x({i}, "</article>")</script></article></body>'
+        assert [t for _, t in html_wrapper.stream(page)[1]] == [f"text {i}"]
+    assert len(calls) <= 20
+    monkeypatch.setattr(html_wrapper, "KNOWN_TAGS", 10)
+    for i in range(100):
+        assert html_wrapper.stream(f'<p class="many{i} name{chr(97 + i % 26)}">A</p>' + f'<p title="{"x" * 1000}{i}">B')[1] == [(1, "A"), (4, "B")]
+        assert len(html_wrapper.KNOWN) <= 10 and max(map(len, html_wrapper.KNOWN)) <= html_wrapper.KNOWN_TAG_CHARS
+
+
+def test_raw_elements_and_white_space_of_any_kind():
+    main = lambda page: [t for _, t in html_wrapper.stream(page)[1]]
+    assert main("<p>A</p><SCRIPT a='>'>if (a<b && c>\"x) y('</p>')</scripts></Script x>B<style>p{}") == ["A", "B"]
+    assert main('<script-x>A</script-x><no\u017fcript>B</noscript>C<script"x>D') == ["AB", "CD"]
+    assert main('<p x="<p>">A<!-- <p>B --> b<![CDATA[<p>C]]><?php d ?><p y=\'B>C') == ["A b"]
+    assert main("<p>\x1c\u2028 A\x85\t b  c\u3000</p><p>&#32;&nbsp;&#1;</p><p>so\u00adft\n hy\u00adphen</p>a</br>b</hr>c") == ["A b c", "so\u00adft hy\u00adphen", "a", "bc"]
+    assert main("<div>" * 3000 + "<b>A<p>B<div>C" + "</i>" * 3000) == ["A", "B", "C"]
+
+
 def test_wrappers_match_their_pages(spark):
     rows = [(i, "http://h.example/x", "<body><article>" + "<p>t</p>" * (1 + i % 4) + ("<h2>x</h2><p>y</p>" if i % 3 == 0 else "") + "</article></body>") for i in range(24)] + [(99, None, None)]
     found = html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -38,6 +38,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,7 +57,20 @@ RAW = frozenset("script style textarea title noscript iframe template".split())
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion recommended related replies reply share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</([A-Za-z][^\s/>]*)[^>]*>?|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?", re.S)
+ATTRIBUTES = r"""(?:[^>"']+|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*+"""
+TAG = re.compile(rf"</([A-Za-z][^\s/>]*)|<([A-Za-z][^\s/>]*)({ATTRIBUTES})>?")
+
+
+def _raw(name: str) -> str:
+    """What follows the < of a raw element, as far as its end tag or, without one, the page's end."""
+    letters = "".join(f"[{c}{c.upper()}]" for c in name)
+    return rf"{letters}(?=[\s/>]|\Z){ATTRIBUTES}>?[^<]*(?:<(?!/(?i:{name})\b)[^<]*)*+(?:</(?i:{name})\b[^>]*>?)?"
+
+
+#: Between texts: a tag, a raw element, a comment or a declaration.
+MARKUP = re.compile(
+    rf"(<(?:/[A-Za-z][^>]*>?|{'|'.join(map(_raw, sorted(RAW)))}|[A-Za-z][^\s/>]*{ATTRIBUTES}>?|!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*>?))", re.S
+)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-z0-9]+")
 DIGITS = re.compile(r"[0-9]+")
@@ -92,6 +106,8 @@ TENTHS = 9
 MAX_BROADCAST_CHARS = 32_000_000
 SALTS = 64
 LONGEST_REPEAT = 24
+#: What so many tags of at most so many characters say is kept in a worker, as pages repeat them.
+KNOWN_TAGS, KNOWN_TAG_CHARS = 16_384, 200
 #: Stretches are aligned by an exact longest common subsequence up to so many cells; longer ones are parted at symbols that both have once.
 MAX_CELLS = 1_000_000
 
@@ -112,57 +128,69 @@ def string_key(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _implied(open_: list[tuple], name: str) -> None:
-    """Close what the start of an element ends by implication: a paragraph, a list item, a cell, a row."""
-    if name in IMPLIED:
-        ends, scope = IMPLIED[name]
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] in ends:
-                del open_[k:]
-                break
-            if open_[k][0] in scope:
-                break
-    if name in PARAGRAPH_ENDS:
-        for k in range(len(open_) - 1, -1, -1):
-            if open_[k][0] == "p":
-                del open_[k:]
-                break
-            if open_[k][0] in PARAGRAPH_SCOPE:
-                break
-
-
-def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """(kind, name or text, attributes) with kind one of open, close and text; comments and declarations are left out."""
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
+class Tag(NamedTuple):
+    """What a tag says to the reading of a page."""
+
+    opens: bool
+    name: str
+    #: Empty if the element doesn't end a block.
+    symbol: str
+    is_void: bool
+    is_raw: bool
+    skipped: bool
+    #: Whether it closes open elements by implication.
+    implies: bool
+    mark: bool
+    whole_mark: bool
+    #: The kind of root that it can be: article, main or none.
+    root: str
+
+
+def tag_of(m: re.Match) -> Tag:
+    """The tag that TAG has found."""
+    name = (m[1] or m[2]).lower()
+    is_block, is_void = name in BLOCKS or name in SKIPPED, name in VOID
+    if m[1]:
+        return Tag(False, name, f"</{name}>" if is_block and not is_void else "", is_void, False, False, False, False, False, "")
+    attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3])}
+    # Numbers in a class differ from page to page.
+    symbol = f"<{name}.{DIGITS.sub('', attributes['class'])}>" if attributes.get("class") else f"<{name}>"
+    root = "article" if name == "article" else "main" if name == "main" or attributes.get("role") == "main" else ""
+    implies = name in IMPLIED or name in PARAGRAPH_ENDS
+    return Tag(True, name, symbol if is_block else "", is_void, name in RAW, name in SKIPPED, implies, marked(attributes), marked(attributes, whole=True), root)
+
+
+class _Known(dict):
+    """Tags by their text: pages repeat them, so most are taken apart once. A worker holds a bounded number of short ones. None for comments and declarations."""
+
+    def __missing__(self, markup: str) -> Tag | None:
+        m = TAG.match(markup)
         if not m:
-            yield "text", page[at:], {}
-            return
-        if m.start() > at:
-            yield "text", page[at : m.start()], {}
-        at = m.end()
-        if m[1]:
-            yield "close", m[1].lower(), {}
-        elif m[2]:
-            name = m[2].lower()
-            yield "open", name, {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTRIBUTE.finditer(m[3] or "")}
-            if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                yield "close", name, {}
+            return None
+        if m[2] and m.end() < len(markup):
+            return self[m[0]]  # the start tag of a raw element
+        tag = tag_of(m)
+        if len(markup) <= KNOWN_TAG_CHARS:
+            if len(self) >= KNOWN_TAGS:
+                self.clear()
+            self[markup] = tag
+        return tag
+
 
+KNOWN = _Known()
 
 Slot = tuple[int, str, bool]
 
 
 def read(page: str) -> tuple[list[str], list[Slot]]:
     """The page's symbols; and each text with its place among them and whether it may be main text. A slot never crosses a block."""
-    given = list(tokens(page))
-    names = {name for kind, name, attributes in given if kind == "open"}
-    root = "article" if "article" in names else "main" if "main" in names or any(a.get("role") == "main" for k, _, a in given if k == "open") else ""
-    symbols, slots, hidden = _read(given, root, False)
-    return (symbols, slots) if not hidden or any(main for *_, main in slots) else _read(given, root, True)[:2]
+    symbols, slots = outline(page)
+    return symbols, [(at, one_spaced(text), main) for at, text, main in slots]
+
+
+def one_spaced(text: str) -> str:
+    """White space becomes one space, and none at the ends. In printable text there is none but spaces."""
+    return text.strip() if "  " not in text and text.isprintable() else " ".join(text.split())
 
 
 def stream(page: str) -> tuple[list[str], list[tuple[int, str]]]:
@@ -171,59 +199,96 @@ def stream(page: str) -> tuple[list[str], list[tuple[int, str]]]:
     return symbols, [(at, text) for at, text, main in slots if main]
 
 
-def _read(given: list, root: str, reveal: bool) -> tuple[list[str], list[Slot], int]:
-    """Symbols, slots, and the number of roots that only a mark hides; reveal: such roots are read."""
+def outline(page: str) -> tuple[list[str], list[Slot]]:
+    """As read(), with the texts' white space as it stands in the page."""
+    parts = MARKUP.split(page)
+    tags = [*map(KNOWN.__getitem__, parts[1::2]), None]
+    roots = {tag.root for tag in tags if tag}
+    root = "article" if "article" in roots else "main" if "main" in roots else ""
+    symbols, slots, hidden = _read(parts[::2], tags, root, False)
+    return (symbols, slots) if not hidden or any(main for *_, main in slots) else _read(parts[::2], tags, root, True)[:2]
+
+
+#: An open element: its name, inside the root, skipped for its element, skipped for a mark, whether its text may be main text, whether a block that starts in it ends a paragraph.
+Open = tuple[str, bool, bool, bool, bool, bool]
+
+
+def _implied(open_: list[Open], name: str) -> None:
+    """Close what the start of an element ends by implication: a paragraph, a list item, a cell, a row."""
+    if name in IMPLIED:
+        ends, scope = IMPLIED[name]
+        for k in range(len(open_) - 1, -1, -1):
+            if open_[k][0] in ends:
+                del open_[k:]
+                break
+            if open_[k][0] in scope:
+                break
+    if name in PARAGRAPH_ENDS and open_[-1][5]:
+        while open_.pop()[0] != "p":
+            pass
+
+
+def _read(texts: list[str], tags: list[Tag | None], root: str, reveal: bool) -> tuple[list[str], list[Slot], int]:
+    """Symbols, slots, and the number of roots that only a mark hides, of texts that each have a tag behind them; reveal: such roots are read."""
     symbols: list[str] = []
     slots: list[Slot] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, inside the root, skipped for its element, skipped for a mark
+    # The first one stands for the page and is never closed.
+    open_: list[Open] = [("", root == "", False, False, root == "", False)]
     held: list[str] = []
     held_main = False
     hidden = 0
 
     def flush() -> None:
-        nonlocal held
-        text = " ".join("".join(held).split())
-        held = []
-        if text:
+        text = held[0] if len(held) == 1 else "".join(held)
+        held.clear()
+        if text and not text.isspace():
             slots.append((len(symbols), text, held_main))
             symbols.append(TEXT)
 
-    for kind, name, attributes in given:
-        if kind == "open":
-            if name in BLOCKS or name in SKIPPED:
-                flush()
-                # Numbers in a class differ from page to page.
-                symbols.append(f"<{name}.{DIGITS.sub('', attributes['class'])}>" if attributes.get("class") else f"<{name}>")
-                if name in IMPLIED or name in PARAGRAPH_ENDS:
-                    _implied(open_, name)
-            if name not in VOID:
-                inside, skipped, by_mark = open_[-1][1:] if open_ else (root == "", False, False)
-                is_root = root and not inside and (name == root or root == "main" and attributes.get("role") == "main")
-                if is_root:
-                    by_mark = by_mark or root == "article" and marked(attributes, whole=True)
-                    hidden += by_mark and not skipped
-                    by_mark = by_mark and not reveal
-                elif name not in ("html", "body"):
-                    by_mark = by_mark or marked(attributes)
-                open_.append((name, inside or bool(is_root), skipped or name in SKIPPED, by_mark))
-        elif kind == "text":
-            inside, skipped, by_mark = open_[-1][1:] if open_ else (root == "", False, False)
-            main = inside and not skipped and not by_mark
+    for text, tag in zip(texts, tags, strict=True):
+        if text:
+            main = open_[-1][4]
             if main != held_main:
-                flush()
+                if held:
+                    flush()
                 held_main = main
-            held.append(html.unescape(name) if "&" in name else name)
-        elif name not in VOID:
-            if name in BLOCKS or name in SKIPPED:
+            held.append(html.unescape(text) if "&" in text else text)
+        if not tag:
+            continue
+        opens, name, symbol, is_void, is_raw, skips, implies, mark, whole_mark, may_be_root = tag
+        if symbol:
+            if held:
                 flush()
+            symbols.append(symbol)
+        if opens:
+            if implies:
+                _implied(open_, name)
+            if is_void:
+                continue
+            _, inside, skipped, by_mark, _, in_paragraph = open_[-1]
+            if may_be_root and not inside and may_be_root == root:
+                by_mark = by_mark or root == "article" and whole_mark
+                hidden += by_mark and not skipped
+                by_mark = by_mark and not reveal
+                inside = True
+            elif mark and name != "html" and name != "body":
+                by_mark = True
+            if is_raw:
                 symbols.append(f"</{name}>")
-            for k in range(len(open_) - 1, -1, -1):
+                continue
+            skipped = skipped or skips
+            open_.append((name, inside, skipped, by_mark, inside and not skipped and not by_mark, name == "p" or in_paragraph and name not in PARAGRAPH_SCOPE))
+        elif open_[-1][0] == name:
+            open_.pop()
+        elif not is_void:
+            for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == name:
                     del open_[k:]
                     break
-        elif name == "br":
+        elif name == "br" and held:
             flush()
-    flush()
+    if held:
+        flush()
     return symbols, slots, hidden
 
 
@@ -469,7 +534,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[tuple[str, str]] = set()
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            symbols, _ = read(page or "")
+            symbols, _ = outline(page or "")
             if host in held and held[host].matches(symbols):
                 continue
             items = collapse(symbols)
@@ -496,18 +561,28 @@ def host_of(url):
 SHOWN = pa.struct([("slot", pa.int32()), ("key", pa.int64()), ("main", pa.bool_())])
 
 
+def _read_by(page: pa.Array, wrapper: pa.Array) -> Iterator[tuple[str, Wrapper]]:
+    """Each page with its wrapper; rows share theirs, so each is made once."""
+    coded = wrapper.dictionary_encode()
+    wrappers = [Wrapper(json.loads(w)) for w in coded.dictionary.to_pylist()]
+    return zip((x or "" for x in page.to_pylist()), map(wrappers.__getitem__, coded.indices.to_pylist()), strict=True)
+
+
 @common.vector_udf(pa.list_(SHOWN))
 def _shown(page: pa.Array, wrapper: pa.Array) -> pa.Array:
     """What a page shows at the wrapper's slots: each slot and key once, sorted; null for a page that doesn't match."""
-    out, known = [], {}
-    for x, w in zip(page.to_pylist(), wrapper.to_pylist(), strict=True):
-        if w not in known:
-            known[w] = Wrapper(json.loads(w))
-        symbols, slots = read(x or "")
-        places = known[w].places(symbols)
-        found = None if places is None else {(k, string_key(text)): main for (_, text, main), k in zip(slots, places, strict=True)}
-        out.append(None if found is None else [{"slot": k, "key": key, "main": main} for (k, key), main in sorted(found.items())])
-    return pa.array(out, pa.list_(SHOWN))
+    offsets, unmatched, shown = [0], [], []
+    for x, w in _read_by(page, wrapper):
+        symbols, slots = read(x)
+        places = w.places(symbols)
+        unmatched.append(places is None)
+        if places is not None:
+            found = {(k, string_key(text)): main for (_, text, main), k in zip(slots, places, strict=True)}
+            shown += [(k, key, main) for (k, key), main in sorted(found.items())]
+        offsets.append(len(shown))
+    columns = zip(*shown, strict=True) if shown else ((), (), ())
+    values = pa.StructArray.from_arrays([pa.array(c, field.type) for c, field in zip(columns, SHOWN, strict=True)], fields=list(SHOWN))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, pa.list_(SHOWN), mask=pa.array(unmatched, pa.bool_()))
 
 
 def evidence(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -569,13 +644,12 @@ FOUND = pa.struct([("text", pa.string()), ("matched", pa.bool_())])
 
 @common.vector_udf(FOUND)
 def _extracted(page: pa.Array, wrapper: pa.Array) -> pa.Array:
-    out, known = [], {}
-    for x, w in zip(page.to_pylist(), wrapper.to_pylist(), strict=True):
-        if w not in known:
-            known[w] = Wrapper(json.loads(w))
-        text, matched = main_text(x or "", known[w])
-        out.append({"text": text, "matched": matched})
-    return pa.array(out, FOUND)
+    texts, matched = [], []
+    for x, w in _read_by(page, wrapper):
+        text, found = main_text(x, w)
+        texts.append(text)
+        matched.append(found)
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(matched, pa.bool_())], fields=list(FOUND))
 
 
 def extract(pages: DataFrame, wrappers: DataFrame | None = None) -> DataFrame:
